@@ -7,11 +7,12 @@ encoded, the sorted id and place columns delta encoded (Parquet's second data
 page format), and row group and page sizes are set, so the page index lets a
 reader fetch the tokens or the metadata of a few texts alone.
 
-The tokenizer starts a new piece at a single blank or line break between other
-characters whatever stands around it, so a text's ids are those of its
-blank-separated pieces, put together.  Pieces seen before come from a table of at most
-``CACHE_PIECES`` entries a worker, new ones go to the tokenizer in batches.  Texts
-with other white space there are encoded whole.
+The tokenizer starts a new piece at a blank or line break unless white space
+stands on both its sides, so a text's ids are those of its blank-separated
+pieces, put together; likewise a comma or full stop at a piece's end, after a
+letter, is a piece of its own.  Pieces seen before come from a table of about
+``CACHE_PIECES`` entries a worker, which starts anew when full; new ones go to the
+tokenizer in batches.  Texts with longer runs of white space are encoded whole.
 
 Defined cases: a null or empty text has the end id only; repeated ids and rows
 stay, ordered by content; extra columns are kept as metadata; a column named
@@ -24,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,13 @@ from pyspark.sql import functions as F
 
 from ._store import new_path, unclashed
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_200_000
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 128 << 10
 
-#: A blank or line break at an end of the text or next to other white space.
-_RUN = re.compile(r"\A[ \n]|[ \n]\Z|\s[ \n]|[ \n]\s")
+#: A blank or line break with white space, or the text's end, on both sides.
+_RUN = re.compile(r"\s[ \n](?:\s|\Z)")
+_TAILS = frozenset(",.")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -50,7 +53,10 @@ class Numbers(dict):
         self.owner, self.before = owner, before
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = self.owner.add(self.before + piece)
+        if piece[-1:] in _TAILS and piece[-2:-1].isalpha() and piece[-2] < "\u0250":
+            n = self[piece] = self.owner.add_pair(self[piece[:-1]], self.owner.first[piece[-1]])
+        else:
+            n = self[piece] = self.owner.add(self.before + piece)
         return n
 
 
@@ -68,26 +74,49 @@ class Encoder:
     def reset(self) -> None:
         self.first, self.blank, self.line = Numbers(self, ""), Numbers(self, " "), Numbers(self, "\n")
         self.fresh: list[str] = []
+        self.fresh_at: list[int] = []
+        self.pairs: list[tuple[int, int, int]] = []
         self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.count = 0
 
     def add(self, piece: str) -> int:
         self.fresh.append(piece)
+        self.fresh_at.append(self.count)
         self.count += 1
         return self.count - 1
 
+    def add_pair(self, left: int, right: int) -> int:
+        self.pairs.append((self.count, left, right))
+        self.count += 1
+        return self.count - 1
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the numbered pieces in a row, and each piece's number of ids."""
+        size = self.size[numbers]
+        before = np.cumsum(size) - size
+        return self.ids[np.repeat(self.begin[numbers] - before, size) + np.arange(size.sum())], size
+
+    def _place(self, numbers: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        self.begin[numbers] = len(self.ids) + np.cumsum(size) - size
+        self.size[numbers] = size
+        self.ids = np.concatenate([self.ids, ids])
+
     def _flush(self) -> None:
-        if not self.fresh:
-            return
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(self.fresh, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        begin = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.int32, int(size.sum()))])
-        self.begin, self.size, self.fresh = np.concatenate([self.begin, begin]), np.concatenate([self.size, size]), []
+        more = np.zeros(self.count - len(self.begin), np.int64)
+        self.begin, self.size = np.concatenate([self.begin, more]), np.concatenate([self.size, more])
+        if self.fresh:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(self.fresh, add_special_tokens=False)]
+            self._place(np.array(self.fresh_at), np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got)))
+        if self.pairs:
+            pairs = np.array(self.pairs)
+            ids, size = self._gather(pairs[:, 1:].ravel())
+            self._place(pairs[:, 0], ids, size[::2] + size[1::2])
+        self.fresh, self.fresh_at, self.pairs = [], [], []
 
     def pieces(self, text: str) -> list[int]:
-        """Numbers of the text's pieces, or of the whole text where white space meets white space."""
-        if _RUN.search(text):
+        """Numbers of the text's pieces, or of the whole text if it has a run that must be seen whole."""
+        plain = text.replace("\n", " ").split(" ") == text.split()
+        if not plain and _RUN.search(text):
             return [self.add(text)]
         out: list[int] = []
         head = self.first
@@ -103,16 +132,13 @@ class Encoder:
         if self.count > CACHE_PIECES:
             self.reset()
         numbers = [np.array(self.pieces(text) if text else [], np.int64) for text in texts]
-        per = [len(x) for x in numbers]
         self._flush()
         flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        size = self.size[flat]
-        begin = np.cumsum(size) - size
-        ids = self.ids[np.repeat(self.begin[flat] - begin, size) + np.arange(size.sum())]
+        ids, size = self._gather(flat)
         total = np.zeros(len(flat) + 1, np.int64)
         np.cumsum(size, out=total[1:])
-        cut = np.zeros(len(per) + 1, np.int64)
-        np.cumsum(per, out=cut[1:])
+        cut = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum([len(x) for x in numbers], out=cut[1:])
         return ids, total[cut[1:]] - total[cut[:-1]]
 
 
