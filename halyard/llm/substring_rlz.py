@@ -118,9 +118,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = _texts(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
     index = stored(texts.mapInArrow(_index_rows(window, seed), f"id {kind}, content bigint, start int, n int, lead int, seed bigint, block bigint"), "rlz-index")
-    shared = index.groupBy("seed").agg(F.count("*").alias("rows"), (F.min("block") != F.max("block")).alias("differ")).where("rows > 1").drop("rows")
+    # stored first, so that both sides of the join are plain exchanges, which adaptive execution splits where one seed is hot
+    shared = stored(index.groupBy("seed").agg(F.count("*").alias("rows"), (F.min("block") != F.max("block")).alias("differ")).where("rows > 1").drop("rows"), "rlz-seeds")
     hits = stored(index.join(shared, "seed"), "rlz-hits")
-    dropped(index)
+    dropped(index, shared)
     first = F.min(F.struct("id", "content", "start"))
     blocks = stored(hits.groupBy("seed", "block").agg(F.count("*").alias("copies"), first.alias("ref"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("differ").alias("differ")), "rlz-blocks")
     whole = hits.select("id", "content", "start", "n", "seed", "block").join(blocks.where("copies > 1").select("seed", "block", "ref"), ["seed", "block"])
@@ -130,7 +131,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same_text = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["content"] == b["content"])
     listed = texts.join(wanted.hint("shuffle_hash"), same_text(texts, wanted)).select(texts["id"], texts["content"], "text", "blocks")
     parts = stored(listed.mapInArrow(_window_rows(window), f"id {kind}, content bigint, start int, key bigint, copies bigint"), "rlz-windows")
-    again = parts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("ref")).where("n > 1").select("key", "ref")
+    again = stored(parts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("ref")).where("n > 1").select("key", "ref"), "rlz-again")
     single = parts.where("copies = 1").join(again, "key").select("id", "content", "start", F.lit(1).alias("n"), F.col("ref.id").alias("ref_id"), F.col("ref.start").alias("ref_start"))
     return whole.unionByName(single)
 
