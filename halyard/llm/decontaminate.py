@@ -243,11 +243,9 @@ def match_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.0, **names) -> DataFrame:
     """Keeps the rows of which at most a share max_coverage of the words lies inside items' windows."""
-    columns = docs.columns
-    found = match_items(docs.select(*columns, F.col(text_col).alias("__in")), items, "__in", window=window, **names)
-    if {c.lower() for c in columns} & {"n_words", "hits", "items"}:
-        raise ValueError("rename the columns n_words, hits and items first")
-    return found.where(F.size("hits") <= max_coverage * F.col("n_words")).select(*columns)
+    packed = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__in"))
+    found = match_items(packed, items, "__in", window=window, **names)
+    return found.where(F.size("hits") <= max_coverage * F.col("n_words")).select("__row.*")
 
 
 def without_spans(text: str | None, hits: list[int]) -> str:

@@ -97,7 +97,8 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = stored(ordered.withColumn("node", F.monotonically_increasing_id()), "line-sets")
 
     tokens = sets.select("node", "n", "bits", F.posexplode("prefix").alias("place", "token"))
-    heads = tokens.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
+    # stored, so that the joins with it are plain exchanges, which adaptive execution splits where one word is hot
+    heads = stored(tokens.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head"), "line-heads")
     b = sets.select(F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("bits").alias("bits_other"))
     near = tokens.select("node", "n", "bits", "token").join(heads, "token").where("node != head").select("node", "n", "bits", F.col("head").alias("other")).distinct()
     size = _filters("n", "n_other", "bits", "bits_other", similarity)

@@ -55,8 +55,6 @@ def measure(part, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     out = {"n_words": np.diff(words.bounds), "word_chars": per_text(words.bounds, chars), "n_symbols": per_text(part.offsets, SYMBOLS[data])}
 
     breaks = np.flatnonzero(data == 10)
-    start = np.sort(np.concatenate([part.offsets[:-1], breaks + 1]), kind="stable")
-    doc = np.searchsorted(part.offsets[1:-1], start, "right") if len(part) else start
     # an empty text shares its offset with its successor: count lines per text instead
     n_lines = np.searchsorted(breaks, part.offsets[1:]) - np.searchsorted(breaks, part.offsets[:-1]) + 1
     doc = np.repeat(np.arange(len(part)), n_lines)
@@ -116,3 +114,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", ngram_limits: dict[in
     for n, most in limits.items():
         fine &= F.col(f"dup_{n}gram_chars") <= most * F.col("word_chars")
     return df.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & fine)
+
+
+def kept_by_rules(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
+    """The rows that the rules keep, unchanged."""
+    packed = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__in"))
+    return quality_rules(packed, "__in", **limits).where("kept").select("__row.*")

@@ -162,6 +162,8 @@ def test_quality(docs):
     assert rows(got.select(*names)) == sorted(brute.quality(DOCS))
     kept = {r["doc_id"] for r in got.where("kept").collect()}
     assert 39 in kept and 15 not in kept and 18 not in kept
+    same = repetition.kept_by_rules(docs)
+    assert same.columns == docs.columns and {r["doc_id"] for r in same.collect()} == kept
 
 
 @pytest.mark.parametrize("least", [0, 3])
