@@ -15,7 +15,7 @@ TEMPER = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
     text_batches(spark)
-    return repetition.quality_rules(docs).where("kept").select(*docs.columns)
+    return repetition.kept_by_rules(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
