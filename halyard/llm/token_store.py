@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._store import new_path, unclashed
 
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 900_000
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 128 << 10
 
