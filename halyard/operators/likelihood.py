@@ -439,3 +439,21 @@ def count_probabilities(fit: Fit, top: int = 10) -> list[tuple[int, float, float
     return [*rows, (top, 1 - sum(r[1] for r in rows), 1 - sum(r[2] for r in rows))]
 
 
+
+
+def class_probabilities(fit: Fit, df: DataFrame, prefix: str = "pr_") -> DataFrame:
+    """Adds a multinomial fit's probability of each level for the current rows."""
+    x = ([F.lit(1.0)] if fit.design.constant else []) + [t.column() for t in fit.design.terms]
+    levels, b = fit.info["levels"], fit.beta.reshape(-1, fit.design.k)
+    odds = [F.lit(1.0), *[F.exp(linear(x, row)) for row in b]]
+    total = sum(odds[1:], odds[0])
+    return df.withColumns({f"{prefix}{level}": o / total for level, o in zip(levels, odds, strict=True)})
+
+
+def choice_probabilities(fit: Fit, df: DataFrame, group: str, name: str) -> DataFrame:
+    """Adds a conditional logit's probability within each set; a missing predictor makes its whole set null."""
+    e = F.exp(linear([t.column() for t in fit.design.terms], fit.beta))
+    rows = df.withColumn("__e", e)
+    sets = rows.groupBy(q(group).alias("__set")).agg(F.sum("__e").alias("__sum"), F.count_if(F.col("__e").isNull()).alias("__gap"))
+    joined = rows.join(sets, q(group).eqNullSafe(F.col("__set")), "left")
+    return joined.withColumn(name, F.when(F.col("__gap") == 0, F.col("__e") / F.col("__sum"))).drop("__e", "__set", "__sum", "__gap")

@@ -165,3 +165,13 @@ def ttest(df: DataFrame, x: str, value: float | None = None, other: str | None =
         free = a["n"] + b["n"] - 2
         se = math.sqrt(((a["n"] - 1) * va + (b["n"] - 1) * vb) / free * (1 / a["n"] + 1 / b["n"]))
     return _test(a["mean"] - b["mean"], se, free, n1=a["n"], n2=b["n"])
+
+
+def compare(spark, fits: dict[str, Fit]) -> DataFrame:
+    """Several fits side by side: model, term, estimate, se, p, n, in the models' and terms' order."""
+    rows = []
+    for model, f in fits.items():
+        for name, b, s in zip(f.names, f.beta.tolist(), f.se.tolist(), strict=True):
+            t = b / s if s else math.nan
+            rows.append((model, name, b, s, dist.z_two_sided(t) if f.df is None else dist.t_two_sided(t, f.df), f.n))
+    return spark.createDataFrame(rows, "model string, term string, estimate double, se double, p double, n bigint")

@@ -195,3 +195,28 @@ def reshape_wide(df: DataFrame, values: Sequence[str], i: Sequence[str], j: str)
 
 def lagged(df: DataFrame, name: str, by: Sequence[str], order: str, n: int = 1) -> Column:
     return F.lag(q(name), n).over(Window.partitionBy(*map(q, by)).orderBy(q(order)))
+
+
+def label_variable(df: DataFrame, name: str, text: str) -> DataFrame:
+    """Keeps a label in the column's metadata; it follows renames and Parquet files."""
+    need(df, name)
+    return df.withMetadata(name, {**df.schema[name].metadata, "label": text})
+
+
+def label_values(df: DataFrame, name: str, labels: dict[int, str]) -> DataFrame:
+    """Keeps the labels of integer codes in the column's metadata."""
+    need(df, name)
+    return df.withMetadata(name, {**df.schema[name].metadata, "values": {str(k): v for k, v in labels.items()}})
+
+
+def labels_of(df: DataFrame) -> dict[str, dict]:
+    return {f.name: f.metadata for f in df.schema if "label" in f.metadata or "values" in f.metadata}
+
+
+def labelled(df: DataFrame, name: str, into: str) -> DataFrame:
+    """A text column with the labels of a column's codes; unknown codes are null."""
+    need(df, name)
+    out = F.lit(None).cast("string")
+    for k, v in df.schema[name].metadata.get("values", {}).items():
+        out = F.when(q(name) == int(k), v).otherwise(out)
+    return df.withColumn(into, out)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import finite_or_null, is_numeric, truth
+from ..functions.safe import finite, finite_or_null, is_numeric, number, truth
 from ..sources.tables import ROW
 from .rows import names_of, need, q
 
@@ -146,3 +146,20 @@ def datasignature(df: DataFrame) -> DataFrame:
     mixed = F.conv(F.substring(F.sha2(F.concat_ws(":", "block", "h", "n"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     total = blocks.agg(F.coalesce(F.sum(mixed), F.lit(0)).alias("h"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"))
     return total.select(F.sha2(F.concat_ws("/", F.lit(schema), F.col("h").cast("string"), F.col("rows").cast("string")), 256).alias("signature"), "rows")
+
+
+def histogram(df: DataFrame, name: str, low: float, high: float, bins: int = 10) -> DataFrame:
+    """Counts of finite values in equal bins of [low, high]; values outside are left out."""
+    x = finite_or_null(q(name))
+    width = (high - low) / bins
+    at = F.least(F.floor((x - low) / width), F.lit(bins - 1))
+    inside = df.where((x >= low) & (x <= high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return inside.select("bin", (low + F.col("bin") * width).alias("low"), (low + (F.col("bin") + 1) * width).alias("high"), "n")
+
+
+def scatter_points(df: DataFrame, y: str, x: str, most: int = 10_000) -> DataFrame:
+    """The finite pairs to draw, by x and row; more than ``most`` are an error, not a sample."""
+    points = df.where(finite(q(x)) & finite(q(y))).select(number(q(x)).alias("x"), number(q(y)).alias("y"), ROW)
+    if points.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} points")
+    return points.orderBy("x", ROW).drop(ROW)

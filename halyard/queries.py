@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import iv, likelihood, linear, other, panel, rows, summaries, survival
+from .operators import grouped, iv, likelihood, linear, other, panel, rows, summaries, survival
 from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -596,6 +596,40 @@ def smooth_and_resample(spark, sf):
     return smooth.select(F.concat(F.lit("smooth:"), F.col("user_id").cast("string")).alias("what"), F.col("smooth").alias("value")).union(fit.table(spark).select(F.concat(F.lit("se:"), "term"), "se"))
 
 
+@query("SELECT (o_totalprice > 250000)::INT::DOUBLE AS big, round(avg((o_orderstatus = 'F')::INT), 5) AS pr_f, round(avg((o_orderstatus = 'O')::INT), 5) AS pr_o FROM orders GROUP BY 1")
+def mlogit_pr(spark, sf):
+    df = load(spark, sf, "orders").withColumn("big", (F.col("o_totalprice") > 250000).cast("double"))
+    out = likelihood.class_probabilities(likelihood.mlogit(df, "o_orderstatus", "big"), df)
+    return rounded(out.groupBy("big").agg(F.avg("pr_F").alias("pr_f"), F.avg("pr_O").alias("pr_o")), 5)
+
+
+@query("SELECT least(floor((l_quantity - 1) / 7), 6)::BIGINT AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1")
+def histogram(spark, sf):
+    return summaries.histogram(load(spark, sf, "lineitem"), "l_quantity", 1.0, 50.0, 7).select("bin", "n")
+
+
+@query()
+def estimates_table(spark, sf):
+    df = line(spark, sf)
+    return linear.compare(spark, {"plain": linear.regress(df, "y", "l_quantity"), "robust": linear.regress(df, "y", "l_quantity", "l_discount", robust=True)})
+
+
+@query()
+def panel_counts(spark, sf):
+    text = "SELECT user_id AS u, CAST(event_id % 7 + user_id % 4 AS DOUBLE) AS y, value / 100 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, count(*) OVER (PARTITION BY user_id) AS c FROM active"
+    df = tables.numbered(safe.sql(load(spark, sf, "events"), text).where("t <= 10 AND c >= 10"))
+    fits = {"gamma": grouped.xtpoisson_re(df, "y", "x", group="u"), "normal": grouped.xtpoisson_re(df, "y", "x", group="u", distribution="normal"), "gee": grouped.xtgee_poisson(df, "y", "x", group="u"), "fixed": likelihood.xtpoisson_fe(df, "y", "x", group="u")}
+    return linear.compare(spark, fits)
+
+
+@query("WITH c AS (SELECT count(*) FILTER (l_linenumber = 1) AS a, count(*) AS n FROM lineitem WHERE l_linenumber <= 2) SELECT 'first' AS term, round(ln(a / (n - a)), 6) AS estimate FROM c")
+def clogit_pairs(spark, sf):
+    df = load(spark, sf, "lineitem").where("l_linenumber <= 2").select(F.col(tables.ROW).alias("s"), "l_linenumber", tables.ROW)
+    both = df.select("s", tables.ROW, F.explode(F.array(F.lit(1), F.lit(2))).alias("alternative"), "l_linenumber")
+    both = both.selectExpr("s", tables.ROW, "cast(alternative = 1 as double) AS first", "cast(alternative = l_linenumber as double) AS chosen")
+    return coefficients(spark, likelihood.clogit(both, "chosen", "first", group="s")).select("term", "estimate")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, filter, derive, collapse."""
     df = rows.generate(rows.keep_if(load(spark, sf_dir, "lineitem"), "l_quantity > 10"), "net", "l_extendedprice * (1 - l_discount)")

@@ -166,3 +166,26 @@ def test_signature_depends_on_order(spark):
     df = tables.numbered(spark.createDataFrame([(1,), (2,)], "i int").coalesce(1))
     turned = rows.gsort(df, "-i")
     assert summaries.datasignature(df).first() != summaries.datasignature(turned).first()
+
+
+def test_group_effects_integrate():
+    from halyard.operators import grouped
+
+    s, m = np.array([0.0, 3.0, 40.0]), np.array([0.5, 2.0, 35.0])
+    u = np.linspace(-12, 12, 200_001)
+    density = np.exp(-u * u / (2 * 0.64)) / math.sqrt(2 * math.pi * 0.64)
+    step = u[1] - u[0]
+    exact = [math.log((np.exp(a * u - b * np.exp(u)) * density).sum() * step) for a, b in zip(s, m, strict=True)]
+    assert grouped.normal_effect(s, m, math.log(0.8)) == pytest.approx(exact, abs=1e-8)
+    g = np.exp(u)
+    r = 2.0
+    prior = r**r / math.gamma(r) * g ** (r - 1) * np.exp(-r * g) * g
+    exact = [math.log((np.exp(a * u - b * g) * prior).sum() * step) for a, b in zip(s, m, strict=True)]
+    assert grouped.gamma_effect(s, m, -math.log(r)) == pytest.approx(exact, abs=1e-8)
+
+
+def test_labels(spark):
+    df = tables.numbered(spark.createDataFrame([(1,), (2,), (3,)], "c int"))
+    df = rows.label_values(rows.label_variable(df, "c", "a code"), "c", {1: "one", 2: "two"})
+    assert rows.labels_of(df)["c"]["label"] == "a code"
+    assert [r["t"] for r in rows.labelled(df, "c", "t").orderBy(tables.ROW).collect()] == ["one", "two", None]
