@@ -163,3 +163,62 @@ def xtgee_poisson(df: DataFrame, y: str, *terms: str, group: str, predicate=None
         return Fit("gee_poisson", d.names, b, bread @ middle @ bread * groups / (groups - 1), start.n, None, {"rho": rho, "groups": groups}, d, {"working": bread})
     finally:
         d.rows.unpersist()
+
+
+def nlogit(df: DataFrame, chosen: str, *terms: str, group: str, nest: str, predicate=None, max_steps: int = 60) -> Fit:
+    """Nested logit with one dissimilarity parameter for all nests (utilities divided by it); the last coefficient is its log.
+
+    Log likelihoods at all points of a difference stencil are columns of one two-level aggregation: by set and nest, then by set.
+    """
+    d = design(df, chosen, terms, predicate, False, None, group, {"nest": F.xxhash64(F.col(nest)).cast("double")})
+    k = d.k
+    d.rows = d.rows.persist()
+
+    def ll(points: list[np.ndarray]) -> np.ndarray:
+        first = []
+        for i, p in enumerate(points):
+            v = linear(d.x(), p[:k] / math.exp(p[k]))
+            first += [F.sum(F.exp(v)).alias(f"a{i}"), F.sum(F.col("y") * v).alias(f"u{i}")]
+        nests = d.rows.groupBy("g", "nest").agg(F.sum("y").alias("c"), *first)
+        second = []
+        for i, p in enumerate(points):
+            lam = math.exp(p[k])
+            second += [F.log(F.sum(F.pow(f"a{i}", F.lit(lam)))).alias(f"d{i}"), F.sum(F.col(f"u{i}") + F.col("c") * (lam - 1) * F.log(f"a{i}")).alias(f"n{i}")]
+        sets = nests.groupBy("g").agg(F.sum("c").alias("c"), *second)
+        row = sets.agg(F.count_if(F.col("c") != 1).alias("bad"), F.count("*").alias("sets"), *[F.sum(F.col(f"n{i}") - F.col(f"d{i}")).alias(f"l{i}") for i in range(len(points))]).first()
+        if row["bad"] or not row["sets"]:
+            raise ValueError("each set needs one choice")
+        return np.array([row[f"l{i}"] for i in range(len(points))])
+
+    def stencil(b: np.ndarray):
+        h, n = 1e-4, k + 1
+        unit = np.eye(n) * h
+        points = [b] + [b + s * unit[i] for i in range(n) for s in (1, -1)]
+        cross = [(i, j) for i in range(n) for j in range(i)]
+        points += [b + s * unit[i] + t * unit[j] for i, j in cross for s in (1, -1) for t in (1, -1)]
+        f = ll(points)
+        grad = (f[1 : 2 * n : 2] - f[2 : 2 * n + 1 : 2]) / (2 * h)
+        hess = np.diag((f[1 : 2 * n : 2] - 2 * f[0] + f[2 : 2 * n + 1 : 2]) / h**2)
+        for c, (i, j) in enumerate(cross):
+            q = f[2 * n + 1 + 4 * c : 2 * n + 5 + 4 * c]
+            hess[i, j] = hess[j, i] = (q[0] - q[1] - q[2] + q[3]) / (4 * h * h)
+        return f[0], grad, hess
+
+    try:
+        b = np.zeros(k + 1)
+        for _ in range(max_steps):
+            value, grad, hess = stencil(b)
+            low = np.linalg.eigvalsh(-hess)[0]
+            step = np.linalg.solve(-hess + np.eye(k + 1) * max(0.0, 1e-3 - low), grad)
+            step *= min(1.0, 1.0 / np.abs(step).max()) if np.abs(step).max() > 0 else 1.0
+            if np.abs(step).max() < 1e-6:
+                break
+            tries = ll([b + step / 2**i for i in range(8)])
+            best = int(np.nanargmax(tries))
+            if tries[best] <= value:
+                break
+            b = b + step / 2**best
+        n = d.rows.count()
+        return Fit("nlogit", [*d.names, "lntau"], b, np.linalg.inv(-hess), n, None, {"ll": float(value), "dissimilarity": math.exp(b[k])}, d)
+    finally:
+        d.rows.unpersist()

@@ -235,3 +235,24 @@ def pooled(estimates: DataFrame) -> DataFrame:
     """Rubin's rules: (imputation, parameter, estimate, se) to pooled estimate, se, and the two variances."""
     rows = estimates.groupBy("parameter").agg(F.count("*").alias("m"), F.avg("estimate").alias("estimate"), F.avg(F.col("se") ** 2).alias("within"), F.var_samp("estimate").alias("between"))
     return rows.withColumn("se", F.sqrt(F.col("within") + (1 + 1 / F.col("m")) * F.col("between")))
+
+
+def resampled(df: DataFrame, seed: int, replicate: int, cluster: str | None = None) -> DataFrame:
+    """One bootstrap sample: every row or whole cluster as often as its hashed Poisson(1) count; copies of a cluster get a key of their own."""
+    who = q(cluster) if cluster else F.col(ROW)
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(replicate), who), F.lit(1 << 53)) / float(1 << 53)
+    edges = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
+    times = sum((F.when(u >= float(e), 1).otherwise(0) for e in edges[1:]), F.when(u >= float(edges[0]), 1).otherwise(0))
+    out = df.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return out.withColumn("__cluster", F.concat_ws("/", who.cast("string"), F.col("__copy").cast("string"))).drop("__times", "__copy")
+
+
+def bootstrap_fit(df: DataFrame, fit, reps: int = 50, seed: int = 1, cluster: str | None = None) -> Fit:
+    """The bootstrap of any estimator: fit(rows, cluster column or None) returns a Fit. Replicates run one after another, each on the whole cluster."""
+    if not 2 <= reps <= 500:
+        raise ValueError("2 to 500 replicates")
+    base = fit(df, cluster)
+    draws = np.array([fit(resampled(df, seed, r, cluster), "__cluster" if cluster else None).beta for r in range(reps)])
+    base.cov, base.df, base.kind = np.atleast_2d(np.cov(draws.T, ddof=1)), None, f"bootstrap {base.kind}"
+    base.info["percentiles"] = np.percentile(draws, [2.5, 97.5], axis=0)
+    return base

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import grouped, iv, likelihood, linear, other, panel, rows, summaries, survival
+from .operators import grouped, iv, likelihood, linear, other, panel, predictions, rows, summaries, survival
 from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -630,6 +630,31 @@ def clogit_pairs(spark, sf):
     return coefficients(spark, likelihood.clogit(both, "chosen", "first", group="s")).select("term", "estimate")
 
 
+@query()
+def nested_choice(spark, sf):
+    text = """WITH long AS (SELECT o_orderkey AS s, a, a % 3 + o_totalprice / 300000 * ((o_orderkey + a) % 5) AS price, -ln(-ln((pmod(xxhash64(o_orderkey, a), 998) + 1) / 1000D)) AS noise
+      FROM active LATERAL VIEW explode(array(0, 1, 2, 3)) AS a)
+      SELECT s, CAST(a < 2 AS INT) AS nest, CAST(a = 1 AS DOUBLE) AS one, price, CAST(row_number() OVER (PARTITION BY s ORDER BY noise - price DESC, a) = 1 AS DOUBLE) AS chosen FROM long"""
+    long = tables.numbered(safe.sql(load(spark, sf, "orders"), text))
+    return grouped.nlogit(long, "chosen", "one", "price", group="s", nest="nest").table(spark)
+
+
+@query()
+def predicted_outcomes(spark, sf):
+    df = load(spark, sf, "lineitem").selectExpr("greatest(l_quantity - 20 + l_discount * 50, 0.0) AS y", "l_discount * 100 AS x", "l_quantity AS t", "cast(l_linestatus = 'F' as double) AS d", "cast(l_linenumber as double) AS k", tables.ROW)
+    out = predictions.limited(likelihood.tobit(df, "y", "x"), df, "mean")
+    out = predictions.duration(likelihood.streg(df, "t", "x", failure="d"), out, "survival")
+    out = predictions.count_chance(likelihood.poisson(df, "k", "x"), out, "pr_2", 2)
+    return out.groupBy("x").agg(F.avg("mean").alias("mean"), F.avg("survival").alias("survival"), F.avg("pr_2").alias("pr_2"))
+
+
+@query()
+def bootstrap_quantile(spark, sf):
+    df = load(spark, sf, "part")
+    fit = other.bootstrap_fit(df, lambda rows_, _: other.qreg(rows_, "p_retailprice", quantile=0.25), reps=5, seed=3)
+    return fit.table(spark)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, filter, derive, collapse."""
     df = rows.generate(rows.keep_if(load(spark, sf_dir, "lineitem"), "l_quantity > 10"), "net", "l_extendedprice * (1 - l_discount)")

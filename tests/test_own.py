@@ -189,3 +189,27 @@ def test_labels(spark):
     df = rows.label_values(rows.label_variable(df, "c", "a code"), "c", {1: "one", 2: "two"})
     assert rows.labels_of(df)["c"]["label"] == "a code"
     assert [r["t"] for r in rows.labelled(df, "c", "t").orderBy(tables.ROW).collect()] == ["one", "two", None]
+
+
+def test_nested_logit(spark):
+    from halyard.operators import grouped
+
+    rng = np.random.default_rng(2)
+    sets, tau = 300, 0.6
+    x = rng.normal(size=(sets, 4))
+    a = np.exp(x * 0.8 / tau)
+    top = np.stack([a[:, :2].sum(1), a[:, 2:].sum(1)], 1) ** tau
+    p = np.concatenate([a[:, :2] / a[:, :2].sum(1, keepdims=True), a[:, 2:] / a[:, 2:].sum(1, keepdims=True)], 1) * np.repeat(top / top.sum(1, keepdims=True), 2, 1)
+    pick = [rng.choice(4, p=r / r.sum()) for r in p]
+    data = [(i, j, j // 2, float(pick[i] == j), float(x[i, j])) for i in range(sets) for j in range(4)]
+    fit = grouped.nlogit(tables.numbered(spark.createDataFrame(data, "s int, a int, nest int, chosen double, x double")), "chosen", "x", group="s", nest="nest")
+
+    def ll(b, t):
+        a = np.exp(x * b / t)
+        inside = np.stack([a[:, :2].sum(1), a[:, 2:].sum(1)], 1)
+        n = np.array(pick) // 2
+        return float((x[np.arange(sets), pick] * b / t + (t - 1) * np.log(inside[np.arange(sets), n]) - np.log((inside**t).sum(1))).sum())
+
+    best = ll(fit["x"], fit.stats["dissimilarity"])
+    assert fit.stats["ll"] == pytest.approx(best, abs=1e-6)
+    assert all(ll(fit["x"] + u, fit.stats["dissimilarity"] + v) <= best + 1e-6 for u in (-0.01, 0, 0.01) for v in (-0.01, 0, 0.01))
