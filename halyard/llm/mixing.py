@@ -22,6 +22,8 @@ SEED = "mix-1"
 STEP = 16.0
 #: Distribution function values kept for a rate of at most STEP: beyond, less than 2**-53 is left.
 TAIL = 96
+#: Sources up to which the table of rates, about a kilobyte a row, is broadcast; beyond, the join is shuffled and its hot keys split.
+MAX_BROADCAST = 10_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -29,11 +31,16 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def rates(docs: DataFrame, weights: dict[str | None, float] | None, source_col: str = "source", default_weight: float = 1.0, temper: float | None = None, epochs: float = 1.0) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str | None, float] | None, source_col: str = "source", **options) -> DataFrame:
     """source, rate, draws and the distribution function of one draw.
 
     Weights come from the given mapping, or with ``temper`` from the sources' own sizes to that power.
     """
+    return _rates(docs, weights, source_col, **options)[0]
+
+
+def _rates(docs: DataFrame, weights: dict[str | None, float] | None, source_col: str, default_weight: float = 1.0, temper: float | None = None, epochs: float = 1.0) -> tuple[DataFrame, int]:
+    """The table of rates and its number of sources."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if temper is not None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(temper)))
@@ -42,16 +49,19 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, source_col:
         for name, value in (weights or {}).items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), float(value)).otherwise(weight)
     sizes = sizes.withColumn("weight", weight)
-    total = sizes.agg(F.sum("weight").alias("w"), F.sum("n").alias("n")).first()
+    total = sizes.agg(F.sum("weight").alias("w"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()
     rate = F.lit(float(epochs)) * F.col("weight") / F.lit(total["w"]) * F.lit(float(total["n"] or 0)) / F.col("n")
     draws = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     table = F.aggregate(F.sequence(F.lit(1), F.lit(TAIL)), F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf")), lambda a, k: F.struct((a["p"] * F.col("mean") / k).alias("p"), F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * F.col("mean") / k)).alias("cdf")))["cdf"]
-    return sizes.withColumn("rate", rate).withColumn("draws", draws).withColumn("mean", F.col("rate") / F.col("draws")).select("source", "rate", "draws", table.alias("cdf"))
+    return sizes.withColumn("rate", rate).withColumn("draws", draws).withColumn("mean", F.col("rate") / F.col("draws")).select("source", "rate", "draws", table.alias("cdf")), total["sources"]
 
 
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, shuffle: bool = True, **options) -> DataFrame:
     """The rows, each as often as it was drawn, with copy (from 1), n_copies and shuffle_key, in the key's order."""
-    table = rates(docs, weights, source_col, **options).withColumnRenamed("source", "__source")
+    table, sources = _rates(docs, weights, source_col, **options)
+    table = table.withColumnRenamed("source", "__source")
+    # the sources were counted: a short table goes to every task, so that a hot source's texts stay where they are
+    table = F.broadcast(table) if sources <= MAX_BROADCAST else table
     who = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     joined = docs.join(table, docs[source_col].eqNullSafe(table["__source"]), "left")
     draw = lambda k: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), k.cast("string"), who)))
