@@ -79,7 +79,9 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pair
     wanted = place.groupBy("id", "content").agg(F.collect_list(F.struct("line", "node")).alias("at"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("c"), text.alias("text"))
-    found = texts.join(wanted.hint("shuffle_hash"), texts["i"].eqNullSafe(wanted["id"]) & (texts["c"] == wanted["content"])).withColumn("l", F.split("text", "\n"))
+    found = texts.join(wanted.hint("shuffle_hash"), texts["i"].eqNullSafe(wanted["id"]) & (texts["c"] == wanted["content"]))
+    # as a generator's output the lines are split once a text, not once for each line looked up
+    found = found.select("at", F.explode(F.array(F.split("text", "\n"))).alias("l"))
     words = found.select(F.explode(F.transform("at", lambda x: F.struct(x["node"].alias("node"), line_words(F.element_at(F.col("l"), x["line"] + 1)).alias("w")))).alias("x")).select("x.node", "x.w")
     one, two = words.toDF("node", "w1"), words.toDF("other", "w2")
     common = F.size(F.array_intersect("w1", "w2"))
