@@ -46,7 +46,7 @@ def word_ranks(lines: DataFrame) -> DataFrame:
     """One row: an array of BUCKETS ranks, low for rare words."""
     words = lines.select(F.explode(F.split("words", _BLANKS)).alias("w")).where("w != ''")
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    rank = F.least(F.floor(F.log2("n") * 32), F.lit(2047)).cast("long")
+    rank = F.least(F.floor(F.log2("n") * 8), F.lit(255)).cast("long")
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("r"))
     filled = counts.select("b", rank.alias("r")).union(every).groupBy("b").agg(F.max("r").alias("r"))
     return filled.agg(F.array_sort(F.collect_list(F.struct("b", "r"))).alias("all")).select(F.col("all.r").alias("ranks"))
@@ -56,19 +56,29 @@ def _prefix_size(n: Column, similarity: float) -> Column:
     return n - F.ceil(n * similarity - 1e-9) + 1
 
 
+def _short(code: Column) -> Column:
+    """A word's 32 bits for the candidate search: words that share them only make a few more candidates."""
+    return F.shiftright(code, 31).cast("int")
+
+
 def _sets(lines: DataFrame, ranks: Column, similarity: float) -> DataFrame:
     """Per line: id, content, line, n words, hashes of the set, parity bitmap, and the prefix, rarest first."""
     hashed = lines.withColumn("ranks", ranks).withColumn("h", F.transform(line_words(F.col("words")), lambda w: F.xxhash64(w)))
-    code = lambda h: F.shiftleft(F.element_at("ranks", (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
+    code = lambda h: F.shiftleft(F.element_at("ranks", (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
     sets = hashed.withColumn("n", F.size("h")).withColumn("codes", F.array_sort(F.transform("h", code)))
     bits = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    return sets.select("id", "content", "line", "n", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), bits.alias("bits"), F.slice("codes", F.lit(1), F.greatest(_prefix_size(F.col("n"), similarity), F.lit(0)).cast("int")).alias("prefix"))
+    return sets.select("id", "content", "line", "n", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), bits.alias("bits"), F.transform(F.slice("codes", F.lit(1), F.greatest(_prefix_size(F.col("n"), similarity), F.lit(0)).cast("int")), _short).alias("prefix"))
+
+
+def _need(n: str, m: str, similarity: float) -> Column:
+    """Words that sets of such sizes must share."""
+    return F.ceil((F.col(n) + F.col(m)) * (similarity / (1 + similarity)) - 1e-9)
 
 
 def _filters(n: str, m: str, bits: str, other: str, similarity: float) -> Column:
     """Length filter, and the parity bitmaps: each word not in common shows there at most once."""
     a, b = F.col(n), F.col(m)
-    need = F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
+    need = _need(n, m, similarity)
     return (b >= a * similarity - 1e-9) & (a >= b * similarity - 1e-9) & (F.bit_count(F.col(bits).bitwiseXOR(F.col(other))) <= a + b - 2 * need)
 
 
@@ -98,21 +108,26 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ordered = distinct.select("k1", "k2", "n", "place.*", "bits", "prefix").repartitionByRange("id", "content", "line").sortWithinPartitions("id", "content", "line")
     sets = stored(ordered.withColumn("node", F.monotonically_increasing_id()), "line-sets")
 
-    tokens = sets.select("node", "n", "bits", F.posexplode("prefix").alias("place", "token"))
-    # stored, so that the joins with it are plain exchanges, which adaptive execution splits where one word is hot
-    heads = stored(tokens.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head"), "line-heads")
-    b = sets.select(F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("bits").alias("bits_other"))
-    near = tokens.select("node", "n", "bits", "token").join(heads, "token").where("node != head").select("node", "n", "bits", F.col("head").alias("other")).distinct()
+    def words(of: DataFrame) -> DataFrame:
+        return of.select("node", "n", "bits", F.posexplode("prefix").alias("place", "token"))
+
+    # the earliest set of each word in two prefixes or more, stored so that the joins with it are plain
+    # exchanges, which adaptive execution splits where one word is hot
+    first_of = words(sets).groupBy("token").agg(F.min("node").alias("other"), F.count("*").alias("c")).where("c > 1").drop("c")
+    heads = stored(first_of.join(sets.select(F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("bits").alias("bits_other")), "other"), "line-heads")
     size = _filters("n", "n_other", "bits", "bits_other", similarity)
-    pairs = stored(near.join(b, "other").where(size).select("node", "other"), "line-pairs")
+    pairs = stored(words(sets).join(heads, "token").where((F.col("node") > F.col("other")) & size).select("node", "other").distinct(), "line-pairs")
     gone = stored(_verified(docs, id_col, text_col, sets, pairs, similarity), "line-gone")
-
-    left = tokens.join(gone, "node", "left_anti")
-    other = tokens.select("token", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("bits").alias("bits_other"), F.col("place").alias("place_other"))
-    bound = F.least("place", "place_other") + F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other")) >= F.ceil((F.col("n") + F.col("n_other")) * (similarity / (1 + similarity)) - 1e-9)
-    later = stored(left.join(heads.select("token"), "token").join(other, "token").where((F.col("node") > F.col("other")) & size & bound).select("node", "other").distinct(), "line-pairs")
+    dropped(pairs)
+
+    left = stored(sets.select("node", "n", "bits", "prefix").join(gone, "node", "left_anti"), "line-left")
+    asked = stored(words(left).join(heads.select("token"), "token"), "line-asked")
+    dropped(left, heads)
+    other = words(sets).toDF("other", "n_other", "bits_other", "place_other", "token")
+    bound = F.least("place", "place_other") + F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other")) >= _need("n", "n_other", similarity)
+    later = stored(asked.join(other, "token").where((F.col("node") > F.col("other")) & size & bound).select("node", "other").distinct(), "line-pairs")
     also = stored(_verified(docs, id_col, text_col, sets, later, similarity), "line-gone")
-    dropped(pairs, later)
+    dropped(later, asked)
 
     removed = gone.union(also).withColumn("match", F.lit(True))
     marks = sets.select("k1", "k2", "n", F.struct("id", "content", "line").alias("first"), "node").join(removed, "node", "left").select("k1", "k2", "n", "first", F.coalesce("match", F.lit(False)).alias("match"))
