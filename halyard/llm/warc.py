@@ -48,8 +48,9 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     """id, url, payload (binary), digest, refers_to: null for responses."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), "url", F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", base32_of_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
-    first = rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first.hint("shuffle_hash"), ["digest", "size"], "left")
+    # stored, so that its size is known: a short table is broadcast under the session's limit and payloads stay where they are
+    first = stored(rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-first")
+    rows = rows.join(first, ["digest", "size"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.select("id", "url", "payload", "digest", "size", refers.alias("refers_to"))
 
