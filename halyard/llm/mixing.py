@@ -10,7 +10,8 @@ id, copy and seed puts all copies in one global random order.
 
 Defined cases: a null source is a source of its own; a source without a weight
 has weight ``default_weight``; weights are relative to the sum over the sources
-present; repeated rows draw equal counts; null ids draw by their text.
+present; repeated rows draw equal counts; null ids draw by their text;
+columns named copy, n_copies or shuffle_key are replaced.
 """
 
 from __future__ import annotations
@@ -59,17 +60,17 @@ def _rates(docs: DataFrame, weights: dict[str | None, float] | None, source_col:
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, shuffle: bool = True, **options) -> DataFrame:
     """The rows, each as often as it was drawn, with copy (from 1), n_copies and shuffle_key, in the key's order."""
     table, sources = _rates(docs, weights, source_col, **options)
-    table = table.withColumnRenamed("source", "__source")
+    table = table.select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
     # the sources were counted: a short table goes to every task, so that a hot source's texts stay where they are
     table = F.broadcast(table) if sources <= MAX_BROADCAST else table
     who = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     joined = docs.join(table, docs[source_col].eqNullSafe(table["__source"]), "left")
-    draw = lambda k: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), k.cast("string"), who)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda a, k: a + draw(k))
+    draw = lambda k: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), k.cast("string"), who)))
+    count = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0), lambda a, k: a + draw(k))
     drawn = joined.withColumn("n_copies", count).where("n_copies > 0")
     out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     out = out.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("copy").cast("string"), who)), 1, 13), 16, 10).cast("bigint"))
-    out = out.drop("__source", "rate", "draws", "cdf")
+    out = out.drop("__source", "__draws", "__cdf")
     return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
 
 

@@ -189,7 +189,7 @@ def test_warc_splits(spark):
 def test_mixing(spark):
     data = [(i, f"s{i % 3}" if i % 10 else None, f"text {i}") for i in range(900)] + [(None, "s0", "n"), (7, "s1", "text 7")]
     df = spark.createDataFrame(data, "doc_id long, source string, text string")
-    got = mixing.replicate(df, {"s0": 5.0, None: 40.0}).collect()
+    got = mixing.replicate(df.withColumn("draws", F.lit(9)).withColumn("Cdf", F.lit("x")), {"s0": 5.0, None: 40.0}).drop("draws", "Cdf").collect()
     share = {s: sum(r["source"] == s for r in got) for s in ("s0", "s1", "s2", None)}
     for s, w in (("s0", 5), ("s1", 1), ("s2", 1), (None, 40)):
         expected = 902 * w / 47
