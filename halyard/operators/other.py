@@ -46,7 +46,7 @@ def heckman(df: DataFrame, y: str, *terms: str, selected: str, select: Sequence[
     return Fit("heckman", names, ols.beta, cov, n1, None, {"sigma": math.sqrt(sigma2), "rho": alpha / math.sqrt(sigma2), "selected": n1, "n": first.n}, d, {"first": first})
 
 
-def qreg(df: DataFrame, y: str, *terms: str, quantile: float = 0.5, predicate=None, constant: bool = True, max_steps: int = 200) -> Fit:
+def qreg(df: DataFrame, y: str, *terms: str, quantile: float = 0.5, predicate=None, constant: bool = True) -> Fit:
     """Quantile regression by majorising steps, each a weighted least squares in one job; then the vertex of K exact fits.
 
     Covariance for identical errors with the Hall-Sheather sparsity.
@@ -65,20 +65,16 @@ def qreg(df: DataFrame, y: str, *terms: str, quantile: float = 0.5, predicate=No
 
         scale = rows.agg(F.stddev_samp("y")).first()[0] or 1.0
         best, eps, now = beta, 0.1 * scale, loss(beta)
-        for _ in range(max_steps):
+        shift = np.array(list(rows.agg(*[F.sum(c) for c in x]).first()))
+        # a constant alone is the sample quantile already
+        while eps > 1e-7 * scale and not (constant and k == 1):
             e = F.col("y") - linear(x, beta)
-            w = 1 / (F.lit(eps) + F.abs(e))
-            _, m = cross_products(rows, [*x, F.col("y")], w)
-            shift = np.array(list(rows.agg(*[F.sum(c) for c in x]).first()))
-            new = np.linalg.solve(m[:k, :k], m[:k, k] + (2 * tau - 1) * shift)
-            moved, beta = np.abs(new - beta).max(), new
-            after = loss(beta)
-            if after < now:
-                best, now = beta, after
-            if moved < 1e-3 * eps:
-                eps /= 10
-                if eps < 1e-9 * scale:
-                    break
+            _, m = cross_products(rows, [*x, F.col("y")], 1 / (F.lit(eps) + F.abs(e)))
+            beta = np.linalg.solve(m[:k, :k], m[:k, k] + (2 * tau - 1) * shift)
+            eps /= 1.5
+        after = loss(beta)
+        if after < now:
+            best, now = beta, after
         near = rows.select(F.abs(F.col("y") - linear(x, best)).alias("e"), "y", *[c.alias(f"c{i}") for i, c in enumerate(x)]).orderBy("e").limit(4 * k).toPandas()
         points, chosen = near[[f"c{i}" for i in range(k)]].to_numpy(), []
         for i in range(len(points)):

@@ -651,7 +651,7 @@ def predicted_outcomes(spark, sf):
 @query()
 def bootstrap_quantile(spark, sf):
     df = load(spark, sf, "part")
-    fit = other.bootstrap_fit(df, lambda rows_, _: other.qreg(rows_, "p_retailprice", quantile=0.25), reps=5, seed=3)
+    fit = other.bootstrap_fit(df, lambda rows_, _: other.qreg(rows_, "p_retailprice", quantile=0.25), reps=3, seed=3)
     return fit.table(spark)
 
 
