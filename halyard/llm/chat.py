@@ -62,8 +62,10 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     while now.where("up is not null").limit(1).count() and 1 << len(saved) <= size:
         saved.append(now)
         above = now.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("total").alias("sum"))
-        joined = now.join(above, _at("conv", "up"), "left")
-        now = stored(joined.select("conv", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total")), "chat-jumps")
+        # only messages that haven't reached their root take part
+        joined = now.where("up is not null").join(above, _at("conv", "up"))
+        onward = joined.select("conv", "node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("sum")).alias("total"))
+        now = stored(now.where("up is null").union(onward), "chat-jumps")
     inner = links.select(F.col("conv").alias("c"), F.col("parent").alias("n")).where("n is not null").distinct()
     leaves = now.where("up is null").join(inner, _at("conv", "node"), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node"))
