@@ -25,9 +25,10 @@ from pyspark.sql.functions import arrow_udf
 from ._store import unclashed
 from ._text import PLAIN_WORD, byte_class, covered, find_words, hash_spans, per_text, prefix_hash, slices, span_hash, windows, word_hashes
 
-#: Largest share of word characters inside repeated n-grams of each length, and inside repeated lines. A text
-#: that merely repeats a heading or a closing line stays below them.
-NGRAM_LIMITS = {5: 0.20, 7: 0.20, 10: 0.20}
+#: Largest share of word characters inside repeated n-grams of each length, and inside repeated lines. The words of
+#: a repeated n-gram lie inside shorter repeated ones, so the limits must fall with length or the longer ones are idle.
+#: The one of 5-grams is loose for the sake of short headings and closing lines.
+NGRAM_LIMITS = {5: 0.20, 7: 0.15, 10: 0.10}
 LINE_LIMIT = 0.20
 MIN_WORDS, BASE_WINDOW, BASE_PERCENT = 10, 5, 20
 SYMBOLS = byte_class(*[(ord(c), ord(c)) for c in "#*$%&|<>"])

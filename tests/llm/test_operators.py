@@ -166,6 +166,18 @@ def test_quality(docs):
     assert same.columns == docs.columns and {r["doc_id"] for r in same.collect()} == kept
 
 
+def test_long_ngrams_reject(spark):
+    def text(n, total):
+        """n words twice, among words that occur once: total words of five characters each."""
+        words = [f"w{i:04}" for i in range(total - n)]
+        return " ".join([*words, *words[:n]])
+
+    short, seven, ten, few = text(5, 80), text(8, 100), text(10, 150), text(10, 220)  # shares: 0.125; 0.16; 0.133; 0.09
+    got = repetition.quality_rules(spark.createDataFrame([(1, short), (2, seven), (3, ten), (4, few)], "doc_id long, text string"))
+    assert rows(got.select("doc_id", "base_failed", "kept")) == [(1, False, True), (2, False, False), (3, False, False), (4, False, True)]
+    assert rows(got.select("doc_id", "dup_7gram_chars", "dup_10gram_chars")) == [(1, 0, 0), (2, 80, 0), (3, 100, 100), (4, 100, 100)]
+
+
 @pytest.mark.parametrize("least", [0, 3])
 def test_warc(spark, least):
     magic = "<p>WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
