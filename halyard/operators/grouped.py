@@ -123,16 +123,17 @@ def xtpoisson_re(df: DataFrame, y: str, *terms: str, group: str, distribution: s
 
 
 def xtgee_poisson(df: DataFrame, y: str, *terms: str, group: str, predicate=None, max_steps: int = 100) -> Fit:
-    """Log link, exchangeable correlation, balanced groups, scale 1; group sandwich with G/(G-1)."""
+    """Log link, exchangeable correlation (mean product of pairs within groups over the mean square), groups of any sizes, scale 1; group sandwich with G/(G-1)."""
     start = poisson(df, y, *terms, predicate=predicate)
     d = design(df, y, terms, predicate, True, None, group)
     k, b = d.k, start.beta
     d.rows = d.rows.persist()
     try:
-        sizes = d.rows.groupBy("g").agg(F.count("*").alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("g")).first()
-        t, groups = sizes["a"], sizes["g"]
-        if t is None or t != sizes["b"] or t < 2:
-            raise ValueError("groups must have one size, of 2 at least")
+        t = F.col("t")
+        sizes = d.rows.groupBy("g").agg(F.count("*").alias("t")).agg(F.max("t").alias("most"), F.sum("t").alias("n"), F.sum(t * (t - 1)).alias("pairs"), F.count("*").alias("g")).first()
+        most, groups = sizes["most"], sizes["g"]
+        if not sizes["pairs"]:
+            raise ValueError("some group must have 2 rows at least")
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
         def per_group(b: np.ndarray) -> DataFrame:
@@ -140,15 +141,15 @@ def xtgee_poisson(df: DataFrame, y: str, *terms: str, group: str, predicate=None
             root = F.exp(linear(x, b) / 2)
             e = F.col("y") / root - root
             z = [root * c for c in x]
-            return d.rows.groupBy("g").agg(F.sum(e).alias("e"), F.sum(e * e).alias("q"), *[F.sum(c).alias(f"z{i}") for i, c in enumerate(z)], *[F.sum(c * e).alias(f"w{i}") for i, c in enumerate(z)], *[F.sum(z[i] * z[j]).alias(f"h{i}_{j}") for i, j in pairs])
+            return d.rows.groupBy("g").agg(F.count("*").alias("t"), F.sum(e).alias("e"), F.sum(e * e).alias("q"), *[F.sum(c).alias(f"z{i}") for i, c in enumerate(z)], *[F.sum(c * e).alias(f"w{i}") for i, c in enumerate(z)], *[F.sum(z[i] * z[j]).alias(f"h{i}_{j}") for i, j in pairs])
 
         for _ in range(max_steps):
             sums = per_group(b)
             r = sums.agg(F.sum(F.col("e") ** 2).alias("a"), F.sum("q").alias("q")).first()
-            rho = (r["a"] / r["q"] - 1) / (t - 1)
-            if rho >= 1 or 1 + (t - 1) * rho <= 0:
+            rho = (r["a"] / r["q"] - 1) * sizes["n"] / sizes["pairs"]
+            if rho >= 1 or 1 + (most - 1) * rho <= 0:
                 raise ValueError("no valid exchangeable correlation")
-            c = rho / (1 + (t - 1) * rho)
+            c = F.lit(rho) / (1 + (t - 1) * rho)
             u = [(F.col(f"w{i}") - c * F.col(f"z{i}") * F.col("e")) / (1 - rho) for i in range(k)]
             row = sums.agg(*[F.sum(v).alias(f"u{i}") for i, v in enumerate(u)], *[F.sum((F.col(f"h{i}_{j}") - c * F.col(f"z{i}") * F.col(f"z{j}")) / (1 - rho)).alias(f"i{i}_{j}") for i, j in pairs], *[F.sum(u[i] * u[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
             info, middle = np.zeros((k, k)), np.zeros((k, k))

@@ -71,6 +71,12 @@ def generate_arith(spark, sf):
     return shown(rows.keep(out, "l_orderkey", "l_linenumber", "l_partkey", "net"), 4)
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_extendedprice * (1 - l_discount) / l_discount, 4) END AS net FROM lineitem")
+def generate_arith_whole(spark, sf):
+    out = rows.generate(load(spark, sf, "lineitem"), "net", "try_divide(l_extendedprice * (1 - l_discount), l_discount)")
+    return shown(rows.keep(out, "l_orderkey", "l_linenumber", "l_partkey", "net"), 4)
+
+
 @query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_retailprice * 2 ELSE p_retailprice END::DOUBLE AS p_retailprice FROM part")
 def replace_if(spark, sf):
     return shown(rows.keep(rows.replace(load(spark, sf, "part"), "p_retailprice", "p_retailprice * 2", "p_size > 25"), "p_partkey", "p_retailprice"))
@@ -476,6 +482,33 @@ def panel_re(spark, sf):
     return coefficients(spark, panel.xtreg_re(_panel(spark, sf), "y", "x", unit="u")).select("term", "estimate")
 
 
+# Whole unbalanced panels: every event of every user.
+
+
+_DEMEANED = f"(SELECT u, x - avg(x) OVER (PARTITION BY u) AS x, y - avg(y) OVER (PARTITION BY u) AS y FROM {_FIRST})"
+
+
+@query(f"WITH w AS (SELECT regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) AS rss, count(*) AS n, count(DISTINCT u) AS g FROM {_DEMEANED}), m AS (SELECT avg(y) AS my, avg(x) AS mx FROM {_FIRST}) SELECT '_cons' AS term, round(my - b * mx, 6) AS estimate, round(sqrt(rss / (n - g - 1) / n + mx * mx * rss / (n - g - 1) / sxx), 7) AS se, n FROM w, m UNION ALL SELECT 'x', round(b, 6), round(sqrt(rss / (n - g - 1) / sxx), 7), n FROM w")
+def panel_fe_whole(spark, sf):
+    fit = panel.xtreg_fe(_panel(spark, sf, False), "y", "x", unit="u")
+    return rounded(fit.table(spark).select("term", "estimate", "se", F.lit(fit.n).cast("long").alias("n")), se=7)
+
+
+@query(f"WITH m AS (SELECT u, avg(x) AS x, avg(y) AS y FROM {_FIRST} GROUP BY 1) SELECT '_cons' AS term, round(regr_intercept(y, x), 6) AS estimate FROM m UNION ALL SELECT 'x', round(regr_slope(y, x), 6) FROM m")
+def panel_between_whole(spark, sf):
+    return coefficients(spark, panel.xtreg_be(_panel(spark, sf, False), "y", "x", unit="u")).select("term", "estimate")
+
+
+@query(f"WITH d AS (SELECT x - lag(x) OVER w AS x, y - lag(y) OVER w AS y FROM {_FIRST} WINDOW w AS (PARTITION BY u ORDER BY t)) SELECT 'x' AS term, round(sum(x * y) / sum(x * x), 6) AS estimate FROM d WHERE x IS NOT NULL")
+def panel_fd_whole(spark, sf):
+    return coefficients(spark, panel.xtreg_fd(_panel(spark, sf, False), "y", "x", unit="u", time="t")).select("term", "estimate")
+
+
+@query()
+def panel_re_whole(spark, sf):
+    return coefficients(spark, panel.xtreg_re(_panel(spark, sf, False), "y", "x", unit="u")).select("term", "estimate")
+
+
 @query()
 def panel_ml_gee(spark, sf):
     df = _panel(spark, sf, False)
@@ -545,6 +578,13 @@ def xtpoisson_fe_t2(spark, sf):
     return coefficients(spark, likelihood.xtpoisson_fe(df, "y", "second", group="u")).select("term", "estimate")
 
 
+@query()
+def xtpoisson_fe_whole(spark, sf):
+    text = "SELECT user_id AS u, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 2 AS DOUBLE) AS second, CAST(1 + event_id % 9 AS DOUBLE) AS y, value / 100 AS x FROM active"
+    df = tables.numbered(safe.sql(load(spark, sf, "events"), text))
+    return coefficients(spark, likelihood.xtpoisson_fe(df, "y", "second", "x", group="u")).select("term", "estimate")
+
+
 @query("SELECT '_cons' AS term, round(regr_intercept(y, x), 4) AS estimate FROM (SELECT l_quantity + 100 AS y, l_discount * 100 AS x FROM lineitem) UNION ALL SELECT 'x', round(regr_slope(y, x), 4) FROM (SELECT l_quantity + 100 AS y, l_discount * 100 AS x FROM lineitem)")
 def tobit_uncensored(spark, sf):
     df = load(spark, sf, "lineitem").selectExpr("l_quantity + 100 AS y", "l_discount * 100 AS x", tables.ROW)
@@ -616,8 +656,8 @@ def estimates_table(spark, sf):
 
 @query()
 def panel_counts(spark, sf):
-    text = "SELECT user_id AS u, CAST(event_id % 7 + user_id % 4 AS DOUBLE) AS y, value / 100 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, count(*) OVER (PARTITION BY user_id) AS c FROM active"
-    df = tables.numbered(safe.sql(load(spark, sf, "events"), text).where("t <= 10 AND c >= 10"))
+    text = "SELECT user_id AS u, CAST(event_id % 7 + user_id % 4 AS DOUBLE) AS y, value / 100 AS x FROM active"
+    df = tables.numbered(safe.sql(load(spark, sf, "events"), text))
     fits = {"gamma": grouped.xtpoisson_re(df, "y", "x", group="u"), "normal": grouped.xtpoisson_re(df, "y", "x", group="u", distribution="normal"), "gee": grouped.xtgee_poisson(df, "y", "x", group="u"), "fixed": likelihood.xtpoisson_fe(df, "y", "x", group="u")}
     return linear.compare(spark, fits)
 
@@ -630,6 +670,16 @@ def clogit_pairs(spark, sf):
     return coefficients(spark, likelihood.clogit(both, "chosen", "first", group="s")).select("term", "estimate")
 
 
+@query("WITH c AS (SELECT count(*) FILTER (l_linenumber = 1) AS a, count(*) AS n, max(l_linenumber) AS k FROM lineitem) SELECT 'first' AS term, round(ln(a * (k - 1) / (n - a)), 6) AS estimate FROM c")
+def clogit_lines(spark, sf):
+    """Every line chooses its number among all line numbers."""
+    df = load(spark, sf, "lineitem").select(F.col(tables.ROW).alias("s"), "l_linenumber", tables.ROW)
+    most = int(df.agg(F.max("l_linenumber")).first()[0])
+    long = df.select("s", tables.ROW, F.explode(F.sequence(F.lit(1), F.lit(most))).alias("alternative"), "l_linenumber")
+    long = long.selectExpr("s", tables.ROW, "cast(alternative = 1 as double) AS first", "cast(alternative = l_linenumber as double) AS chosen")
+    return coefficients(spark, likelihood.clogit(long, "chosen", "first", group="s")).select("term", "estimate")
+
+
 @query()
 def nested_choice(spark, sf):
     text = """WITH long AS (SELECT o_orderkey AS s, a, a % 3 + o_totalprice / 300000 * ((o_orderkey + a) % 5) AS price, -ln(-ln((pmod(xxhash64(o_orderkey, a), 998) + 1) / 1000D)) AS noise
