@@ -1,11 +1,14 @@
 """License scan by canonical digests, in DataFrame operations only.
 
 A text is brought to a canonical form: ASCII letters in lower case, copyright
-lines dropped, equivalent spellings unified, and whatever isn't a letter, digit
-or non-ASCII character turned into single blanks.  The SHA-256 of the whole
+notices dropped (lines where a sign, a year or a placeholder follows the word,
+not lines of a body that begin with it), so are titles of short licences and
+lines of a holder without a year before the body, equivalent spellings unified,
+and whatever isn't a letter, digit or non-ASCII character turned into single
+blanks.  The SHA-256 of the whole
 canonical text is joined by equality with the digests of known licences, which
 are made by the same expression.  The known table is a constant of this module
-(or the caller's, of at most ``MAX_BROADCAST`` rows to be broadcast; a larger one
+with the full texts in ``license_texts`` (or the caller's, of at most ``MAX_BROADCAST`` rows to be broadcast; a larger one
 is joined by an ordinary shuffled hash join).
 
 Defined cases: null texts count as empty and match nothing; a text matches as a
@@ -15,13 +18,21 @@ column is replaced.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import unclashed
 
 MAX_BROADCAST = 10_000
-COPYRIGHT_LINE = r"(^|\n)[ \t#/*;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A notice, anywhere: "copyright", then a sign, a year or a placeholder; a sign, then a year or the word.
+NOTICE_LINE = r"(^|\n)[ \t#/*;-]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4}|[<\[{])[^\n]*|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{4}|[<\[{])[^\n]*|all rights reserved[. \t\r]*(?=\n|$))"
+#: Before the body: titles of the licences that are often given without one, and holders without a year.
+TITLE = r"(?:the[ \t]+)?(?:mit|expat|x11|isc|zlib|0bsd|bsd|(?:zero|[0-9])[ -]clause[ -]bsd|(?:simplified|modified|new|revised|free)[ \t]+bsd)(?:[ \t]+no[ \t]+attribution|[ \t]+(?:zero|[0-9])[ -]clause)?(?:[ \t]+[\"']?(?:new|simplified|revised|modified)[\"']?(?:[ \t]+or[ \t]+[\"']?(?:new|simplified|revised|modified)[\"']?)?)?(?:[ \t]+licen[sc]e)?(?:[ \t]+\([^)\n]{1,40}\))?[.:]?"
+HEAD = rf"\A(?:[\s#/*;=-]*(?:{TITLE}|copyright[ \t]+(?!notice|holder|owner|law|act\b)[^\n]{{1,200}})[ \t\r*#/=-]*(?=\n|\z)){{1,20}}"
+#: The registered SQL keeps its rule and its table.
+SQL_COPYRIGHT_LINE = r"(^|\n)[ \t#/*;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Spellings that mean the same, and typographic marks.
@@ -47,9 +58,15 @@ KNOWN = {
 }
 
 
+def known_texts() -> dict[str, str]:
+    """KNOWN and the full texts, by id."""
+    return KNOWN | {f.stem: f.read_text("utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 def canonical(text: Column) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    out = F.regexp_replace(out, NOTICE_LINE, "$1")
+    out = F.regexp_replace(out, HEAD, "")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
@@ -61,13 +78,14 @@ def digest(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """license_id and digest; of licences with one canonical text, the first name."""
-    rows = spark.createDataFrame(list((KNOWN if texts is None else texts).items()), "license_id string, text string")
+    rows = spark.createDataFrame(list((known_texts() if texts is None else texts).items()), "license_id string, text string")
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
     """Adds canonical_sha256 and license_id, null where the whole text is no known licence."""
-    size = len(KNOWN if texts is None else texts)
+    texts = known_texts() if texts is None else texts
+    size = len(texts)
     known = known_licenses(docs.sparkSession, texts).withColumnRenamed("digest", "canonical_sha256")
     rows = docs.withColumn("__digest", digest(F.col(text_col)))
     rows = unclashed(rows, ["canonical_sha256", "license_id"]).withColumnRenamed("__digest", "canonical_sha256")
@@ -77,7 +95,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", texts: dict[str, str]
 def oracle_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     out = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
-    out = f"regexp_replace({out}, {quote(COPYRIGHT_LINE)}, '\\1', 'g')"
+    out = f"regexp_replace({out}, {quote(SQL_COPYRIGHT_LINE)}, '\\1', 'g')"
     for a, b in SPELLINGS:
         out = f"replace({out}, {quote(a)}, {quote(b)})"
     out = f"sha256(trim(regexp_replace({out}, {quote(NOT_WORD)}, ' ', 'g'), ' '))"

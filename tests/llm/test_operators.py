@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 
 import brute
 import pyarrow.parquet as pq
@@ -225,6 +226,36 @@ def test_licenses(spark):
     assert {r["doc_id"]: r["license_id"] for r in got.collect()} == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: "ISC"}
 
 
+TITLES = {"MIT": ["MIT License", "The MIT License (MIT)"], "MIT-0": ["MIT No Attribution"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'], "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'], "Zlib": ["zlib License"]}
+HOLDERS = ["Copyright (c) 2020, Jane Doe", "Copyright 2019-2021 The Halyard Authors. All rights reserved.", "Copyright Halyard Contributors", "(c) 2001 Doe\nAll rights reserved.", "© 2015 Doe", "Copyright (c) <year> <owner>."]
+
+
+def test_licenses_in_their_layouts(spark):
+    texts, want = [], []
+    for name, titles in TITLES.items():
+        for width in (40, 56, 70, 72, 79):
+            body = "\n\n".join(textwrap.fill(p, width) for p in licenses.KNOWN[name].split("\n\n"))
+            plain = [body, *[f"{title}\n\n{holder}\n\n{body}\n" for title in titles for holder in HOLDERS], *[f"{holder}\n\n{body}" for holder in HOLDERS], f"{HOLDERS[0]}\n{titles[0]}\n\n{body}"]
+            for text in [*plain, plain[1].replace("\n", "\r\n"), "/*\n" + "".join(f" * {row}\n" for row in plain[1].split("\n")) + " */\n"]:
+                texts.append(text)
+                want.append(name)
+    full = {k: v for k, v in licenses.known_texts().items() if k not in licenses.KNOWN}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"} <= set(full)
+    for name, text in full.items():
+        for layout in (text, text.replace("\n", "\r\n"), "".join(f"# {row}\n" for row in text.split("\n")), text.upper()):
+            texts.append(layout)
+            want.append(name)
+        texts += [text + " more", text[: len(text) // 2]]
+        want += [None, None]
+    # lines of a body that begin with the word stay, so other bodies stay different
+    texts += ["copyright notice and this permission notice\nappear", "appear", "copyright holders be liable", "MIT License", ""]
+    want += [None] * 5
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: r for r in got}
+    assert [(texts[i][:99], found[i]["license_id"], w) for i, w in enumerate(want) if found[i]["license_id"] != w] == []
+    assert found[len(texts) - 5]["canonical_sha256"] != found[len(texts) - 4]["canonical_sha256"]
+
+
 def test_chat_tree(spark):
     tree = [("c", 1, None, 0.0, "user", "hi <|turn|> \\<|"), ("c", 2, 1, 0.2, "assistant", "low"), ("c", 3, 1, 0.9, "assistant", "hé \\\\<\\|"), ("c", 4, 3, 0.5, "user", ""), ("c", 5, 4, 0.9, "assistant", "end"), ("d", 1, 9, 0.0, "assistant", "root"), (None, 1, None, 0.0, "user", "n"), ("e", 1, 2, 0.0, "user", "x"), ("e", 2, 1, 0.0, "user", "x")]
     messages = spark.createDataFrame(tree, "conv string, node long, parent long, score double, role string, text string")
