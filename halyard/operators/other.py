@@ -6,13 +6,12 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.safe import all_finite, finite, number, truth
+from ..functions.safe import all_finite, finite_or_null, number, truth
 from ..plans.moments import Design, cross_products, design, linear, meat, solved
 from ..sources.tables import ROW
 from .likelihood import probit
@@ -149,15 +148,23 @@ def nl(df: DataFrame, y: str, formula: str, start: dict[str, float], variables:
 
 
 def lowess(df: DataFrame, y: str, x: str, into: str, by: str | None = None, bandwidth: float = 2 / 3, most: int = 10_000) -> DataFrame:
-    """Locally linear tricube smooth over centred ranks, per group of ``by``; a group over ``most`` rows is an error."""
+    """Locally linear tricube smooth over centred ranks, per group of ``by``; a group of over ``most`` rows to smooth is an error.
+
+    Every point uses the given share of its group, so work grows with the square of a group; rows that aren't finite get null.
+    """
     need(df, y, x, *([by] if by else []))
-    rows = df.where(finite(q(x)) & finite(q(y))).select(ROW, number(q(x)).alias("x"), number(q(y)).alias("y"), (q(by) if by else F.lit(0)).alias("g"))
-    if rows.groupBy("g").count().where(f"count > {most}").limit(1).count():
+    rows = df.withColumns({"__x": finite_or_null(q(x)), "__y": finite_or_null(q(y)), "__g": q(by) if by else F.lit(0)})
+    if rows.where("__x is not null and __y is not null").groupBy("__g").count().where(f"count > {most}").limit(1).count():
         raise ValueError(f"a group has more than {most} rows")
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", ROW], kind="stable")
-        xs, ys, n = pdf["x"].to_numpy(), pdf["y"].to_numpy(), len(pdf)
+    names = [*df.columns, into]
+
+    def smooth(table: pa.Table) -> pa.Table:
+        x_all, y_all = table["__x"].to_pylist(), table["__y"].to_pylist()
+        order = [i for i in range(len(x_all)) if x_all[i] is not None and y_all[i] is not None]
+        row = table[ROW].to_pylist()
+        order.sort(key=lambda i: (x_all[i], row[i]))
+        xs, ys = np.array([x_all[i] for i in order]), np.array([y_all[i] for i in order])
+        n = len(order)
         k = int((n * bandwidth - 0.5) // 2)
         out = ys.copy()
         for i in range(n) if k > 0 else ():
@@ -171,10 +178,13 @@ def lowess(df: DataFrame, y: str, x: str, into: str, by: str | None = None, band
             s, su, sv, suu, suv = w.sum(), w @ u, w @ v, w @ (u * u), w @ (u * v)
             det = s * suu - su * su
             out[i] = (suu * sv - su * suv) / det if det > 1e-12 * s * suu else sv / s
-        return pd.DataFrame({ROW: pdf[ROW], into: out})
+        fitted: list[float | None] = [None] * len(x_all)
+        for i, value in zip(order, out.tolist(), strict=True):
+            fitted[i] = value
+        return table.append_column(into, pa.array(fitted, pa.float64())).select(names)
 
-    fitted = rows.groupBy("g").applyInPandas(smooth, f"{ROW} bigint, {into} double")
-    return df.join(fitted, ROW, "left")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return rows.groupBy("__g").applyInArrow(smooth, f"{kinds}, `{into}` double")
 
 
 def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1, cluster: str | None = None, predicate=None, constant: bool = True) -> Fit:
@@ -184,7 +194,7 @@ def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1
     cluster or the row's values and number, so results don't depend on the partitioning; replicates add up
     their own cross products.
     """
-    d = design(df, y, terms, predicate, constant, None, cluster, {"row": F.col(ROW)})
+    d = design(df, y, terms, predicate, constant, None, cluster, {"row": F.xxhash64(ROW)})
     k = d.k
     unit = F.xxhash64(F.lit(seed), F.col("g") if cluster else F.col("row"))
     columns = [*d.x(), F.col("y")]

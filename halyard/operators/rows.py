@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import guarded, is_numeric, truth
-from ..sources.tables import ROW, renumbered
+from ..sources.tables import ROW, arranged, place, ranked
 
 
 def names_of(df: DataFrame) -> list[str]:
@@ -102,7 +102,7 @@ def encode(df: DataFrame, name: str, into: str) -> tuple[DataFrame, DataFrame]:
     """Sorted distinct strings become 1..K. Returns the table and the label set (code, label)."""
     need(df, name)
     levels = df.select(q(name).alias("label")).where("label is not null").distinct()
-    labels = renumbered(levels, "label").select((F.col(ROW) + 1).alias("code"), "label")
+    labels = ranked(levels, "label").select((F.col(ROW) + 1).alias("code"), "label")
     named = labels.select(F.col("code").alias(into), F.col("label").alias("__label"))
     return df.join(named, q(name) == F.col("__label"), "left").drop("__label").select(*names_of(df), into, ROW), labels
 
@@ -126,7 +126,7 @@ def gsort(df: DataFrame, *keys: str) -> DataFrame:
         n = k.lstrip("+-")
         need(df, n)
         order.append(q(n).desc_nulls_last() if k.startswith("-") else q(n).asc_nulls_last())
-    return renumbered(df.withColumnRenamed(ROW, "__was"), *order, "__was").drop("__was")
+    return arranged(df.withColumnRenamed(ROW, "__was"), *order, "__was").drop("__was")
 
 
 def head(df: DataFrame, n: int = 5) -> DataFrame:
@@ -154,17 +154,17 @@ def join_tables(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
         taken.add(new)
         renamed.append(q(c).alias(new))
     keys = [q(k).alias(f"__k{i}") for i, k in enumerate(on)]
-    other = right.select(*keys, *renamed, q(ROW).alias("__right"))
-    joined = left.withColumnRenamed(ROW, "__left").join(other, [F.col("`" + k + "`") == F.col(f"__k{i}") for i, k in enumerate(on)], how).drop(*[f"__k{i}" for i in range(len(on))])
-    return renumbered(joined, "__left", F.col("__right").asc_nulls_first()).drop("__left", "__right")
+    other = right.select(*keys, *renamed, place(right).alias("__right"))
+    joined = left.withColumn(ROW, place(left)).join(other, [q(k) == F.col(f"__k{i}") for i, k in enumerate(on)], how).drop(*[f"__k{i}" for i in range(len(on))])
+    return joined.withColumn(ROW, F.concat(ROW, F.coalesce("__right", F.array().cast("array<bigint>")))).drop("__right")
 
 
 def append(top: DataFrame, bottom: DataFrame) -> DataFrame:
     """The rows of both, by name; the same columns and types are required."""
     if dict(top.drop(ROW).dtypes) != dict(bottom.drop(ROW).dtypes):
         raise ValueError("columns or types differ")
-    both = top.withColumn("__side", F.lit(0)).unionByName(bottom.withColumn("__side", F.lit(1))).withColumnRenamed(ROW, "__was")
-    return renumbered(both, "__side", "__was").drop("__side", "__was")
+    sides = [df.withColumn(ROW, F.concat(F.array(F.lit(side).cast("bigint")), place(df))) for side, df in enumerate((top, bottom))]
+    return sides[0].unionByName(sides[1])
 
 
 def reshape_long(df: DataFrame, stubs: Sequence[str], i: Sequence[str], j: str) -> DataFrame:
@@ -177,9 +177,9 @@ def reshape_long(df: DataFrame, stubs: Sequence[str], i: Sequence[str], j: str)
                 found.setdefault(c[len(s) + 1 :], []).append(s)
     if not found or any(sorted(v) != sorted(stubs) for v in found.values()):
         raise ValueError("incomplete set of columns")
-    rows = F.array(*[F.struct(F.lit(n).alias("__n"), F.lit(s).alias(j), *[q(f"{x}_{s}").alias(x) for x in stubs]) for n, s in enumerate(found)])
-    out = df.select(*map(q, i), q(ROW).alias("__was"), F.inline(rows))
-    return renumbered(out, "__was", "__n").select(*i, j, *stubs, ROW)
+    rows = F.array(*[F.struct(F.lit(n).cast("bigint").alias("__n"), F.lit(s).alias(j), *[q(f"{x}_{s}").alias(x) for x in stubs]) for n, s in enumerate(found)])
+    out = df.select(*map(q, i), place(df).alias(ROW), F.inline(rows))
+    return out.withColumn(ROW, F.concat(ROW, F.array("__n"))).select(*map(q, i), q(j), *map(q, stubs), ROW)
 
 
 def reshape_wide(df: DataFrame, values: Sequence[str], i: Sequence[str], j: str) -> DataFrame:
@@ -189,8 +189,7 @@ def reshape_wide(df: DataFrame, values: Sequence[str], i: Sequence[str], j: str)
     if not levels:
         raise ValueError("no values of j")
     cells = [F.max(F.when(q(j).cast("string") == level, q(v))).alias(f"{v}_{level}") for v in values for level in levels]
-    out = df.groupBy(*map(q, i)).agg(*cells, F.min(ROW).alias("__was"))
-    return renumbered(out, "__was").drop("__was")
+    return df.groupBy(*map(q, i)).agg(*cells, F.min(ROW).alias(ROW))
 
 
 def lagged(df: DataFrame, name: str, by: Sequence[str], order: str, n: int = 1) -> Column:

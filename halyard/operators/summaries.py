@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,19 +137,43 @@ def collapse(df: DataFrame, stat: str, names: Sequence[str], by: Sequence[str])
     return df.groupBy(*map(q, by)).agg(*aggs, F.min(ROW).alias(ROW))
 
 
+_TURNS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _powers(turn: np.uint64, n: int) -> np.ndarray:
+    """turn**(n - 1), ..., turn, 1 modulo 2**64."""
+    up = np.full(max(n, 1), turn, np.uint64)
+    up[0] = 1
+    return np.multiply.accumulate(up)[::-1][max(n, 1) - n :]
+
+
+def _part_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of rows in order: its number, its rows and two polynomials in its rows' hashes."""
+    total, n = np.zeros(2, np.uint64), 0
+    for batch in batches:
+        leaf = batch.column(0).to_numpy().view(np.uint64)
+        for k, turn in enumerate(_TURNS):
+            total[k] = total[k] * np.uint64(pow(int(turn), len(leaf), 1 << 64)) + (leaf * _powers(turn, len(leaf))).sum(dtype=np.uint64)
+        n += len(leaf)
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), *(pa.array(total[k : k + 1].view(np.int64)) for k in (0, 1))], ["part", "n", "a", "b"])
+
+
 def datasignature(df: DataFrame) -> DataFrame:
-    """A digest of schema and rows in order, as a tree: rows are hashed and summed by block, then the blocks in order.
+    """A digest of schema and rows in order. One row: signature, rows.
 
-    Blocks of row numbers are independent, so no task reads the whole table; the algorithm is this library's own.
+    Rows are hashed, each range of rows gives two polynomials in its hashes, and those of neighbouring ranges combine
+    to that of both, so neither partitions nor gaps in row numbers matter. The algorithm is this library's own.
     """
     schema = ";".join(f"{n}:{t}" for n, t in df.dtypes if n != ROW)
     cells = [F.concat(F.lit("v"), F.length(q(n).cast("string")).cast("string"), F.lit(":"), q(n).cast("string")) for n in names_of(df)]
     row = F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("null")) for c in cells]), 256)
-    leaf = F.conv(F.substring(F.sha2(F.concat_ws("#", F.col(ROW).cast("string"), row), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    blocks = df.select(F.shiftright(ROW, 16).alias("block"), leaf.alias("h")).groupBy("block").agg(F.sum("h").alias("h"), F.count("*").alias("n"))
-    mixed = F.conv(F.substring(F.sha2(F.concat_ws(":", "block", "h", "n"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    total = blocks.agg(F.coalesce(F.sum(mixed), F.lit(0)).alias("h"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"))
-    return total.select(F.sha2(F.concat_ws("/", F.lit(schema), F.col("h").cast("string"), F.col("rows").cast("string")), 256).alias("signature"), "rows")
+    leaf = F.conv(F.substring(row, 1, 15), 16, 10).cast("bigint")
+    rows = df.select(ROW, leaf.alias("leaf")).repartitionByRange(ROW).sortWithinPartitions(ROW).select("leaf")
+    total, n = [0, 0], 0
+    for r in sorted(rows.mapInArrow(_part_hashes, "part bigint, n bigint, a bigint, b bigint").collect()):
+        total = [(t * pow(int(turn), r["n"], 1 << 64) + h) % (1 << 64) for t, turn, h in zip(total, _TURNS, (r["a"], r["b"]), strict=True)]
+        n += r["n"]
+    return df.sparkSession.createDataFrame([(hashlib.sha256(f"{schema}/{n}/{total[0]}/{total[1]}".encode()).hexdigest(), n)], "signature string, rows bigint")
 
 
 def histogram(df: DataFrame, name: str, low: float, high: float, bins: int = 10) -> DataFrame:

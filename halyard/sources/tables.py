@@ -1,10 +1,16 @@
-"""Reading and writing tables. Every table carries its row order in the hidden column ``__row``."""
+"""Reading and writing tables. Every table carries its row order in the hidden column ``__row``.
+
+The order is a value to sort by, not a number: a bigint that ascends (with gaps), or a list of them that is compared
+place by place, as joins, appended and reshaped tables have it.  So these need no shuffle for the order's sake.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 ROW = "__row"
 
 
@@ -55,9 +61,19 @@ def export(df: DataFrame, path: str, replace: bool = False, partitions: int | No
     (out.coalesce(partitions) if partitions else out).write.mode("overwrite" if replace else "errorifexists").csv(path, header=True)
 
 
-def renumbered(df: DataFrame, *order) -> DataFrame:
-    """A dense order from 0 by the given keys, in two passes over ranges: no task sees all rows."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+def place(df: DataFrame) -> Column:
+    """The order as a list, to which further places can be added."""
+    return F.col(ROW) if dict(df.dtypes)[ROW].startswith("array") else F.array(F.col(ROW))
+
+
+def arranged(df: DataFrame, *order) -> DataFrame:
+    """Rows in the order of the given keys: ranges are sorted, and row ids ascend over the ranges."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id())
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """Dense numbers from 0 by the given keys. The ranges are stored once, so that sizes and rows are of one evaluation."""
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranks")
     sizes = placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__least"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", "__least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
