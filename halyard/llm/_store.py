@@ -1,45 +1,25 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and helpers for columns and batches."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import shared
+from ..sources.shared import dropped, new_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where the setting is missing."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="halyard-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/halyard/{name}-{uuid.uuid4().hex}"
+__all__ = ["dropped", "new_path", "stored", "text_batches", "unclashed"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which cuts its lineage."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = shared.stored(df, name)
     # what the write shuffled goes once the driver collects its garbage
     gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def unclashed(df: DataFrame, names: Iterable[str]) -> DataFrame:

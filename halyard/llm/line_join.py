@@ -4,52 +4,62 @@ A line is the set of its words.  A line is removed if an earlier line of the
 corpus, in order of id, content and line number, has a Jaccard similarity of
 ``similarity`` or more.
 
-1. Word frequencies are counted over all lines, into ``BUCKETS`` hash buckets: a
+1. Word frequencies are counted over all texts, into ``BUCKETS`` hash buckets: a
    table of fixed size, which gives every word a rarity rank.
 2. Equal sets are collapsed to the earliest line.  Of every distinct set, the
    words in order of rarity form its prefix: two sets as similar as asked share
    a word of their prefixes.
 3. Sets that share a prefix word are candidates if their sizes (length filter),
    the places of the word (positional filter) and the parity bitmaps of their words
-   allow the similarity.  The first pass compares every set with the earliest
-   one of each word only, so a word shared by many near copies costs one row
-   per copy.  The second pass compares the sets that are left with all earlier ones.
+   allow the similarity; the filters are conditions of the join itself.  The first
+   pass compares every set with the earliest one of each word only, so a word shared
+   by many near copies costs one row per copy.  The second pass compares the sets
+   that are left with all earlier ones of their length class and its neighbours.
 4. Candidates are verified on the words themselves.
 
 Defined cases: null texts are empty; lines without words are kept; rows that repeat id and
-text are one document, and get one result each; extra columns don't matter.
+text are one document, and get one result each; null ids come first; texts of any length are
+read whole; extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import dropped, stored
 
 SIMILARITY = 0.8
-BUCKETS = 1 << 16
-_BLANKS = "[ \\t\\x0B\\f\\r]+"
+BUCKETS, SHELF = 1 << 20, 1 << 10
+_BLANKS = "\t\x0b\f\r"
+
+
+def _split(text: Column, blanks: str = _BLANKS) -> Column:
+    """Words between blanks, with empty ones in between; single-character replacements and splits are the cheap ones."""
+    for c in blanks:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, " ")
 
 
 def line_words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(line, _BLANKS)), "")
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str, *names: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    one = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    return one.select("id", "content", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), text.alias("text")).toDF(*names)
 
 
-def word_ranks(lines: DataFrame) -> DataFrame:
-    """One row: an array of BUCKETS ranks, low for rare words."""
-    words = lines.select(F.explode(F.split("words", _BLANKS)).alias("w")).where("w != ''")
+def word_ranks(docs: DataFrame, text_col: str) -> DataFrame:
+    """One row: BUCKETS ranks, low for rare words, as shelves of SHELF ranks each."""
+    words = docs.select(F.explode(_split(F.col(text_col), _BLANKS + "\n")).alias("w")).where("w != ''")
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    rank = F.least(F.floor(F.log2("n") * 8), F.lit(255)).cast("long")
-    every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("r"))
-    filled = counts.select("b", rank.alias("r")).union(every).groupBy("b").agg(F.max("r").alias("r"))
-    return filled.agg(F.array_sort(F.collect_list(F.struct("b", "r"))).alias("all")).select(F.col("all.r").alias("ranks"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(1).cast("long").alias("n"))
+    ranks = counts.union(every).groupBy("b").agg(F.least(F.floor(F.log2(F.max("n")) * 4), F.lit(127)).cast("tinyint").alias("r"))
+    shelves = ranks.groupBy(F.shiftright("b", 10).alias("shelf")).agg(F.sort_array(F.collect_list(F.struct("b", "r"))).alias("x")).select("shelf", F.col("x.r").alias("r"))
+    return shelves.agg(F.sort_array(F.collect_list(F.struct("shelf", "r"))).alias("all")).select(F.col("all.r").alias("ranks"))
 
 
 def _prefix_size(n: Column, similarity: float) -> Column:
@@ -57,17 +67,32 @@ def _prefix_size(n: Column, similarity: float) -> Column:
 
 
 def _short(code: Column) -> Column:
-    """A word's 32 bits for the candidate search: words that share them only make a few more candidates."""
-    return F.shiftright(code, 31).cast("int")
+    """A word's 31 bits for the candidate search: words that share them only make a few more candidates."""
+    return F.shiftright(code, 20).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
+def _length_class(n: Column, similarity: float) -> Column:
+    """Lengths as far apart as two sets may be are of one class or of neighbours; a class is so wide that a set meets two at most."""
+    return F.floor(F.log(n) / (-2 * math.log(similarity))).cast("int")
+
 
+def _parity(codes: str, word: int) -> Column:
+    """64 of the bits that tell whether an even or odd number of words has a hash of that residue."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: F.when(c.bitwiseAND(F.lit(64)) == 64 * word, a.bitwiseXOR(bit(c))).otherwise(a))
 
-def _sets(lines: DataFrame, ranks: Column, similarity: float) -> DataFrame:
-    """Per line: id, content, line, n words, hashes of the set, parity bitmap, and the prefix, rarest first."""
-    hashed = lines.withColumn("ranks", ranks).withColumn("h", F.transform(line_words(F.col("words")), lambda w: F.xxhash64(w)))
-    code = lambda h: F.shiftleft(F.element_at("ranks", (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
-    sets = hashed.withColumn("n", F.size("h")).withColumn("codes", F.array_sort(F.transform("h", code)))
-    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    return sets.select("id", "content", "line", "n", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), bits.alias("bits"), F.transform(F.slice("codes", F.lit(1), F.greatest(_prefix_size(F.col("n"), similarity), F.lit(0)).cast("int")), _short).alias("prefix"))
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, ranks: Column, similarity: float) -> DataFrame:
+    """Per line: id, content, line, n words, hashes of the set, parity bitmaps, and the prefix, rarest first."""
+    lines = _texts(docs, id_col, text_col, "id", "content", "text").select("id", "content", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    hashed = lines.select("id", "content", "line", F.array_remove(F.array_distinct(F.transform(_split(F.col("words")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))).alias("h"))
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    rank = lambda h: F.get(F.get("ranks", F.shiftright(bucket(h), 10)), bucket(h).bitwiseAND(F.lit(SHELF - 1))).cast("long")
+    codes = F.sort_array(F.transform("h", lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    # the table of ranks is used once, in the projection that adds it: as a column of its own it would be copied for every line
+    sets = hashed.withColumn("ranks", ranks).select("id", "content", "line", codes.alias("codes")).withColumn("n", F.size("codes"))
+    prefix = F.slice("codes", F.lit(1), F.greatest(_prefix_size(F.col("n"), similarity), F.lit(0)).cast("int"))
+    return sets.select("id", "content", "line", "n", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), _parity("codes", 0).alias("bits"), _parity("codes", 1).alias("more"), F.transform(prefix, _short).alias("prefix"))
 
 
 def _need(n: str, m: str, similarity: float) -> Column:
@@ -75,11 +100,16 @@ def _need(n: str, m: str, similarity: float) -> Column:
     return F.ceil((F.col(n) + F.col(m)) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _filters(n: str, m: str, bits: str, other: str, similarity: float) -> Column:
-    """Length filter, and the parity bitmaps: each word not in common shows there at most once."""
-    a, b = F.col(n), F.col(m)
-    need = _need(n, m, similarity)
-    return (b >= a * similarity - 1e-9) & (a >= b * similarity - 1e-9) & (F.bit_count(F.col(bits).bitwiseXOR(F.col(other))) <= a + b - 2 * need)
+def _alike(similarity: float) -> Column:
+    """What two sets (node, n, place, bits, more) and (other, n_other, ...) that share a prefix word need; other is the earlier one.
+
+    Length filter; positional filter; and the parity bitmaps, where each word not in common shows at most once.
+    """
+    a, b = F.col("n"), F.col("n_other")
+    need = _need("n", "n_other", similarity)
+    odd = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_other")))
+    ahead = F.least("place", "place_other") + F.least(a - F.col("place"), b - F.col("place_other")) >= need
+    return (F.col("node") > F.col("other")) & (b >= a * similarity - 1e-9) & (a >= b * similarity - 1e-9) & ahead & (odd("bits") + odd("more") <= a + b - 2 * need)
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -87,47 +117,48 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pair
     nodes = pairs.select("node").union(pairs.select("other")).distinct()
     place = sets.select("node", "id", "content", "line").join(nodes, "node")
     wanted = place.groupBy("id", "content").agg(F.collect_list(F.struct("line", "node")).alias("at"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("c"), text.alias("text"))
+    texts = _texts(docs, id_col, text_col, "i", "c", "text")
     found = texts.join(wanted.hint("shuffle_hash"), texts["i"].eqNullSafe(wanted["id"]) & (texts["c"] == wanted["content"]))
     # as a generator's output the lines are split once a text, not once for each line looked up
     found = found.select("at", F.explode(F.array(F.split("text", "\n"))).alias("l"))
     words = found.select(F.explode(F.transform("at", lambda x: F.struct(x["node"].alias("node"), line_words(F.element_at(F.col("l"), x["line"] + 1)).alias("w")))).alias("x")).select("x.node", "x.w")
+    # stored, so that the joins with it are plain exchanges, which adaptive execution splits where one set has many pairs
+    words = stored(words.dropDuplicates(["node"]), "line-words")
     one, two = words.toDF("node", "w1"), words.toDF("other", "w2")
     common = F.size(F.array_intersect("w1", "w2"))
-    return pairs.join(one, "node").join(two, "other").where(common >= similarity * (F.size("w1") + F.size("w2") - common) - 1e-9).select("node").distinct()
+    same = stored(pairs.join(one, "node").join(two, "other").where(common >= similarity * (F.size("w1") + F.size("w2") - common) - 1e-9).select("node").distinct(), "line-gone")
+    dropped(words)
+    return same
 
 
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every line of every distinct document: id, content, line, removed."""
-    lines = _lines(docs, id_col, text_col)
-    ranks = word_ranks(lines).scalar()
-    every = stored(_sets(lines, ranks, similarity), "lines")
+    ranks = word_ranks(docs, text_col).scalar()
+    every = stored(_sets(docs, id_col, text_col, ranks, similarity), "lines")
     first = F.min(F.struct("id", "content", "line")).alias("place")
-    distinct = every.where("n > 0").groupBy("k1", "k2", "n").agg(first, F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    ordered = distinct.select("k1", "k2", "n", "place.*", "bits", "prefix").repartitionByRange("id", "content", "line").sortWithinPartitions("id", "content", "line")
+    own = ["n", "bits", "more"]
+    distinct = every.where("n > 0").groupBy("k1", "k2", "n").agg(first, *[F.first(c).alias(c) for c in ("bits", "more", "prefix")])
+    ordered = distinct.select("k1", "k2", "place.*", *own, "prefix").repartitionByRange("id", "content", "line").sortWithinPartitions("id", "content", "line")
     sets = stored(ordered.withColumn("node", F.monotonically_increasing_id()), "line-sets")
+    words = sets.select("node", *own, F.posexplode("prefix").alias("place", "token"))
 
-    def words(of: DataFrame) -> DataFrame:
-        return of.select("node", "n", "bits", F.posexplode("prefix").alias("place", "token"))
-
-    # the earliest set of each word in two prefixes or more, stored so that the joins with it are plain
+    # the words in two prefixes or more, and the earliest set of each; stored so that the joins with it are plain
     # exchanges, which adaptive execution splits where one word is hot
-    first_of = words(sets).groupBy("token").agg(F.min("node").alias("other"), F.count("*").alias("c")).where("c > 1").drop("c")
-    heads = stored(first_of.join(sets.select(F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("bits").alias("bits_other")), "other"), "line-heads")
-    size = _filters("n", "n_other", "bits", "bits_other", similarity)
-    pairs = stored(words(sets).join(heads, "token").where((F.col("node") > F.col("other")) & size).select("node", "other").distinct(), "line-pairs")
-    gone = stored(_verified(docs, id_col, text_col, sets, pairs, similarity), "line-gone")
-    dropped(pairs)
-
-    left = stored(sets.select("node", "n", "bits", "prefix").join(gone, "node", "left_anti"), "line-left")
-    asked = stored(words(left).join(heads.select("token"), "token"), "line-asked")
-    dropped(left, heads)
-    other = words(sets).toDF("other", "n_other", "bits_other", "place_other", "token")
-    bound = F.least("place", "place_other") + F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other")) >= _need("n", "n_other", similarity)
-    later = stored(asked.join(other, "token").where((F.col("node") > F.col("other")) & size & bound).select("node", "other").distinct(), "line-pairs")
-    also = stored(_verified(docs, id_col, text_col, sets, later, similarity), "line-gone")
-    dropped(later, asked)
+    tokens = stored(words.groupBy("token").agg(F.min(F.struct("node", *own, "place")).alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head"), "line-heads")
+    heads = tokens.select("token", F.col("head.node").alias("other"), *[F.col(f"head.{c}").alias(f"{c}_other") for c in (*own, "place")])
+    shared = stored(words.join(tokens.select("token"), "token"), "line-tokens")
+    pairs = stored(shared.join(heads, "token").where(_alike(similarity)).select("node", "other").distinct(), "line-pairs")
+    gone = _verified(docs, id_col, text_col, sets, pairs, similarity)
+    dropped(pairs, tokens)
+
+    # a set meets the classes of the shortest and the longest set that may match it
+    ends = F.array_distinct(F.array(_length_class(F.col("n") * (similarity - 1e-9), similarity), _length_class(F.col("n") / (similarity - 1e-9), similarity)))
+    asked = shared.join(gone, "node", "left_anti").select("*", F.explode(ends).alias("class"))
+    other = shared.select("token", _length_class(F.col("n"), similarity).alias("class"), F.col("node").alias("other"), *[F.col(c).alias(f"{c}_other") for c in (*own, "place")])
+    later = stored(stored(asked, "line-asked").join(other, ["token", "class"]).where(_alike(similarity)).select("node", "other").distinct(), "line-pairs")
+    dropped(shared)
+    also = _verified(docs, id_col, text_col, sets, later, similarity)
+    dropped(later)
 
     removed = gone.union(also).withColumn("match", F.lit(True))
     marks = sets.select("k1", "k2", "n", F.struct("id", "content", "line").alias("first"), "node").join(removed, "node", "left").select("k1", "k2", "n", "first", F.coalesce("match", F.lit(False)).alias("match"))
@@ -138,9 +169,12 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per row: id, n_lines, n_removed, kept_text: the lines that no earlier one matches."""
-    flags = matched_lines(docs, id_col, text_col, similarity).groupBy("id", "content").agg(F.array_sort(F.collect_set(F.struct("line", "removed"))).alias("flags"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("c"), text.alias("text"))
-    both = texts.join(flags.hint("shuffle_hash"), texts["i"].eqNullSafe(flags["id"]) & (texts["c"] == flags["content"]))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.element_at(F.col("flags"), i + 1)["removed"])
-    return both.select(F.col("i").alias(id_col), F.size("flags").cast("long").alias("n_lines"), F.size(F.filter("flags", lambda x: x["removed"])).cast("long").alias("n_removed"), F.array_join(kept, "\n").alias("kept_text"))
+    flags = matched_lines(docs, id_col, text_col, similarity).where("removed").groupBy("id", "content").agg(F.collect_set("line").alias("gone"))
+    texts = _texts(docs, id_col, text_col, "i", "c", "text")
+    both = texts.join(flags.hint("shuffle_hash"), texts["i"].eqNullSafe(flags["id"]) & (texts["c"] == flags["content"]), "left")
+    # the lines as a generator's output, so that they are split once
+    lines = both.select("i", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.explode(F.array(F.split("text", "\n"))).alias("l"))
+    at = F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True)))
+    marked = lines.select("i", "text", "l", "gone", at.alias("at"))
+    kept = F.filter("l", lambda x, i: F.element_at("at", i).isNull())
+    return marked.select(F.col("i").alias(id_col), F.size("l").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"))
