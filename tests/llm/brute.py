@@ -80,7 +80,6 @@ def tokens(docs, path):
     from tokenizers import Tokenizer
 
     to = Tokenizer.from_file(path)
-    to.encode_special_tokens = True
     out, start = [], 0
     for i, t in sorted(docs, key=lambda r: r[0]):
         ids = [*to.encode(t or "", add_special_tokens=False).ids, 0]
