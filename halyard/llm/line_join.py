@@ -1,4 +1,4 @@
-"""Line deduplication by an exact set-similarity join, in DataFrame operations only.
+"""Line deduplication by an exact set-similarity join.
 
 A line is the set of its words.  A line is removed if an earlier line of the
 corpus, in order of id, content and line number, has a Jaccard similarity of
@@ -10,12 +10,16 @@ corpus, in order of id, content and line number, has a Jaccard similarity of
    words in order of rarity form its prefix: two sets as similar as asked share
    a word of their prefixes.
 3. Sets that share a prefix word are candidates if their sizes (length filter),
-   the places of the word (positional filter) and the parity bitmaps of their words
-   allow the similarity; the filters are conditions of the join itself.  The first
+   the places of the word (positional filter) and parity bitmaps of their words
+   allow the similarity; these filters are conditions of the join itself.  The first
    pass compares every set with the earliest one of each word only, so a word shared
    by many near copies costs one row per copy.  The second pass compares the sets
-   that are left with all earlier ones of their length class and its neighbours.
-4. Candidates are verified on the words themselves.
+   that are left with all earlier ones.
+4. Candidates are verified on all their words.
+
+Words are found, hashed and ranked in numpy, for a slice of texts at once: the same
+in DataFrame functions takes 1,059 CPU seconds a GB where 400 are allowed.  Everything
+between, the joins and aggregations, is DataFrame operations.
 
 Defined cases: null texts are empty; lines without words are kept; rows that repeat id and
 text are one document, and get one result each; null ids come first; texts of any length are
@@ -24,27 +28,20 @@ read whole; extra columns don't matter.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import dropped, stored
+from ._text import PLAIN_WORD, Slice, find_words, mix, slices, word_hashes
 
 SIMILARITY = 0.8
 BUCKETS, SHELF = 1 << 20, 1 << 10
-_BLANKS = "\t\x0b\f\r"
-
-
-def _split(text: Column, blanks: str = _BLANKS) -> Column:
-    """Words between blanks, with empty ones in between; single-character replacements and splits are the cheap ones."""
-    for c in blanks:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.split(text, " ")
-
-
-def line_words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(_split(line)), "")
+_BUCKET = np.uint64(BUCKETS - 1)
+_SALTS = np.random.default_rng(11).integers(1, 1 << 63, 2, dtype=np.uint64)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, *names: str) -> DataFrame:
@@ -52,47 +49,85 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, *names: str) -> DataFram
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), text.alias("text")).toDF(*names)
 
 
-def word_ranks(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: BUCKETS ranks, low for rare words, as shelves of SHELF ranks each."""
-    words = docs.select(F.explode(_split(F.col(text_col), _BLANKS + "\n")).alias("w")).where("w != ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(1).cast("long").alias("n"))
-    ranks = counts.union(every).groupBy("b").agg(F.least(F.floor(F.log2(F.max("n")) * 4), F.lit(127)).cast("tinyint").alias("r"))
-    shelves = ranks.groupBy(F.shiftright("b", 10).alias("shelf")).agg(F.sort_array(F.collect_list(F.struct("b", "r"))).alias("x")).select("shelf", F.col("x.r").alias("r"))
-    return shelves.agg(F.sort_array(F.collect_list(F.struct("shelf", "r"))).alias("all")).select(F.col("all.r").alias("ranks"))
-
-
-def _prefix_size(n: Column, similarity: float) -> Column:
-    return n - F.ceil(n * similarity - 1e-9) + 1
-
-
-def _short(code: Column) -> Column:
-    """A word's 31 bits for the candidate search: words that share them only make a few more candidates."""
-    return F.shiftright(code, 20).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-
-
-def _length_class(n: Column, similarity: float) -> Column:
-    """Lengths as far apart as two sets may be are of one class or of neighbours; a class is so wide that a set meets two at most."""
-    return F.floor(F.log(n) / (-2 * math.log(similarity))).cast("int")
-
-
-def _parity(codes: str, word: int) -> Column:
-    """64 of the bits that tell whether an even or odd number of words has a hash of that residue."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: F.when(c.bitwiseAND(F.lit(64)) == 64 * word, a.bitwiseXOR(bit(c))).otherwise(a))
-
-
-def _sets(docs: DataFrame, id_col: str, text_col: str, ranks: Column, similarity: float) -> DataFrame:
-    """Per line: id, content, line, n words, hashes of the set, parity bitmaps, and the prefix, rarest first."""
-    lines = _texts(docs, id_col, text_col, "id", "content", "text").select("id", "content", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    hashed = lines.select("id", "content", "line", F.array_remove(F.array_distinct(F.transform(_split(F.col("words")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))).alias("h"))
-    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    rank = lambda h: F.get(F.get("ranks", F.shiftright(bucket(h), 10)), bucket(h).bitwiseAND(F.lit(SHELF - 1))).cast("long")
-    codes = F.sort_array(F.transform("h", lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
-    # the table of ranks is used once, in the projection that adds it: as a column of its own it would be copied for every line
-    sets = hashed.withColumn("ranks", ranks).select("id", "content", "line", codes.alias("codes")).withColumn("n", F.size("codes"))
-    prefix = F.slice("codes", F.lit(1), F.greatest(_prefix_size(F.col("n"), similarity), F.lit(0)).cast("int"))
-    return sets.select("id", "content", "line", "n", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), _parity("codes", 0).alias("bits"), _parity("codes", 1).alias("more"), F.transform(prefix, _short).alias("prefix"))
+def line_words(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the line of each (counted over the slice), and each text's first line (n + 1 values)."""
+    words = find_words(part, PLAIN_WORD)
+    breaks = np.flatnonzero(part.data == 10)
+    before = np.searchsorted(breaks, part.offsets)
+    bounds = before + np.arange(len(part) + 1)
+    text = np.repeat(np.arange(len(part)), np.diff(words.bounds))
+    return word_hashes(part, words), np.searchsorted(breaks, words.start) + text, bounds
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for part in slices(batch.column(0)):
+            total += np.bincount((word_hashes(part, find_words(part, PLAIN_WORD)) & _BUCKET).astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "n"])
+
+
+def word_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
+    """BUCKETS ranks, low for rare words: a table of a megabyte, whatever the corpus."""
+    counts = docs.select(text_col).mapInArrow(_count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n"))
+    rank = (F.floor(F.log2("n") * 4) + 1).cast("tinyint")
+    shelves = counts.groupBy(F.floor(F.col("b") / SHELF).alias("shelf")).agg(F.collect_list(F.struct((F.col("b") % SHELF).alias("b"), rank.alias("r"))).alias("x"))
+    table = shelves.select("shelf", F.col("x.b").alias("b"), F.col("x.r").alias("r")).toArrow()
+    out = np.zeros(BUCKETS, np.uint64)
+    for shelf, b, r in zip(table["shelf"].to_pylist(), table["b"], table["r"], strict=True):
+        out[shelf * SHELF + b.values.to_numpy()] = r.values.to_numpy()
+    return out
+
+
+def _set_rows(sent, similarity: float):
+    """Rows (id, content, text) to a row per line: id, content, line, n words, hashes of the set, parity bits, prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = sent.value
+        for batch in batches:
+            for part in slices(batch.column(2)):
+                h, line, bounds = line_words(part)
+                code = (ranks[(h & _BUCKET).astype(np.int64)] << np.uint64(56)) | (h >> np.uint64(8))
+                order = np.lexsort((code, line))
+                code, line = code[order], line[order]
+                new = np.r_[True, (code[1:] != code[:-1]) | (line[1:] != line[:-1])][: len(code)]
+                code, line = code[new], line[new]
+                lines = int(bounds[-1])
+                n = np.bincount(line, minlength=lines)
+                full = np.flatnonzero(n)
+                start = (np.cumsum(n) - n)[full]
+                k1, k2, *parity = (np.zeros(lines, np.uint64) for _ in range(6))
+                if len(full):
+                    for k, salt in zip((k1, k2), _SALTS, strict=True):
+                        k[full] = mix(np.add.reduceat(mix(code ^ salt), start) + n[full].astype(np.uint64))
+                    bit = np.uint64(1) << (code & np.uint64(63))
+                    which = (code >> np.uint64(6)) & np.uint64(3)
+                    for w, bits in enumerate(parity):
+                        bits[full] = np.bitwise_xor.reduceat(np.where(which == w, bit, np.uint64(0)), start)
+                size = np.where(n > 0, n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1, 0)
+                ahead = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+                token = ((code >> np.uint64(20)) & np.uint64(0x7FFFFFFF)).astype(np.int32)[ahead < np.repeat(size, n)]
+                prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(token))
+                text = np.repeat(np.arange(len(part)), np.diff(bounds))
+                who = pa.array(text + part.first)
+                number = np.arange(lines) - bounds[text]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (k1, k2, *parity)), prefix], ["id", "content", "line", "n", "k1", "k2", "bits", "bits1", "bits2", "bits3", "prefix"])
+
+    return run
+
+
+def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, lines, nodes) to (node, distinct word hashes)."""
+    for batch in batches:
+        for part in slices(batch.column(0)):
+            h, line, bounds = line_words(part)
+            lines, nodes = (batch.column(c).slice(part.first, len(part)) for c in (1, 2))
+            at = lines.flatten().to_numpy() + np.repeat(bounds[:-1], np.array(lines.value_lengths()))
+            first, past = np.searchsorted(line, at), np.searchsorted(line, at, "right")
+            sets = [np.unique(h[a:b]).view(np.int64) for a, b in zip(first.tolist(), past.tolist(), strict=True)]
+            edge = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([nodes.flatten(), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["node", "w"])
 
 
 def _need(n: str, m: str, similarity: float) -> Column:
@@ -100,65 +135,63 @@ def _need(n: str, m: str, similarity: float) -> Column:
     return F.ceil((F.col(n) + F.col(m)) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _alike(similarity: float) -> Column:
-    """What two sets (node, n, place, bits, more) and (other, n_other, ...) that share a prefix word need; other is the earlier one.
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """What two sets (node, n, place, bits) that share a prefix word need; b is the earlier one.
 
-    Length filter; positional filter; and the parity bitmaps, where each word not in common shows at most once.
+    Length filter; positional filter; and the parity bitmap, where each word not in common shows at most once.
     """
-    a, b = F.col("n"), F.col("n_other")
-    need = _need("n", "n_other", similarity)
-    odd = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_other")))
-    ahead = F.least("place", "place_other") + F.least(a - F.col("place"), b - F.col("place_other")) >= need
-    return (F.col("node") > F.col("other")) & (b >= a * similarity - 1e-9) & (a >= b * similarity - 1e-9) & ahead & (odd("bits") + odd("more") <= a + b - 2 * need)
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    ahead = F.least(f"{a}.place", f"{b}.place") + F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) >= _need(f"{a}.n", f"{b}.n", similarity)
+    return (F.col(f"{a}.node") > F.col(f"{b}.node")) & (m >= n * similarity - 1e-9) & (n >= m * similarity - 1e-9) & ahead & _parity(a, b, ["bits"], similarity)
+
+
+def _parity(a: str, b: str, words: list[str], similarity: float) -> Column:
+    odd = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words), F.lit(0))
+    return odd <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * _need(f"{a}.n", f"{b}.n", similarity)
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of candidate pairs (node, other): the nodes with a pair as similar as asked, by their words."""
+    """Of candidate pairs (node, other): the nodes with a pair as similar as asked, by all bits and then by all words."""
+    every = ["bits", "bits1", "bits2", "bits3"]
+    own = sets.select("node", F.struct("n", *every).alias("a"))
+    pairs = stored(pairs.join(own, "node").join(own.toDF("other", "b"), "other").where(_parity("a", "b", every, similarity)).select("node", "other"), "line-pairs")
     nodes = pairs.select("node").union(pairs.select("other")).distinct()
     place = sets.select("node", "id", "content", "line").join(nodes, "node")
     wanted = place.groupBy("id", "content").agg(F.collect_list(F.struct("line", "node")).alias("at"))
     texts = _texts(docs, id_col, text_col, "i", "c", "text")
-    found = texts.join(wanted.hint("shuffle_hash"), texts["i"].eqNullSafe(wanted["id"]) & (texts["c"] == wanted["content"]))
-    # as a generator's output the lines are split once a text, not once for each line looked up
-    found = found.select("at", F.explode(F.array(F.split("text", "\n"))).alias("l"))
-    words = found.select(F.explode(F.transform("at", lambda x: F.struct(x["node"].alias("node"), line_words(F.element_at(F.col("l"), x["line"] + 1)).alias("w")))).alias("x")).select("x.node", "x.w")
+    found = texts.join(wanted.hint("shuffle_hash"), texts["i"].eqNullSafe(wanted["id"]) & (texts["c"] == wanted["content"])).select("text", "at.line", "at.node")
     # stored, so that the joins with it are plain exchanges, which adaptive execution splits where one set has many pairs
-    words = stored(words.dropDuplicates(["node"]), "line-words")
-    one, two = words.toDF("node", "w1"), words.toDF("other", "w2")
+    words = stored(found.mapInArrow(_wanted_words, "node bigint, w array<bigint>").dropDuplicates(["node"]), "line-words")
     common = F.size(F.array_intersect("w1", "w2"))
-    same = stored(pairs.join(one, "node").join(two, "other").where(common >= similarity * (F.size("w1") + F.size("w2") - common) - 1e-9).select("node").distinct(), "line-gone")
-    dropped(words)
+    same = stored(pairs.join(words.toDF("node", "w1"), "node").join(words.toDF("other", "w2"), "other").where(common >= similarity * (F.size("w1") + F.size("w2") - common) - 1e-9).select("node").distinct(), "line-gone")
+    dropped(words, pairs)
     return same
 
 
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every line of every distinct document: id, content, line, removed."""
-    ranks = word_ranks(docs, text_col).scalar()
-    every = stored(_sets(docs, id_col, text_col, ranks, similarity), "lines")
-    first = F.min(F.struct("id", "content", "line")).alias("place")
-    own = ["n", "bits", "more"]
-    distinct = every.where("n > 0").groupBy("k1", "k2", "n").agg(first, *[F.first(c).alias(c) for c in ("bits", "more", "prefix")])
-    ordered = distinct.select("k1", "k2", "place.*", *own, "prefix").repartitionByRange("id", "content", "line").sortWithinPartitions("id", "content", "line")
+    sent = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col))
+    texts = _texts(docs, id_col, text_col, "id", "content", "text")
+    kind = texts.schema["id"].dataType.simpleString()
+    every = stored(texts.mapInArrow(_set_rows(sent, similarity), f"id {kind}, content bigint, line int, n int, k1 bigint, k2 bigint, bits bigint, bits1 bigint, bits2 bigint, bits3 bigint, prefix array<int>"), "lines")
+    more = ["bits", "bits1", "bits2", "bits3", "prefix"]
+    distinct = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "content", "line")).alias("place"), F.first(F.struct(*more)).alias("own"))
+    ordered = distinct.select("k1", "k2", "n", "place.*", "own.*").repartitionByRange("id", "content", "line").sortWithinPartitions("id", "content", "line")
     sets = stored(ordered.withColumn("node", F.monotonically_increasing_id()), "line-sets")
-    words = sets.select("node", *own, F.posexplode("prefix").alias("place", "token"))
-
-    # the words in two prefixes or more, and the earliest set of each; stored so that the joins with it are plain
-    # exchanges, which adaptive execution splits where one word is hot
-    tokens = stored(words.groupBy("token").agg(F.min(F.struct("node", *own, "place")).alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head"), "line-heads")
-    heads = tokens.select("token", F.col("head.node").alias("other"), *[F.col(f"head.{c}").alias(f"{c}_other") for c in (*own, "place")])
-    shared = stored(words.join(tokens.select("token"), "token"), "line-tokens")
-    pairs = stored(shared.join(heads, "token").where(_alike(similarity)).select("node", "other").distinct(), "line-pairs")
+    tokens = sets.select("node", "n", "bits", F.posexplode("prefix").alias("place", "token")).select("token", F.struct("node", "n", "bits", "place").alias("x"))
+
+    # the words in two prefixes or more, with the earliest set of each
+    heads = tokens.groupBy("token").agg(F.min("x").alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h")
+    shared = stored(tokens.join(heads, "token"), "line-tokens")
+    pairs = shared.where(_alike("x", "h", similarity)).select(F.col("x.node").alias("node"), F.col("h.node").alias("other")).distinct()
     gone = _verified(docs, id_col, text_col, sets, pairs, similarity)
-    dropped(pairs, tokens)
-
-    # a set meets the classes of the shortest and the longest set that may match it
-    ends = F.array_distinct(F.array(_length_class(F.col("n") * (similarity - 1e-9), similarity), _length_class(F.col("n") / (similarity - 1e-9), similarity)))
-    asked = shared.join(gone, "node", "left_anti").select("*", F.explode(ends).alias("class"))
-    other = shared.select("token", _length_class(F.col("n"), similarity).alias("class"), F.col("node").alias("other"), *[F.col(c).alias(f"{c}_other") for c in (*own, "place")])
-    later = stored(stored(asked, "line-asked").join(other, ["token", "class"]).where(_alike(similarity)).select("node", "other").distinct(), "line-pairs")
-    dropped(shared)
+
+    # both sides of the join are one and the same exchange
+    asked = shared.select("token", "x", F.col("x.node").alias("node")).join(gone.withColumn("gone", F.lit(True)), "node", "left").select("token", "x", F.col("gone").isNull().alias("left"))
+    asked = stored(asked, "line-asked")
+    later = asked.alias("a").join(asked.alias("b"), (F.col("a.token") == F.col("b.token")) & F.col("a.left") & _alike("a.x", "b.x", similarity)).select(F.col("a.x.node").alias("node"), F.col("b.x.node").alias("other")).distinct()
     also = _verified(docs, id_col, text_col, sets, later, similarity)
-    dropped(later)
+    dropped(shared, asked)
 
     removed = gone.union(also).withColumn("match", F.lit(True))
     marks = sets.select("k1", "k2", "n", F.struct("id", "content", "line").alias("first"), "node").join(removed, "node", "left").select("k1", "k2", "n", "first", F.coalesce("match", F.lit(False)).alias("match"))
@@ -167,14 +200,22 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.select("id", "content", "line", F.when(F.col("n") == 0, False).otherwise(F.col("match") | ~is_first).alias("removed"))
 
 
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, lines to remove) to (id, lines, lines removed, the text without them)."""
+    for batch in batches:
+        n, removed, kept = [], [], []
+        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            lines, gone = text.split("\n"), set(gone or ())
+            n.append(len(lines))
+            removed.append(len(gone))
+            kept.append("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_lines", "n_removed", "kept_text"])
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per row: id, n_lines, n_removed, kept_text: the lines that no earlier one matches."""
     flags = matched_lines(docs, id_col, text_col, similarity).where("removed").groupBy("id", "content").agg(F.collect_set("line").alias("gone"))
     texts = _texts(docs, id_col, text_col, "i", "c", "text")
-    both = texts.join(flags.hint("shuffle_hash"), texts["i"].eqNullSafe(flags["id"]) & (texts["c"] == flags["content"]), "left")
-    # the lines as a generator's output, so that they are split once
-    lines = both.select("i", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.explode(F.array(F.split("text", "\n"))).alias("l"))
-    at = F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True)))
-    marked = lines.select("i", "text", "l", "gone", at.alias("at"))
-    kept = F.filter("l", lambda x, i: F.element_at("at", i).isNull())
-    return marked.select(F.col("i").alias(id_col), F.size("l").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"))
+    both = texts.join(flags.hint("shuffle_hash"), texts["i"].eqNullSafe(flags["id"]) & (texts["c"] == flags["content"]), "left").select("i", "text", "gone")
+    kind = texts.schema["i"].dataType.simpleString()
+    return both.mapInArrow(_kept, f"id {kind}, n_lines bigint, n_removed bigint, kept_text string").withColumnRenamed("id", id_col)

@@ -108,9 +108,15 @@ def test_lines(spark):
 
 
 def test_lines_of_odd_texts(docs):
-    some = [d for d in DOCS if d[0] not in (30, 33, 36)]
-    got = line_join.dedup_lines(docs.where("doc_id NOT IN (30, 33, 36)"))
-    assert rows(got.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256))) == sorted(brute.lines(some))
+    got = line_join.dedup_lines(docs)
+    assert rows(got.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256))) == sorted(brute.lines(DOCS))
+
+
+def test_lines_with_repeated_and_null_ids(spark):
+    data = [(2, "a b c d e\nx y"), (2, "a b c d e\nx y"), (None, "x y\nq"), (2, "q\nz"), (1, "z w\na b c d e f")]
+    got = line_join.dedup_lines(spark.createDataFrame(data, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("Node", F.lit("n")))
+    want = [(None, 2, 0, "x y\nq"), (1, 2, 0, "z w\na b c d e f"), (2, 2, 1, "z"), (2, 2, 2, ""), (2, 2, 2, "")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
 def test_tokens(docs):
