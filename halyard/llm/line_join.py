@@ -130,31 +130,32 @@ def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([nodes.flatten(), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["node", "w"])
 
 
-def _need(n: str, m: str, similarity: float) -> Column:
+def _need(n: Column, m: Column, similarity: float) -> Column:
     """Words that sets of such sizes must share."""
-    return F.ceil((F.col(n) + F.col(m)) * (similarity / (1 + similarity)) - 1e-9)
+    return F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _alike(a: str, b: str, similarity: float) -> Column:
-    """What two sets (node, n, place, bits) that share a prefix word need; b is the earlier one.
+def _parity(n: Column, m: Column, bits: list[tuple[Column, Column]], similarity: float) -> Column:
+    """The parity bitmaps differ in few enough bits: each word not in common shows in one at most."""
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits), F.lit(0)) <= n + m - 2 * _need(n, m, similarity)
 
-    Length filter; positional filter; and the parity bitmap, where each word not in common shows at most once.
-    """
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    ahead = F.least(f"{a}.place", f"{b}.place") + F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) >= _need(f"{a}.n", f"{b}.n", similarity)
-    return (F.col(f"{a}.node") > F.col(f"{b}.node")) & (m >= n * similarity - 1e-9) & (n >= m * similarity - 1e-9) & ahead & _parity(a, b, ["bits"], similarity)
 
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """What two sets (node, shape, bits) that share a prefix word need; b is the earlier one. Shape is n and the word's place.
 
-def _parity(a: str, b: str, words: list[str], similarity: float) -> Column:
-    odd = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words), F.lit(0))
-    return odd <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * _need(f"{a}.n", f"{b}.n", similarity)
+    Length filter; positional filter; and the first parity bitmap.
+    """
+    n, m = (F.shiftright(f"{x}.shape", 32) for x in (a, b))
+    p, q = (F.col(f"{x}.shape").bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b))
+    ahead = F.least(p, q) + F.least(n - p, m - q) >= _need(n, m, similarity)
+    return (F.col(f"{a}.node") > F.col(f"{b}.node")) & (m >= n * similarity - 1e-9) & (n >= m * similarity - 1e-9) & ahead & _parity(n, m, [(F.col(f"{a}.bits"), F.col(f"{b}.bits"))], similarity)
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Of candidate pairs (node, other): the nodes with a pair as similar as asked, by all bits and then by all words."""
     every = ["bits", "bits1", "bits2", "bits3"]
     own = sets.select("node", F.struct("n", *every).alias("a"))
-    pairs = stored(pairs.join(own, "node").join(own.toDF("other", "b"), "other").where(_parity("a", "b", every, similarity)).select("node", "other"), "line-pairs")
+    pairs = stored(pairs.join(own, "node").join(own.toDF("other", "b"), "other").where(_parity(F.col("a.n"), F.col("b.n"), [(F.col(f"a.{w}"), F.col(f"b.{w}")) for w in every], similarity)).select("node", "other"), "line-pairs")
     nodes = pairs.select("node").union(pairs.select("other")).distinct()
     place = sets.select("node", "id", "content", "line").join(nodes, "node")
     wanted = place.groupBy("id", "content").agg(F.collect_list(F.struct("line", "node")).alias("at"))
@@ -178,20 +179,22 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "content", "line")).alias("place"), F.first(F.struct(*more)).alias("own"))
     ordered = distinct.select("k1", "k2", "n", "place.*", "own.*").repartitionByRange("id", "content", "line").sortWithinPartitions("id", "content", "line")
     sets = stored(ordered.withColumn("node", F.monotonically_increasing_id()), "line-sets")
-    tokens = sets.select("node", "n", "bits", F.posexplode("prefix").alias("place", "token")).select("token", F.struct("node", "n", "bits", "place").alias("x"))
+    shape = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("shape")
+    tokens = sets.select("node", "n", "bits", F.posexplode("prefix").alias("place", "token")).select("token", "node", shape, "bits")
 
     # the words in two prefixes or more, with the earliest set of each
-    heads = tokens.groupBy("token").agg(F.min("x").alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h")
+    heads = tokens.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
     shared = stored(tokens.join(heads, "token"), "line-tokens")
-    pairs = shared.where(_alike("x", "h", similarity)).select(F.col("x.node").alias("node"), F.col("h.node").alias("other")).distinct()
+    first = shared.where("node = head").select("token", "node", "shape", "bits")
+    pairs = shared.where("node > head").alias("a").join(first.alias("b"), "token").where(_alike("a", "b", similarity)).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
     gone = _verified(docs, id_col, text_col, sets, pairs, similarity)
 
     # both sides of the join are one and the same exchange
-    asked = shared.select("token", "x", F.col("x.node").alias("node")).join(gone.withColumn("gone", F.lit(True)), "node", "left").select("token", "x", F.col("gone").isNull().alias("left"))
-    asked = stored(asked, "line-asked")
-    later = asked.alias("a").join(asked.alias("b"), (F.col("a.token") == F.col("b.token")) & F.col("a.left") & _alike("a.x", "b.x", similarity)).select(F.col("a.x.node").alias("node"), F.col("b.x.node").alias("other")).distinct()
+    asked = stored(shared.join(gone.withColumn("gone", F.lit(True)), "node", "left").select("token", "node", "shape", "bits", F.col("gone").isNull().alias("left")), "line-asked")
+    dropped(shared)
+    later = asked.alias("a").join(asked.alias("b"), "token").where(F.col("a.left") & _alike("a", "b", similarity)).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
     also = _verified(docs, id_col, text_col, sets, later, similarity)
-    dropped(shared, asked)
+    dropped(asked)
 
     removed = gone.union(also).withColumn("match", F.lit(True))
     marks = sets.select("k1", "k2", "n", F.struct("id", "content", "line").alias("first"), "node").join(removed, "node", "left").select("k1", "k2", "n", "first", F.coalesce("match", F.lit(False)).alias("match"))
