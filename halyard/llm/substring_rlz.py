@@ -13,18 +13,22 @@ anchor, so the index holds far fewer rows than there are windows.
   or a near copy deviates) are compared window by window, one occurrence of each.
 * A text is then factored greedily from left to right against the index: a
   factor runs on while the next window's reference is the next place of the same
-  text, otherwise a new factor begins.  As every window was looked up by itself,
-  those that cross factor boundaries are covered too.
+  text, otherwise a new factor begins.
+
+Greedy factors alone can't give the windows asked for: a window that crosses the
+boundary of two factors, or one inside a factor that another reference would have
+continued, repeats as well.  So the look-up of every window in the index decides which
+words go, and factors are the short form in which the spans and their references are kept.
 
 Counting aggregates before it shuffles, and joins are plain equi-joins that
 adaptive execution can split, so a passage in a third of all texts costs rows in
-proportion to its occurrences only.  Hashes have 64 bits each for seed and
-block.
+proportion to its occurrences only.  Blocks and windows are equal if two hashes
+of 64 bits are.
 
 Defined cases: null and empty texts have no words; texts shorter than a window
 lose nothing; windows that overlap their own repetition count; rows repeated as
 a whole remove all their windows; ids may be null or repeat, as a text is known
-by its id and its content.
+by its id and its content; very long texts are read whole; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -42,6 +46,7 @@ from ._text import PLAIN_WORD, Slice, covered, find_words, mix, prefix_hash, sli
 
 WINDOW, SEED = 35, 8
 _PLACE = np.uint64(24)
+_CHECK = 0xA24BAED4963EE407
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -91,7 +96,8 @@ def _window_rows(window: int):
             blocks = batch.column(3)
             for part in slices(batch.column(2)):
                 words = find_words(part, PLAIN_WORD)
-                prefix = prefix_hash(word_hashes(part, words))
+                hashes = word_hashes(part, words)
+                prefix, again = prefix_hash(hashes), prefix_hash(mix(hashes ^ np.uint64(_CHECK)), _CHECK)
                 own = blocks.slice(part.first, len(part))
                 flat, counts = own.flatten(), np.array(own.value_lengths())
                 if not len(flat):
@@ -103,8 +109,9 @@ def _window_rows(window: int):
                 at = words.bounds[text[which]] + start[which] + step
                 shift = lead[which] - step
                 key = mix(span_hash(prefix, at, at + window) ^ mix(seed[which].astype(np.uint64) + shift.astype(np.uint64)))
+                check = span_hash(again, at, at + window, _CHECK)
                 who = pa.array(text[which] + part.first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array((start[which] + step).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(copies[which])], ["id", "content", "start", "key", "copies"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array((start[which] + step).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(copies[which])], ["id", "content", "start", "key", "check", "copies"])
 
     return run
 
@@ -130,9 +137,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     wanted = blocks.where("differ").groupBy(F.col("ref.id").alias("id"), F.col("ref.content").alias("content")).agg(F.collect_list(F.struct(F.col("ref.start").alias("start"), "n", "lead", "seed", "copies")).alias("blocks"))
     same_text = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["content"] == b["content"])
     listed = texts.join(wanted.hint("shuffle_hash"), same_text(texts, wanted)).select(texts["id"], texts["content"], "text", "blocks")
-    parts = stored(listed.mapInArrow(_window_rows(window), f"id {kind}, content bigint, start int, key bigint, copies bigint"), "rlz-windows")
-    again = stored(parts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("ref")).where("n > 1").select("key", "ref"), "rlz-again")
-    single = parts.where("copies = 1").join(again, "key").select("id", "content", "start", F.lit(1).alias("n"), F.col("ref.id").alias("ref_id"), F.col("ref.start").alias("ref_start"))
+    parts = stored(listed.mapInArrow(_window_rows(window), f"id {kind}, content bigint, start int, key bigint, check bigint, copies bigint"), "rlz-windows")
+    again = stored(parts.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("ref")).where("n > 1").select("key", "check", "ref"), "rlz-again")
+    single = parts.where("copies = 1").join(again, ["key", "check"]).select("id", "content", "start", F.lit(1).alias("n"), F.col("ref.id").alias("ref_id"), F.col("ref.start").alias("ref_start"))
     return whole.unionByName(single)
 
 

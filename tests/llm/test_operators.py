@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, on small tables with odd rows."""
 
 import math
+import pathlib
 import random
 import textwrap
 
@@ -157,12 +158,45 @@ def test_one_of_each(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in brute.jaccard(DOCS) if r[0] == r[1]}
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    one, other = prose(120), prose(120)
+    data = [(7, other), (7, changed(one, 1)), (None, changed(one, 1)), (5, one), (5, other), (None, prose(90)), (None, ""), (8, None)]
+    kept = jaccard_forest.one_of_each(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([data[3], data[4], data[5], data[7]], key=str)
+
+
 def test_depth_follows_the_target():
     depth = jaccard_forest.prefix_depth()
-    assert 1 - (1 - 0.8**depth) ** jaccard_forest.TREES >= jaccard_forest.RECALL
+    assert jaccard_forest.found_chance(0.8, depth) >= jaccard_forest.RECALL
     assert jaccard_forest.prefix_depth(recall=0.5) == jaccard_forest.MAX_DEPTH
 
 
+def test_prefixes_are_shortened_where_links_are_weak(spark, monkeypatch):
+    seen = []
+    verify = jaccard_forest._verify
+    monkeypatch.setattr(jaccard_forest, "_verify", lambda s, depth, trees: seen.append(depth) or verify(s, depth, trees))
+    base = [f"w{i}" for i in range(400)]
+    near = [(i, " ".join(f"x{i}_{k}" if k == 77 * i % 400 else w for k, w in enumerate(base))) for i in range(4)]
+    jaccard_forest.jaccard_classes(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert seen == [8]  # links of about 0.97
+    seen.clear()
+    weak = [(i, " ".join(f"x{i}_{k}" if k % 100 == i else w for k, w in enumerate(base))) for i in range(2)]
+    got = jaccard_forest.jaccard_classes(spark.createDataFrame(weak, "doc_id long, text string"), recall=0.9999)
+    assert [r["class_id"] for r in got.collect()] == [0, 0]
+    assert len(seen) > 1  # links of about 0.8
+
+
+@pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="no tables")
+def test_recall_on_the_tables(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {r[0]: r[1:] for r in brute.jaccard([tuple(r) for r in table.collect()])}
+    got = {r[0]: tuple(r[1:]) for r in jaccard_forest.jaccard_classes(table).collect()}
+    links = sum(v[1] for v in want.values())
+    assert links and sum(min(got[i][1], v[1]) for i, v in want.items()) >= 0.99 * links
+    assert sum(got[i][0] == v[0] for i, v in want.items()) >= 0.99 * len(want)
+    assert all(got[i][1] <= v[1] and got[i][2] == v[2] for i, v in want.items())
+
+
 def test_quality(docs):
     got = repetition.quality_rules(docs)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
