@@ -180,7 +180,7 @@ def test_prefixes_are_shortened_where_links_are_weak(spark, monkeypatch):
     jaccard_forest.jaccard_classes(spark.createDataFrame(near, "doc_id long, text string")).collect()
     assert seen == [8]  # links of about 0.97
     seen.clear()
-    weak = [(i, " ".join(f"x{i}_{k}" if k % 100 == i else w for k, w in enumerate(base))) for i in range(2)]
+    weak = [(i, " ".join(f"x{i}_{k}" if (k + 50 * i) % 100 == 7 else w for k, w in enumerate(base))) for i in range(2)]
     got = jaccard_forest.jaccard_classes(spark.createDataFrame(weak, "doc_id long, text string"), recall=0.9999)
     assert [r["class_id"] for r in got.collect()] == [0, 0]
     assert len(seen) > 1  # links of about 0.8
