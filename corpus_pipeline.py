@@ -1,4 +1,9 @@
-"""Corpus pipeline: rules, near-duplicate removal, decontamination, mixing and token output."""
+"""Corpus pipeline: rules, near-duplicate removal, decontamination, mixing and token output.
+
+Defined cases: null and empty texts fail the rules; repeated rows are near duplicates of each other; extra columns of
+documents stay until the last stage, which keeps them in its files; without benchmark items nothing is contaminated; an
+empty table passes all stages.
+"""
 
 from __future__ import annotations
 
@@ -36,9 +41,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token ids; returns the digests read back from the files."""
+    """Writes token ids in the random order of the copies; returns the digests read back from the files."""
     text_batches(spark)
-    return token_store.token_output(docs, tokenizer_path())
+    return token_store.token_output(mixing.in_random_order(docs), tokenizer_path(), order=["shuffle_key"])
 
 
 STAGES = [("quality_rules", quality), ("jaccard_join", near_duplicates), ("decontamination", decontamination), ("mixing", mix), ("token_output", tokens)]

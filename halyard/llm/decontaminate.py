@@ -12,8 +12,8 @@ into blocks of at most ``block_words`` words, and texts meet the blocks in turn,
 each block adding to the hits found so far.
 
 Defined cases: null or empty texts have no words and no hits; an empty item
-matches nothing; equal items all count; without items nothing is hit; input
-columns named like result columns are replaced.
+matches nothing; equal items with ids of their own all count, items of one id count once;
+without items nothing is hit; input columns named like result columns are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._store import unclashed
+from ._store import stored, unclashed
 from ._text import LOWER, NORMAL_WORD, Slice, find_words, prefix_hash, slices, span_hash, word_hashes
 
 WINDOW = 10
@@ -194,7 +194,7 @@ def _matches(automaton: Automaton, labels: list[str], column: pa.Array) -> pa.Ar
                     found[doc] |= held
         n_words += np.diff(words.bounds).tolist()
         hits += [sorted(x) for x in hit]
-        items += [sorted(labels[i] for i in x) for x in found]
+        items += [sorted({labels[i] for i in x}) for x in found]
     return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((n_words, hits, items), _FIELDS, strict=True)], fields=_FIELDS)
 
 
@@ -236,22 +236,37 @@ def match_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
         if fresh:
             df = df.select("*", "__m.n_words", "__m.hits", "__m.items")
         else:
-            df = df.withColumns({c: F.array_sort(F.array_union(c, f"__m.{c}")) for c in ("hits", "items")})
+            # stored, so that plans don't grow with the items
+            df = stored(df.withColumns({c: F.array_sort(F.array_union(c, f"__m.{c}")) for c in ("hits", "items")}).drop("__m"), "hits")
         df, fresh = df.drop("__m"), False
     return df.drop("__text")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.0, **names) -> DataFrame:
-    """Keeps the rows of which at most a share max_coverage of the words lies inside items' windows."""
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.0, max_span: int | None = None, **names) -> DataFrame:
+    """Keeps the rows of which at most a share max_coverage of the words lies inside items' windows.
+
+    With ``max_span``, spans of more than so many words inside windows are cut out of the texts kept. By default a row
+    with any hit goes as a whole.
+    """
     packed = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__in"))
     found = match_items(packed, items, "__in", window=window, **names)
-    return found.where(F.size("hits") <= max_coverage * F.col("n_words")).select("__row.*")
+    kept = found.where(F.size("hits") <= max_coverage * F.col("n_words"))
+    if max_span is None:
+        return kept.select("__row.*")
+    text = F.when(F.size("hits") > max_span, _cutter(F.col("__in"), F.col("hits"), max_span)).otherwise(F.col("__in"))
+    return kept.select("__row.*", text.alias("__cut")).withColumn(text_col, F.col("__cut")).drop("__cut")
 
 
-def without_spans(text: str | None, hits: list[int]) -> str:
-    """The text without the hit words; what stands between kept words stays."""
+def without_spans(text: str | None, hits: list[int], max_span: int = 0) -> str:
+    """The text without runs of more than max_span hit words; what stands between kept words stays."""
     raw = (text or "").encode()
-    gone, out, last = set(hits), [], 0
+    gone, run = set(), []
+    for h in [*sorted(hits), -1]:
+        if run and h != run[-1] + 1:
+            gone.update(run if len(run) > max_span else ())
+            run = []
+        run.append(h)
+    out, last = [], 0
     for i, m in enumerate(_WORD.finditer(raw.translate(_LOWER))):
         if i in gone:
             out.append(raw[last : m.start()])
@@ -259,5 +274,13 @@ def without_spans(text: str | None, hits: list[int]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
+def _cutter(text: Column, hits: Column, max_span: int) -> Column:
+    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        return pa.array([without_spans(t, h or [], max_span) for t, h in zip(texts.to_pylist(), places.to_pylist(), strict=True)], pa.string())
+
+    cut.__annotations__ = {"texts": pa.Array, "places": pa.Array, "return": pa.Array}
+    return arrow_udf(cut, "string")(text, hits)
+
+
 def items_digest(items: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(items), ","), 256)

@@ -11,12 +11,13 @@ id, copy and seed puts all copies in one global random order.
 Defined cases: a null source is a source of its own; a source without a weight
 has weight ``default_weight``; weights are relative to the sum over the sources
 present; repeated rows draw equal counts; null ids draw by their text;
+null and empty texts are documents like others, and texts of any length are one row a copy;
 columns named copy, n_copies or shuffle_key are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = "mix-1"
@@ -25,6 +26,8 @@ STEP = 16.0
 TAIL = 96
 #: Sources up to which the table of rates, about a kilobyte a row, is broadcast; beyond, the join is shuffled and its hot keys split.
 MAX_BROADCAST = 10_000
+#: Copies of one row that one task makes at most.
+BLOCK_COPIES = 1000
 
 
 def uniform(*parts: Column) -> Column:
@@ -40,8 +43,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, source_col:
     return _rates(docs, weights, source_col, **options)[0]
 
 
-def _rates(docs: DataFrame, weights: dict[str | None, float] | None, source_col: str, default_weight: float = 1.0, temper: float | None = None, epochs: float = 1.0) -> tuple[DataFrame, int]:
-    """The table of rates and its number of sources."""
+def _rates(docs: DataFrame, weights: dict[str | None, float] | None, source_col: str, default_weight: float = 1.0, temper: float | None = None, epochs: float = 1.0) -> tuple[DataFrame, int, float]:
+    """The table of rates, its number of sources and the greatest rate."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if temper is not None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(temper)))
@@ -50,28 +53,56 @@ def _rates(docs: DataFrame, weights: dict[str | None, float] | None, source_col:
         for name, value in (weights or {}).items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), float(value)).otherwise(weight)
     sizes = sizes.withColumn("weight", weight)
-    total = sizes.agg(F.sum("weight").alias("w"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()
+    total = sizes.agg(F.sum("weight").alias("w"), F.sum("n").alias("n"), F.count("*").alias("sources"), F.max(F.col("weight") / F.col("n")).alias("most")).first()
     rate = F.lit(float(epochs)) * F.col("weight") / F.lit(total["w"]) * F.lit(float(total["n"] or 0)) / F.col("n")
     draws = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     table = F.aggregate(F.sequence(F.lit(1), F.lit(TAIL)), F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf")), lambda a, k: F.struct((a["p"] * F.col("mean") / k).alias("p"), F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * F.col("mean") / k)).alias("cdf")))["cdf"]
-    return sizes.withColumn("rate", rate).withColumn("draws", draws).withColumn("mean", F.col("rate") / F.col("draws")).select("source", "rate", "draws", table.alias("cdf")), total["sources"]
+    return sizes.withColumn("rate", rate).withColumn("draws", draws).withColumn("mean", F.col("rate") / F.col("draws")).select("source", "rate", "draws", table.alias("cdf")), total["sources"], epochs * (total["most"] or 0.0) / (total["w"] or 1.0) * (total["n"] or 0)
 
 
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, shuffle: bool = True, **options) -> DataFrame:
     """The rows, each as often as it was drawn, with copy (from 1), n_copies and shuffle_key, in the key's order."""
-    table, sources = _rates(docs, weights, source_col, **options)
+    table, sources, most = _rates(docs, weights, source_col, **options)
     table = table.select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
     # the sources were counted: a short table goes to every task, so that a hot source's texts stay where they are
     table = F.broadcast(table) if sources <= MAX_BROADCAST else table
-    who = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    who = known_as(id_col, text_col)
     joined = docs.join(table, docs[source_col].eqNullSafe(table["__source"]), "left")
-    draw = lambda k: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), k.cast("string"), who)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0), lambda a, k: a + draw(k))
-    drawn = joined.withColumn("n_copies", count).where("n_copies > 0")
-    out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    out = out.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("copy").cast("string"), who)), 1, 13), 16, 10).cast("bigint"))
-    out = out.drop("__source", "__draws", "__cdf")
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
+    numbers = F.transform(F.sequence(F.lit(1), F.col("__draws")), lambda k: uniform(F.lit(seed), k.cast("string"), who))
+    count = F.aggregate(numbers, F.lit(0), lambda a, u: a + F.size(F.filter("__cdf", lambda c: c <= u)))
+    # a generator's output, so that the draws are made once a row
+    drawn = joined.withColumn("n_copies", F.explode(F.array(count))).drop("__source", "__draws", "__cdf").where("n_copies > 0")
+    if most > BLOCK_COPIES / 4:
+        # some row may have very many copies: its range of numbers is dealt out in blocks before they become rows
+        blocks = drawn.withColumn("__from", F.explode(F.sequence(F.lit(1), F.col("n_copies"), F.lit(BLOCK_COPIES))))
+        drawn = blocks.repartition(F.xxhash64(who, "__from"))
+        last = F.least(F.col("n_copies"), F.col("__from") + BLOCK_COPIES - 1)
+        out = drawn.withColumn("copy", F.explode(F.sequence(F.col("__from"), last))).drop("__from")
+    else:
+        out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    out = out.withColumn("shuffle_key", order_key(seed, F.col("copy"), who))
+    if not shuffle:
+        return out
+    # keys are even on their range, so equal parts of it are dealt without a sample
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionById(parts, F.floor(F.col("shuffle_key") / F.lit(float(1 << 52)) * parts).cast("int")).sortWithinPartitions("shuffle_key")
+
+
+def order_key(seed: str, copy: Column, who: Column) -> Column:
+    """52 bits of an MD5 that put all copies in one random order."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), copy.cast("string"), who)), 1, 13), 16, 10).cast("bigint")
+
+
+def known_as(id_col: str, text_col: str) -> Column:
+    """What a document is drawn by: its id, or its text where that is null."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
+
+def in_random_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> DataFrame:
+    """Adds shuffle_key, numbering equal rows anew as copies: the global order of rows that were replicated before."""
+    who = known_as(id_col, text_col)
+    numbered = docs.withColumn("__copy", F.row_number().over(Window.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(0))))
+    return numbered.withColumn("shuffle_key", order_key(seed, F.col("__copy"), who)).drop("__copy")
 
 
 def oracle_sql(seed: str = SEED) -> str:

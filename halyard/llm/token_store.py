@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain, compress
 
 import numpy as np
@@ -239,11 +239,12 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
-    """Writes the token ids of every text, in ascending order of id, with all other columns as metadata."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, order: Sequence[str] | None = None) -> None:
+    """Writes the token ids of every text, in ascending order of id (or of the given columns), with all other columns as metadata."""
     meta = unclashed(docs.drop(text_col), ["part", "before", "n_tokens", "tokens"]).columns
     rows = docs.select(F.xxhash64(text_col).alias("__content"), F.col(text_col).alias("__text"), *meta)
-    rows = rows.repartitionByRange(id_col, "__content").sortWithinPartitions(id_col, "__content")
+    order = [*(order or []), id_col, "__content"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*meta).schema)
     coded = rows.mapInArrow(_encode(tokenizer, end_id), f"part int, before bigint, n_tokens int, tokens array<int>, {kinds}")
     options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true", "parquet.page.write-checksum.enabled": "true"}
@@ -280,9 +281,9 @@ def token_digests(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     return read.join(_starts(rows.select("part", "n_tokens")), "part").select(F.col("id").alias(id_col), (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, order: Sequence[str] | None = None) -> DataFrame:
     """Writes the ids, reads the files back and returns their digests."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, id_col, text_col, end_id)
+    write_tokens(docs, path, tokenizer, id_col, text_col, end_id, order)
     return token_digests(spark, path, id_col)

@@ -100,6 +100,18 @@ def test_spans_are_cut():
     assert decontaminate.without_spans("Ab, cd! ef", [1]) == "Ab, ! ef"
 
 
+def test_span_limits(spark):
+    items = spark.createDataFrame([(5, prose(12)), (5, "zz9 zz8"), (6, PASSAGE)], "item_id long, text string")
+    texts = [(1, "zz9 zz8 a b c d"), (2, prose(5) + " " + PASSAGE + " tail"), (3, "clean"), (4, None)]
+    df = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, hits int")
+    for block in (3, 500_000):
+        found = decontaminate.match_items(df, items.union(items.limit(1)), block_words=block)
+        assert {r["doc_id"]: r["items"] for r in found.collect()} == {1: ["5"], 2: ["6"], 3: [], 4: []}
+    got = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(df, items, max_coverage=1.0, max_span=5).collect()}
+    assert got[1] == texts[0][1] and got[2].endswith(" tail") and len(got[2].split()) == 6 and got[3] == "clean" and got[4] is None
+    assert {r["doc_id"] for r in decontaminate.decontaminate(df, items, max_coverage=0.5, max_span=5).collect()} == {1, 3, 4}
+
+
 def test_lines(spark):
     base = [prose(12) for _ in range(6)]
     texts = ["\n".join(rng.choice([b, changed(b, 1), changed(b, 2), changed(b, 4), b.lower(), ""]) for b in rng.choices(base, k=6)) for _ in range(30)] + [None, "", "a\na", "a b c d\na b c d e", " \r\n"]
@@ -251,6 +263,16 @@ def test_mixing(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.replicate(df.repartition(3), {"s0": 5.0, None: 40.0}).collect()))
 
 
+def test_mixing_splits_many_copies(spark):
+    df = spark.createDataFrame([(i, "big", "t") for i in range(6000)] + [(-1, "rare", None)], "doc_id long, source string, text string")
+    got = mixing.replicate(df).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "copy").alias("d"), F.max("n_copies").alias("m")).collect()
+    by = {r["source"]: r for r in got}
+    assert by["rare"]["n"] == by["rare"]["d"] == by["rare"]["m"] and abs(by["rare"]["n"] - 3000.5) < 6 * 55
+    assert by["big"]["n"] == by["big"]["d"]
+    keys = [r[0] for r in mixing.replicate(df).select("shuffle_key").collect()]
+    assert keys == sorted(keys)
+
+
 def test_poisson_inversion(spark):
     table = mixing.rates(spark.createDataFrame([("a",)] * 3 + [("b",)], "source string"), None)
     for r in table.collect():
