@@ -705,6 +705,189 @@ def bootstrap_quantile(spark, sf):
     return fit.table(spark)
 
 
+# --- likelihoods with continuous regressors: the same estimates and standard errors by Newton steps in SQL ----------
+
+
+def _phi(z: str) -> str:
+    """The normal CDF as a series in DuckDB SQL."""
+    k = f"(2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)"
+    return f"(0.5 + sign({z}) * exp(-0.5 * ({z}) * ({z})) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: exp({k}))))"
+
+
+def _inverse(k: int) -> tuple[str, list[list[str]]]:
+    """Determinant and cofactors of the symmetric matrix h00, h01, ... of up to three rows."""
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+    if k == 1:
+        return "h00", [["1.0"]]
+    if k == 2:
+        return "(h00 * h11 - h01 * h01)", [["h11", "-h01"], ["-h01", "h00"]]
+    minor = lambda i, j: "({0} * {1} - {2} * {3})".format(*[h(a, b) for a, b in [(r, c) for r in range(3) if r != i for c in range(3) if c != j]][:1], *[h(a, b) for a, b in [(r, c) for r in range(3) if r != i for c in range(3) if c != j]][3:], *[h(a, b) for a, b in [(r, c) for r in range(3) if r != i for c in range(3) if c != j]][1:3])
+    cofactor = [[("" if (i + j) % 2 == 0 else "-") + minor(i, j) for j in range(3)] for i in range(3)]
+    return "(" + " + ".join(f"h0{j} * {cofactor[0][j]}" for j in range(3)) + ")", cofactor
+
+
+def _newton(sums: str, names: list[str], start: list[float], steps: int = 15, digits: int = 4) -> str:
+    """SQL of the estimates: ``sums`` selects step, b0.., scores g0.. and information h00.. from a table {s} of parameters."""
+    k = len(names)
+    b, det = [f"b{i}" for i in range(k)], _inverse(k)
+    step = ", ".join(f"b{i} + (" + " + ".join(f"{det[1][i][j]} * g{j}" for j in range(k)) + f") / {det[0]} AS b{i}" for i in range(k))
+    first = ", ".join(f"{v}::DOUBLE AS {n}" for n, v in zip(b, start, strict=True))
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS term, round(b{i}, {digits}) AS estimate, round(sqrt({det[1][i][i]} / {det[0]}), {digits}) AS se FROM e" for i, n in enumerate(names))
+    at = lambda t: sums.replace("{s}", t)
+    return f"WITH RECURSIVE s AS (SELECT 0 AS step, {first} UNION ALL SELECT step + 1 AS step, {step} FROM ({at('(SELECT * FROM s WHERE step < ' + str(steps) + ')')})), z AS (SELECT * FROM s WHERE step = {steps}), e AS ({at('z')}) {rows}"
+
+
+def _rowwise(source: str, score: list[str], info: dict[tuple[int, int], str], more: str = "0 AS unused", most: str = "0 AS unused2") -> str:
+    """Sums of scores and information over the rows of a source with weight w; ``more`` and then ``most`` add columns of each row."""
+    k = len(score)
+    b = ", ".join(f"b{i}" for i in range(k))
+    g = ", ".join(f"sum(w * ({x})) AS g{i}" for i, x in enumerate(score))
+    h = ", ".join(f"sum(w * ({x})) AS h{i}{j}" for (i, j), x in info.items())
+    return f"SELECT step, {b}, {g}, {h} FROM (SELECT *, {most} FROM (SELECT *, {more} FROM {{s}} AS p, ({source}) AS d)) GROUP BY step, {b}"
+
+
+def _slopes(factor: str) -> dict[tuple[int, int], str]:
+    return {(0, 0): factor, (0, 1): f"({factor}) * x", (1, 1): f"({factor}) * x * x"}
+
+
+_STATUS = "SELECT (l_linestatus = 'F')::INT::DOUBLE AS y, l_quantity / 10 AS x, count(*) AS w FROM lineitem GROUP BY 1, 2"
+
+
+def _status(spark, sf) -> DataFrame:
+    return load(spark, sf, "lineitem").selectExpr("cast(l_linestatus = 'F' as double) AS y", "l_quantity / 10 AS x", "cast(l_linenumber as double) AS k", tables.ROW)
+
+
+@query(_newton(_rowwise(_STATUS, ["y - p1", "(y - p1) * x"], _slopes("p1 * (1 - p1)"), "1 / (1 + exp(-(b0 + b1 * x))) AS p1"), ["_cons", "x"], [0, 0]))
+def logit_fit(spark, sf):
+    return coefficients(spark, likelihood.logit(_status(spark, sf), "y", "x"), 4)
+
+
+_MILLS = "exp(-0.5 * v * v) / sqrt(2 * pi()) / " + _phi("v") + " AS m"
+
+
+@query(_newton(_rowwise(_STATUS, ["q * m", "q * m * x"], _slopes("m * (m + v)"), "2 * y - 1 AS q, (2 * y - 1) * (b0 + b1 * x) AS v", _MILLS), ["_cons", "x"], [0, 0], 8))
+def probit_fit(spark, sf):
+    return coefficients(spark, likelihood.probit(_status(spark, sf), "y", "x"), 4)
+
+
+@query(_newton(_rowwise("SELECT l_linenumber::DOUBLE AS y, l_quantity / 10 AS x, count(*) AS w FROM lineitem GROUP BY 1, 2", ["y - mu", "(y - mu) * x"], _slopes("mu"), "exp(b0 + b1 * x) AS mu"), ["_cons", "x"], [1, 0]))
+def poisson_fit(spark, sf):
+    return coefficients(spark, likelihood.poisson(_status(spark, sf), "k", "x"), 4)
+
+
+_BY_R = "list_sum(list_transform(range(0, y::BIGINT), lambda j: 1 / (r + j)))"
+_BY_R2 = "list_sum(list_transform(range(0, y::BIGINT), lambda j: 1 / (r + j) / (r + j)))"
+
+
+@query(_newton(
+    _rowwise(
+        "SELECT ((event_id * 7) % 40)::DOUBLE AS y, round(value / 10) / 10 AS x, count(*) AS w FROM events GROUP BY 1, 2",
+        ["(y - mu) * r / (r + mu)", "(y - mu) * r / (r + mu) * x", "-r * t"],
+        _slopes("r * mu * (r + y) / (r + mu) / (r + mu)") | {(0, 2): "r * (y - mu) * mu / (r + mu) / (r + mu)", (1, 2): "r * (y - mu) * mu / (r + mu) / (r + mu) * x", (2, 2): f"-r * (t + r * (1 / r - 1 / (r + mu) - (mu - y) / (r + mu) / (r + mu) - coalesce({_BY_R2}, 0)))"},
+        "exp(-b2) AS r, exp(b0 + b1 * x) AS mu",
+        f"coalesce({_BY_R}, 0) + ln(r / (r + mu)) + 1 - (r + y) / (r + mu) AS t",
+    ),
+    ["_cons", "x", "lnalpha"], [2.97, 0, -0.9], 20, 3,
+))
+def nbreg_fit(spark, sf):
+    df = load(spark, sf, "events").selectExpr("cast((event_id * 7) % 40 AS double) AS y", "round(value / 10) / 10 AS x", tables.ROW)
+    return coefficients(spark, likelihood.nbreg(df, "y", "x"), 3)
+
+
+_CENSORED = "SELECT greatest(l_quantity - 20 + l_discount * 50, 0.0) AS y, l_discount * 100 AS x, count(*) AS w FROM lineitem GROUP BY 1, 2"
+_OUTCOME = ["greatest(l_quantity - 20 + l_discount * 50, 0.0) AS y", "l_discount * 100 AS x", "l_quantity AS t", "cast(l_linestatus = 'F' as double) AS d"]
+
+
+def _two(cut: str, then: str, other: str) -> str:
+    return f"CASE WHEN {cut} THEN {then} ELSE {other} END"
+
+
+_CUT = "y <= 0"
+
+
+@query(_newton(
+    _rowwise(
+        _CENSORED,
+        [_two(_CUT, "-m / sd", "z / sd"), _two(_CUT, "-m / sd * x", "z / sd * x"), _two(_CUT, "-m * v", "z * z - 1")],
+        _slopes(_two(_CUT, "m * (m + v) / sd / sd", "1 / sd / sd")) | {(0, 2): _two(_CUT, "(m * (m + v) * v - m) / sd", "2 * z / sd"), (1, 2): _two(_CUT, "(m * (m + v) * v - m) / sd * x", "2 * z / sd * x"), (2, 2): _two(_CUT, "m * (m + v) * v * v - m * v", "2 * z * z")},
+        "exp(b2) AS sd, (y - b0 - b1 * x) / exp(b2) AS z, -(b0 + b1 * x) / exp(b2) AS v", _MILLS,
+    ),
+    ["_cons", "x", "lnsigma"], [5, 0.5, 2.7], 12, 3,
+))
+def tobit_fit(spark, sf):
+    df = load(spark, sf, "lineitem").selectExpr(*_OUTCOME, tables.ROW)
+    return coefficients(spark, likelihood.tobit(df, "y", "x"), 3)
+
+
+@query(_newton(
+    _rowwise(
+        f"SELECT * FROM ({_CENSORED}) WHERE y > 0",
+        ["(z - m) / sd", "(z - m) / sd * x", "z * z - 1 + m * v"],
+        _slopes("(1 - m * (m + v)) / sd / sd") | {(0, 2): "(2 * z + m * (m + v) * v - m) / sd", (1, 2): "(2 * z + m * (m + v) * v - m) / sd * x", (2, 2): "2 * z * z - m * (m + v) * v * v + m * v"},
+        "exp(b2) AS sd, (y - b0 - b1 * x) / exp(b2) AS z, (b0 + b1 * x) / exp(b2) AS v", _MILLS,
+    ),
+    ["_cons", "x", "lnsigma"], [12, 0.5, 2.4], 15, 3,
+))
+def truncreg_fit(spark, sf):
+    df = load(spark, sf, "lineitem").selectExpr(*_OUTCOME, tables.ROW)
+    return coefficients(spark, likelihood.truncreg(df, "y", "x", predicate="y > 0"), 3)
+
+
+_SPELLS = "SELECT l_quantity AS t, (l_linestatus = 'F')::INT::DOUBLE AS d, l_discount * 10 AS x, count(*) AS w FROM lineitem GROUP BY 1, 2, 3"
+
+
+def _spells(spark, sf) -> DataFrame:
+    return load(spark, sf, "lineitem").selectExpr("l_quantity AS t", "cast(l_linestatus = 'F' as double) AS d", "l_discount * 10 AS x", tables.ROW)
+
+
+@query(_newton(_rowwise(_SPELLS, ["d - h", "(d - h) * x"], _slopes("h"), "exp(b0 + b1 * x) * t AS h"), ["_cons", "x"], [-4, 0]))
+def exponential_fit(spark, sf):
+    return coefficients(spark, likelihood.streg(_spells(spark, sf), "t", "x", failure="d", distribution="exponential"), 4)
+
+
+@query(_newton(_rowwise(_SPELLS, ["d - h", "(d - h) * x", "d * (1 + u) - h * u"], _slopes("h") | {(0, 2): "h * u", (1, 2): "h * u * x", (2, 2): "h * u * u + h * u - d * u"}, "exp(b2) * ln(t) AS u", "exp(b0 + b1 * x + u) AS h"), ["_cons", "x", "lnp"], [-5, 0, 0.3], 20))
+def weibull_fit(spark, sf):
+    return coefficients(spark, likelihood.streg(_spells(spark, sf), "t", "x", failure="d"), 4)
+
+
+@query(_newton(
+    _rowwise(
+        _SPELLS, ["d - e * (a - 1) / b2", "(d - e * (a - 1) / b2) * x", "d * t - e * f"],
+        _slopes("e * (a - 1) / b2") | {(0, 2): "e * f", (1, 2): "e * f * x", (2, 2): "e * (t * t * a / b2 - 2 * t * a / b2 / b2 + 2 * (a - 1) / b2 / b2 / b2)"},
+        "exp(b0 + b1 * x) AS e, exp(b2 * t) AS a", "t * a / b2 - (a - 1) / b2 / b2 AS f",
+    ),
+    ["_cons", "x", "gamma"], [-4.5, 0, 0.03], 20,
+))
+def gompertz_fit(spark, sf):
+    return coefficients(spark, likelihood.streg(_spells(spark, sf), "t", "x", failure="d", distribution="gompertz"), 4)
+
+
+_RISK = "SELECT step, b0, t, sum(w * d) AS dead, sum(w * d * x) AS dx, sum(w * exp(b0 * x)) AS a, sum(w * x * exp(b0 * x)) AS a1, sum(w * x * x * exp(b0 * x)) AS a2 FROM {s} AS p, (" + _SPELLS + ") AS d GROUP BY step, b0, t"
+_SWEEP = f"SELECT step, b0, sum(dx - dead * c1 / c) AS g0, sum(dead * (c2 / c - c1 / c * c1 / c)) AS h00 FROM (SELECT step, b0, dead, dx, sum(a) OVER w AS c, sum(a1) OVER w AS c1, sum(a2) OVER w AS c2 FROM ({_RISK}) WINDOW w AS (PARTITION BY step ORDER BY t DESC)) GROUP BY step, b0"
+
+
+@query(_newton(_SWEEP, ["x"], [0]))
+def cox_fit(spark, sf):
+    return coefficients(spark, survival.stcox(_spells(spark, sf), "t", "x", failure="d"), 4)
+
+
+def _conditional(source: str) -> str:
+    per = f"SELECT step, b0, g, sum(y) AS n, sum(y * x) AS yx, sum(exp(b0 * x)) AS a, sum(x * exp(b0 * x)) AS a1, sum(x * x * exp(b0 * x)) AS a2 FROM {{s}} AS p, ({source}) AS d GROUP BY step, b0, g"
+    return f"SELECT step, b0, sum(yx - n * a1 / a) AS g0, sum(n * (a2 / a - a1 / a * a1 / a)) AS h00 FROM ({per}) GROUP BY step, b0"
+
+
+@query(_newton(_conditional("SELECT user_id AS g, (1 + event_id % 9)::DOUBLE AS y, value / 100 AS x FROM events"), ["x"], [0]))
+def xtpoisson_fe_fit(spark, sf):
+    df = load(spark, sf, "events").selectExpr("user_id AS u", "cast(1 + event_id % 9 AS double) AS y", "value / 100 AS x", tables.ROW)
+    return coefficients(spark, likelihood.xtpoisson_fe(df, "y", "x", group="u"), 4)
+
+
+@query(_newton(_conditional("SELECT l_orderkey AS g, (l_linenumber = 1)::INT::DOUBLE AS y, l_quantity / 10 AS x FROM lineitem"), ["x"], [0]))
+def clogit_fit(spark, sf):
+    df = load(spark, sf, "lineitem").selectExpr("l_orderkey AS g", "cast(l_linenumber = 1 AS double) AS y", "l_quantity / 10 AS x", tables.ROW)
+    return coefficients(spark, likelihood.clogit(df, "y", "x", group="g"), 4)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, filter, derive, collapse."""
     df = rows.generate(rows.keep_if(load(spark, sf_dir, "lineitem"), "l_quantity > 10"), "net", "l_extendedprice * (1 - l_discount)")
