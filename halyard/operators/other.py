@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.safe import all_finite, finite_or_null, number, truth
 from ..plans.moments import Design, cross_products, design, linear, meat, solved
+from ..plans.ranks import quantiles
 from ..sources.tables import ROW
 from .likelihood import probit
 from .linear import Fit, fit_rows
@@ -56,7 +57,7 @@ def qreg(df: DataFrame, y: str, *terms: str, quantile: float = 0.5, predicate=No
         beta = fit_rows(Design(rows, y, d.terms, constant, d.source)).beta
         if constant:
             e = F.col("y") - linear(x, beta)
-            beta[0] += rows.agg(F.percentile(e, F.lit(tau))).first()[0]
+            beta[0] += quantiles(rows, [e], [tau])[0][0]
 
         def loss(b: np.ndarray) -> float:
             e = F.col("y") - linear(x, b)
@@ -89,7 +90,7 @@ def qreg(df: DataFrame, y: str, *terms: str, quantile: float = 0.5, predicate=No
         z = dist.normal_quantile(tau)
         h = n ** (-1 / 3) * dist.normal_quantile(0.975) ** (2 / 3) * (1.5 * float(dist.normal_pdf(z)) ** 2 / (2 * z * z + 1)) ** (1 / 3)
         e = F.col("y") - linear(x, best)
-        lo, hi = rows.agg(F.percentile(e, F.array(F.lit(max(0.0, tau - h)), F.lit(min(1.0, tau + h))))).first()[0]
+        lo, hi = quantiles(rows, [e], [max(0.0, tau - h), min(1.0, tau + h)])[0]
         sparsity = (hi - lo) / (min(1.0, tau + h) - max(0.0, tau - h))
         cov = tau * (1 - tau) * sparsity**2 * solved(cross_products(rows, x)[1], d.names)
         return Fit("qreg", d.names, best, cov, n, float(n - k), {"loss": now, "sparsity": sparsity}, d)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import finite, finite_or_null, is_numeric, number, truth
+from ..plans.ranks import quantiles
 from ..sources.tables import ROW
 from .rows import names_of, need, q
 
@@ -33,21 +34,21 @@ def _rows(one: DataFrame, names: Sequence[str], fields: Sequence[str]) -> DataFr
 
 
 def summarize(df: DataFrame, *names: str, predicate: str | Column | None = None, detail: bool = False) -> DataFrame:
-    """Per variable, over its own finite values: n, mean, sd, min, max; with detail also nine percentiles. One job."""
+    """Per variable, over its own finite values: n, mean, sd, min, max, in one job; with detail also nine exact percentiles."""
     chosen = list(names) or [n for n, t in df.dtypes if n != ROW and is_numeric(t)]
     need(df, *chosen)
     aggs = []
     for i, n in enumerate(chosen):
         x = finite_or_null(q(n))
         aggs += [F.count(x).alias(f"n_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"sd_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}")]
-        if detail:
-            aggs.append(F.percentile(x, F.array(*map(F.lit, PERCENTILES))).alias(f"p_{i}"))
     one = _where(df, predicate).agg(*aggs)
     fields = ["n", "mean", "sd", "min", "max"]
+    rows = _rows(one, chosen, fields)
     if not detail:
-        return _rows(one, chosen, fields)
-    rows = _rows(one, chosen, [*fields, "p"])
-    return rows.select("variable", *fields, *[F.col("p")[k].alias(f"p{round(100 * p)}") for k, p in enumerate(PERCENTILES)])
+        return rows
+    found = quantiles(_where(df, predicate), [finite_or_null(q(n)) for n in chosen], PERCENTILES)
+    of = lambda k: F.create_map(*[F.lit(v) for n, row in zip(chosen, found, strict=True) for v in (n, row[k])])[F.col("variable")].cast("double")
+    return rows.select("variable", *fields, *[of(k).alias(f"p{round(100 * p)}") for k, p in enumerate(PERCENTILES)])
 
 
 def missing(df: DataFrame, *names: str) -> DataFrame:

@@ -22,8 +22,7 @@ def count(df):
     return r["n"], r["d"]
 
 
-@pytest.mark.parametrize("columns", [["l_extendedprice"], ["l_extendedprice", "l_comment"], None])
-@pytest.mark.parametrize("coalesce", ["true", "false"])
+@pytest.mark.parametrize("columns,coalesce", [(["l_extendedprice"], "true"), (None, "true"), (["l_extendedprice", "l_partkey"], "false")])
 def test_sort(spark, columns, coalesce):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     try:
