@@ -71,3 +71,32 @@ def sql(df: DataFrame, text: str, **tables: DataFrame) -> DataFrame:
     for name, table in tables.items():
         table.drop("__row").createOrReplaceTempView(name)
     return df.sparkSession.sql(text)
+
+
+class Relations:
+    """Named tables of a session: put under a name, used by it, and queried together."""
+
+    def __init__(self):
+        self.tables: dict[str, DataFrame] = {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        if not name.isidentifier() or name.lower() == "active":
+            raise ValueError(f"not a table name: {name}")
+        self.tables[name] = df
+        return df
+
+    def use(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            raise ValueError(f"unknown table: {name}")
+        return self.tables[name]
+
+    def drop(self, name: str) -> None:
+        self.use(name)
+        del self.tables[name]
+
+    def sql(self, active: DataFrame, text: str, into: str | None = None) -> DataFrame:
+        """A query over the view ``active`` and all named tables; with ``into`` the result, numbered in its order, gets a name."""
+        from ..sources.tables import numbered
+
+        out = numbered(sql(active, text, **self.tables))
+        return self.put(into, out) if into else out

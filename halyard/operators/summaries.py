@@ -150,13 +150,12 @@ def _powers(turn: np.uint64, n: int) -> np.ndarray:
 
 def _part_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a range of rows in order: its number, its rows and two polynomials in its rows' hashes."""
-    total, n = np.zeros(2, np.uint64), 0
+    total, n = [0, 0], 0
     for batch in batches:
         leaf = batch.column(0).to_numpy().view(np.uint64)
-        for k, turn in enumerate(_TURNS):
-            total[k] = total[k] * np.uint64(pow(int(turn), len(leaf), 1 << 64)) + (leaf * _powers(turn, len(leaf))).sum(dtype=np.uint64)
+        total = [(t * pow(int(turn), len(leaf), 1 << 64) + int((leaf * _powers(turn, len(leaf))).sum(dtype=np.uint64))) % (1 << 64) for t, turn in zip(total, _TURNS, strict=True)]
         n += len(leaf)
-    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), *(pa.array(total[k : k + 1].view(np.int64)) for k in (0, 1))], ["part", "n", "a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), *(pa.array(np.array([t], np.uint64).view(np.int64)) for t in total)], ["part", "n", "a", "b"])
 
 
 def datasignature(df: DataFrame) -> DataFrame:

@@ -213,3 +213,24 @@ def test_nested_logit(spark):
     best = ll(fit["x"], fit.stats["dissimilarity"])
     assert fit.stats["ll"] == pytest.approx(best, abs=1e-6)
     assert all(ll(fit["x"] + u, fit.stats["dissimilarity"] + v) <= best + 1e-6 for u in (-0.01, 0, 0.01) for v in (-0.01, 0, 0.01))
+
+
+def test_t_functions_of_arrays():
+    rng = np.random.default_rng(8)
+    t, df = rng.normal(size=300) * 10.0 ** rng.integers(-2, 3, 300), np.r_[rng.integers(1, 60, 250), rng.uniform(1, 1e5, 50)].astype(float)
+    assert dist.t_two_sideds(t, df) == pytest.approx([dist.t_two_sided(a, b) for a, b in zip(t, df, strict=True)], rel=1e-10, abs=1e-300)
+    p = rng.uniform(0.001, 0.999, 40)
+    assert dist.t_quantiles(p, df[:40]) == pytest.approx([dist.t_quantile(a, b) for a, b in zip(p, df, strict=False)], rel=1e-9, abs=1e-9)
+
+
+def test_named_tables(spark):
+    named = safe.Relations()
+    df = tables.numbered(spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double"))
+    named.put("second", rows.rename(df, "v", "w"))
+    out = named.sql(df, "SELECT a.k, v + w AS s FROM active a JOIN second USING (k)", into="both")
+    assert sorted(tuple(r)[:2] for r in named.use("both").collect()) == [(1, 4.0), (2, 6.0)] and tables.ROW in out.columns
+    assert named.sql(named.use("both"), "SELECT count(*) AS n FROM both").first()["n"] == 2
+    named.drop("second")
+    for bad in (lambda: named.use("second"), lambda: named.put("active", df), lambda: named.put("a b", df)):
+        with pytest.raises(ValueError):
+            bad()
