@@ -29,6 +29,7 @@ read whole; extra columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from ._text import PLAIN_WORD, Slice, find_words, mix, slices, word_hashes
 
 SIMILARITY = 0.8
 BUCKETS, SHELF = 1 << 20, 1 << 10
+ROUNDS = 4
 _BUCKET = np.uint64(BUCKETS - 1)
 _SALTS = np.random.default_rng(11).integers(1, 1 << 63, 2, dtype=np.uint64)
 
@@ -182,19 +184,28 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shape = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("shape")
     tokens = sets.select("node", "n", "bits", F.posexplode("prefix").alias("place", "token")).select("token", "node", shape, "bits")
 
-    # the words in two prefixes or more, with the earliest set of each
-    heads = tokens.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
-    shared = stored(tokens.join(heads, "token"), "line-tokens")
-    first = shared.where("node = head").select("token", "node", "shape", "bits")
-    pairs = shared.where("node > head").alias("a").join(first.alias("b"), "token").where(_alike("a", "b", similarity)).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
-    gone = _verified(docs, id_col, text_col, sets, pairs, similarity)
-
-    # both sides of the join are one and the same exchange
-    asked = stored(shared.join(gone.withColumn("gone", F.lit(True)), "node", "left").select("token", "node", "shape", "bits", F.col("gone").isNull().alias("left")), "line-asked")
-    dropped(shared)
-    later = asked.alias("a").join(asked.alias("b"), "token").where(F.col("a.left") & _alike("a", "b", similarity)).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
-    also = _verified(docs, id_col, text_col, sets, later, similarity)
-    dropped(asked)
+    # words are dealt in rounds, so that what is on disk at a time is a part of their rows
+    shared, pairs = [], []
+    for turn in range(ROUNDS):
+        own = tokens.where(F.pmod(F.xxhash64("token"), F.lit(ROUNDS)) == turn)
+        # the words in two prefixes or more, with the earliest set of each
+        heads = own.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
+        met = stored(own.join(heads, "token"), "line-tokens")
+        first = met.where("node = head").select("token", "node", "shape", "bits")
+        pairs.append(stored(met.where("node > head").alias("a").join(first.alias("b"), "token").where(_alike("a", "b", similarity)).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct(), "line-pairs"))
+        shared.append(met)
+    gone = _verified(docs, id_col, text_col, sets, reduce(DataFrame.union, pairs).distinct(), similarity)
+    dropped(*pairs)
+
+    later = []
+    for met in shared:
+        # both sides of the join are one and the same exchange
+        asked = stored(met.join(gone.withColumn("gone", F.lit(True)), "node", "left").select("token", "node", "shape", "bits", F.col("gone").isNull().alias("left")), "line-asked")
+        dropped(met)
+        later.append(stored(asked.alias("a").join(asked.alias("b"), "token").where(F.col("a.left") & _alike("a", "b", similarity)).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct(), "line-pairs"))
+        dropped(asked)
+    also = _verified(docs, id_col, text_col, sets, reduce(DataFrame.union, later).distinct(), similarity)
+    dropped(*later)
 
     removed = gone.union(also).withColumn("match", F.lit(True))
     marks = sets.select("k1", "k2", "n", F.struct("id", "content", "line").alias("first"), "node").join(removed, "node", "left").select("k1", "k2", "n", "first", F.coalesce("match", F.lit(False)).alias("match"))
