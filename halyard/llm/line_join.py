@@ -41,7 +41,7 @@ from ._text import PLAIN_WORD, Slice, find_words, mix, slices, word_hashes
 
 SIMILARITY = 0.8
 BUCKETS, SHELF = 1 << 20, 1 << 10
-ROUNDS = 4
+ROUNDS = 2
 _BUCKET = np.uint64(BUCKETS - 1)
 _SALTS = np.random.default_rng(11).integers(1, 1 << 63, 2, dtype=np.uint64)
 
@@ -142,15 +142,28 @@ def _parity(n: Column, m: Column, bits: list[tuple[Column, Column]], similarity:
     return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits), F.lit(0)) <= n + m - 2 * _need(n, m, similarity)
 
 
-def _alike(a: str, b: str, similarity: float) -> Column:
-    """What two sets (node, shape, bits) that share a prefix word need; b is the earlier one. Shape is n and the word's place.
+def _alike(n: Column, m: Column, p: Column, q: Column, bits: list[tuple[Column, Column]], similarity: float) -> Column:
+    """What sets of n and m words that share a prefix word, at places p and q, need: the length, positional and parity filters."""
+    ahead = F.least(p, q) + F.least(n - p, m - q) >= _need(n, m, similarity)
+    return (m >= n * similarity - 1e-9) & (n >= m * similarity - 1e-9) & ahead & _parity(n, m, bits, similarity)
+
+
+def _shape(n: Column, place: Column) -> Column:
+    """Size and place of a word in one value."""
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(place.cast("long")).alias("shape")
+
 
-    Length filter; positional filter; and the first parity bitmap.
-    """
+def _met(a: str, b: str, similarity: float) -> Column:
+    """The same filters of two token rows."""
     n, m = (F.shiftright(f"{x}.shape", 32) for x in (a, b))
     p, q = (F.col(f"{x}.shape").bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b))
-    ahead = F.least(p, q) + F.least(n - p, m - q) >= _need(n, m, similarity)
-    return (F.col(f"{a}.node") > F.col(f"{b}.node")) & (m >= n * similarity - 1e-9) & (n >= m * similarity - 1e-9) & ahead & _parity(n, m, [(F.col(f"{a}.bits"), F.col(f"{b}.bits"))], similarity)
+    return _alike(n, m, p, q, [(F.col(f"{a}.{w}"), F.col(f"{b}.{w}")) for w in ("bits", "bits1")], similarity)
+
+
+def _tokens(sets: DataFrame, key: str, turn: int) -> DataFrame:
+    """A row per prefix word of this round: token, key, shape, bits, bits1."""
+    rows = sets.select(key, "n", "bits", "bits1", F.posexplode("prefix").alias("place", "token"))
+    return rows.where(F.pmod(F.xxhash64("token"), F.lit(ROUNDS)) == turn).select("token", key, _shape(F.col("n"), F.col("place")), "bits", "bits1")
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -181,29 +194,33 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "content", "line")).alias("place"), F.first(F.struct(*more)).alias("own"))
     ordered = distinct.select("k1", "k2", "n", "place.*", "own.*").repartitionByRange("id", "content", "line").sortWithinPartitions("id", "content", "line")
     sets = stored(ordered.withColumn("node", F.monotonically_increasing_id()), "line-sets")
-    shape = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("shape")
-    tokens = sets.select("node", "n", "bits", F.posexplode("prefix").alias("place", "token")).select("token", "node", shape, "bits")
 
     # words are dealt in rounds, so that what is on disk at a time is a part of their rows
-    shared, pairs = [], []
+    pairs = []
     for turn in range(ROUNDS):
-        own = tokens.where(F.pmod(F.xxhash64("token"), F.lit(ROUNDS)) == turn)
+        own = _tokens(sets, "node", turn)
         # the words in two prefixes or more, with the earliest set of each
         heads = own.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
-        met = stored(own.join(heads, "token"), "line-tokens")
-        first = met.where("node = head").select("token", "node", "shape", "bits")
-        pairs.append(stored(met.where("node > head").alias("a").join(first.alias("b"), "token").where(_alike("a", "b", similarity)).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct(), "line-pairs"))
-        shared.append(met)
+        place = F.array_position("prefix", F.col("token")) - 1
+        first = sets.select(F.col("node").alias("head"), "n", "bits", "bits1", "prefix")
+        # stored, so that the join with it is of plain exchanges, which adaptive execution splits where a word is hot
+        first = stored(heads.join(first, "head").select("token", "head", _shape(F.col("n"), place), "bits", "bits1"), "line-heads")
+        met = own.alias("a").join(first.alias("b"), "token").where((F.col("a.node") > F.col("b.head")) & _met("a", "b", similarity))
+        pairs.append(stored(met.select("a.node", F.col("b.head").alias("other")).distinct(), "line-pairs"))
+        dropped(first)
     gone = _verified(docs, id_col, text_col, sets, reduce(DataFrame.union, pairs).distinct(), similarity)
     dropped(*pairs)
 
+    # a set that is gone asks no more: its key is negative; both sides of the join are one and the same exchange
+    marked = sets.join(gone.withColumn("gone", F.lit(True)), "node", "left")
+    asked = stored(marked.select(F.when(F.col("gone"), F.bitwise_not("node")).otherwise(F.col("node")).alias("key"), "n", "bits", "bits1", "prefix"), "line-asked")
+    earlier = F.when(F.col("b.key") < 0, F.bitwise_not("b.key")).otherwise(F.col("b.key"))
     later = []
-    for met in shared:
-        # both sides of the join are one and the same exchange
-        asked = stored(met.join(gone.withColumn("gone", F.lit(True)), "node", "left").select("token", "node", "shape", "bits", F.col("gone").isNull().alias("left")), "line-asked")
-        dropped(met)
-        later.append(stored(asked.alias("a").join(asked.alias("b"), "token").where(F.col("a.left") & _alike("a", "b", similarity)).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct(), "line-pairs"))
-        dropped(asked)
+    for turn in range(ROUNDS):
+        own = _tokens(asked, "key", turn)
+        met = own.alias("a").join(own.alias("b"), "token").where((F.col("a.key") > earlier) & _met("a", "b", similarity))
+        later.append(stored(met.select(F.col("a.key").alias("node"), earlier.alias("other")).distinct(), "line-pairs"))
+    dropped(asked)
     also = _verified(docs, id_col, text_col, sets, reduce(DataFrame.union, later).distinct(), similarity)
     dropped(*later)
 
