@@ -66,19 +66,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch.column(0)):
             total += np.bincount((word_hashes(part, find_words(part, PLAIN_WORD)) & _BUCKET).astype(np.int64), minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "n"])
+    shelves = total.reshape(-1, SHELF)
+    full = np.flatnonzero(shelves.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([shelves[k].tobytes() for k in full], pa.binary())], ["shelf", "n"])
+
+
+def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shelf, counts) to a row per shelf with its ranks; a task holds one array of each of its shelves."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for shelf, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[shelf] = total.get(shelf, 0) + np.frombuffer(n, np.int64)
+    ranks = [np.where(n > 0, np.floor(np.log2(np.maximum(n, 1)) * 4) + 1, 0).astype(np.uint8).tobytes() for n in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], ["shelf", "r"])
 
 
 def word_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
     """BUCKETS ranks, low for rare words: a table of a megabyte, whatever the corpus."""
-    counts = docs.select(text_col).mapInArrow(_count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n"))
-    rank = (F.floor(F.log2("n") * 4) + 1).cast("tinyint")
-    shelves = counts.groupBy(F.floor(F.col("b") / SHELF).alias("shelf")).agg(F.collect_list(F.struct((F.col("b") % SHELF).alias("b"), rank.alias("r"))).alias("x"))
-    table = shelves.select("shelf", F.col("x.b").alias("b"), F.col("x.r").alias("r")).toArrow()
+    counts = docs.select(text_col).mapInArrow(_count, "shelf int, n binary")
+    table = counts.repartition("shelf").mapInArrow(_rank, "shelf int, r binary").toArrow()
     out = np.zeros(BUCKETS, np.uint64)
-    for shelf, b, r in zip(table["shelf"].to_pylist(), table["b"], table["r"], strict=True):
-        out[shelf * SHELF + b.values.to_numpy()] = r.values.to_numpy()
+    for shelf, r in zip(table["shelf"].to_pylist(), table["r"].to_pylist(), strict=True):
+        out[shelf * SHELF : (shelf + 1) * SHELF] = np.frombuffer(r, np.uint8)
     return out
 
 
