@@ -13,7 +13,8 @@ corpus, in order of id, content and line number, has a Jaccard similarity of
    the places of the word (positional filter) and parity bitmaps of their words
    allow the similarity; these filters are conditions of the join itself.  The first
    pass compares every set with the earliest one of each word only, so a word shared
-   by many near copies costs one row per copy.  The second pass compares the sets
+   by many near copies costs one row per copy; it takes the rarer half of the prefix and
+   a word more, as it only spares the second pass work.  The second pass compares the sets
    that are left with all earlier ones.
 4. Candidates are verified on all their words.
 
@@ -207,7 +208,7 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # words are dealt in rounds, so that what is on disk at a time is a part of their rows
     pairs = []
     for turn in range(ROUNDS):
-        own = _tokens(sets, "node", turn)
+        own = _tokens(sets.withColumn("prefix", F.slice("prefix", 1, F.ceil(F.size("prefix") / 2).cast("int") + 1)), "node", turn)
         # the words in two prefixes or more, with the earliest set of each
         heads = own.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
         place = F.array_position("prefix", F.col("token")) - 1
