@@ -13,10 +13,20 @@ from ..sources.shared import dropped, new_path
 __all__ = ["dropped", "new_path", "stored", "text_batches", "unclashed"]
 
 
+#: Removes what a query shuffled as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which cuts its lineage."""
-    out = shared.stored(df, name)
-    # what the write shuffled goes once the driver collects its garbage
+    """Writes a table to the shared folder and reads it again, which cuts its lineage; what the write shuffled goes with its end."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        out = shared.stored(df, name)
+    finally:
+        conf.set(CLEANUP, before)
+    # broadcasts go once the driver collects its garbage
     gc.collect()
     df.sparkSession._jvm.System.gc()
     return out

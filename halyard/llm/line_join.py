@@ -42,7 +42,7 @@ from ._text import PLAIN_WORD, Slice, find_words, mix, slices, word_hashes
 
 SIMILARITY = 0.8
 BUCKETS, SHELF = 1 << 20, 1 << 10
-ROUNDS = 4
+ROUNDS = 2
 _BUCKET = np.uint64(BUCKETS - 1)
 _SALTS = np.random.default_rng(11).integers(1, 1 << 63, 2, dtype=np.uint64)
 
