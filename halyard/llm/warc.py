@@ -17,7 +17,13 @@ records that hold such bytes are put together in a second scan of those alone.
 
 Defined cases: a null payload is empty; rows that share the largest id of a
 group are all responses; a null id is written without an id; a group of null
-ids is all responses; records that the chain doesn't reach are never returned.
+ids is all responses; records that the chain doesn't reach are never returned;
+an empty table gives an empty archive.  Payloads count as equal when size and
+SHA-1 agree.  Extra columns, whatever their names, aren't written, and without a
+url column records have no target.  A payload of any length is one string, up to
+Spark's 2 GB.  The offsets of a file are a running sum over its candidates in one
+task (narrow rows), so files should stay below some millions of records; those
+written here hold ``records_per_file``.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ from pyspark.sql import functions as F
 
 from ._store import dropped, new_path, stored
 
+#: Most repeated payloads, at about 100 bytes in memory each, that are broadcast; more are joined by a shuffle.
+FIRST_ROWS = 200_000
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -46,10 +54,12 @@ def base32_of_sha1(payload: Column) -> Column:
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
     """id, url, payload (binary), digest, refers_to: null for responses."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), "url", F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
+    url = F.col("url") if "url" in [c.lower() for c in pages.columns] else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", base32_of_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
-    # stored, so that its size is known: a short table is broadcast under the session's limit and payloads stay where they are
+    # stored and counted: a short table is broadcast and payloads stay where they are
     first = stored(rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-first")
+    first = first.hint("broadcast" if first.count() <= FIRST_ROWS else "merge")
     rows = rows.join(first, ["digest", "size"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.select("id", "url", "payload", "digest", "size", refers.alias("refers_to"))
@@ -153,15 +163,18 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """(file, offset) that the chain of successors reaches from offset 0 of each file, by pointer jumping."""
+    """(file, offset) that the chain of successors reaches from offset 0 of each file, by pointer jumping.
+
+    Every join is hinted: the planner would broadcast these tables by their compressed sizes, far below those in memory.
+    """
     jumps = stored(links.where("successor is not null").select("file", "offset", "successor"), "warc-jumps")
     found = stored(links.where("offset = 0").select("file", "offset"), "warc-found")
     places = stored(links.select("file", F.col("offset").alias("successor")), "warc-places")
-    jumps_in = stored(jumps.join(places, ["file", "successor"], "left_semi").select("file", "offset", "successor"), "warc-jumps")
+    jumps_in = stored(jumps.join(places.hint("merge"), ["file", "successor"], "left_semi").select("file", "offset", "successor"), "warc-jumps")
     dropped(jumps, places)
     jumps, count = jumps_in, found.count()
     while True:
-        ahead = found.join(jumps, ["file", "offset"]).select("file", F.col("successor").alias("offset"))
+        ahead = found.join(jumps.hint("merge"), ["file", "offset"]).select("file", F.col("successor").alias("offset"))
         more = stored(found.union(ahead).distinct(), "warc-found")
         dropped(found)
         found, before = more, count
@@ -170,7 +183,7 @@ def reachable(links: DataFrame) -> DataFrame:
             dropped(jumps)
             return found
         onward = jumps.select("file", F.col("offset").alias("successor"), F.col("successor").alias("next"))
-        twice = stored(jumps.join(onward, ["file", "successor"]).select("file", "offset", F.col("next").alias("successor")), "warc-jumps")
+        twice = stored(jumps.join(onward.hint("merge"), ["file", "successor"]).select("file", "offset", F.col("next").alias("successor")), "warc-jumps")
         dropped(jumps)
         jumps = twice
 
@@ -195,12 +208,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record that the chain reaches."""
     pieces = stored(candidates(spark, path), "warc-candidates")
     real = reachable(pieces)
-    records = pieces.join(real, ["file", "offset"])
+    records = pieces.join(real.hint("merge"), ["file", "offset"])
     whole = records.where("whole").select("record.*")
     if not records.where("not whole").limit(1).count():
         return whole
     # pieces without a boundary of their own belong to the last record before them
-    flagged = pieces.join(real.withColumn("real", F.lit(True)), ["file", "offset"], "left")
+    flagged = pieces.join(real.withColumn("real", F.lit(True)).hint("merge"), ["file", "offset"], "left")
     owner = F.last(F.when(F.col("real"), F.struct("offset", "whole")), True).over(Window.partitionBy("file").orderBy("offset"))
     parts = flagged.withColumn("owner", owner).where("not owner.whole").select("file", "block", "number", "offset", F.col("owner.offset").alias("owner"))
     scan = _scan(spark, path).mapInArrow(_numbered, "file string, block bigint, number bigint, piece binary")

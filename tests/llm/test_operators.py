@@ -251,6 +251,18 @@ def test_warc_splits(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_warc_odd_tables(spark, monkeypatch):
+    pages = [(i, "z" * (i % 4)) for i in range(20)] + [(99, "long " * 500_000)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    expected = sorted((r[0], r[1], r[3]) for r in brute.warc(pages))
+    clashing = df.withColumn("digest", F.lit("d")).withColumn("size", F.lit(-1)).withColumn("refers_to", F.lit(0)).withColumn("first", F.lit("f"))
+    assert rows(warc.through_warc(clashing).select("page_id", "payload_bytes", "record_type")) == expected
+    # more repeated payloads than are broadcast
+    monkeypatch.setattr(warc, "FIRST_ROWS", 1)
+    assert rows(warc.through_warc(df).select("page_id", "payload_bytes", "record_type")) == expected
+    assert rows(warc.through_warc(df.limit(0))) == []
+
+
 def test_mixing(spark):
     data = [(i, f"s{i % 3}" if i % 10 else None, f"text {i}") for i in range(900)] + [(None, "s0", "n"), (7, "s1", "text 7")]
     df = spark.createDataFrame(data, "doc_id long, source string, text string")
