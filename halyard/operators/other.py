@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.safe import all_finite, finite_or_null, number, truth
+from ..plans.draws import drawn_sums
 from ..plans.moments import Design, cross_products, design, linear, meat, solved
 from ..plans.ranks import quantiles
-from ..sources.tables import ROW
+from ..sources.tables import ROW, ranked
 from .likelihood import probit
 from .linear import Fit, fit_rows
 from .rows import need, q
@@ -188,12 +189,13 @@ def lowess(df: DataFrame, y: str, x: str, into: str, by: str | None = None, band
     return rows.groupBy("__g").applyInArrow(smooth, f"{kinds}, `{into}` double")
 
 
-def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1, cluster: str | None = None, predicate=None, constant: bool = True) -> Fit:
+def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1, cluster: str | None = None, predicate=None, constant: bool = True, fixed: bool = False) -> Fit:
     """Pairs or whole-cluster bootstrap of least squares, all replicates in one pass over the rows.
 
     Each row or cluster has an independent Poisson(1) count in each replicate, drawn from a hash of the seed and of the
     cluster or the row's values and number, so results don't depend on the partitioning; replicates add up
-    their own cross products.
+    their own cross products. With ``fixed`` each replicate draws exactly as many rows or clusters as there are, at the
+    price of numbering them: one range shuffle. info["drawn"] holds each replicate's rows.
     """
     d = design(df, y, terms, predicate, constant, None, cluster, {"row": F.xxhash64(ROW)})
     k = d.k
@@ -201,6 +203,8 @@ def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1
     columns = [*d.x(), F.col("y")]
     size = k + 1
     at = np.triu_indices(size)
+    if fixed:
+        return _resampled_fit(d, _fixed_sums(d, columns, reps, seed, cluster), at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((reps, len(at[0])))
@@ -226,15 +230,35 @@ def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1
     total = np.zeros((reps, len(at[0])))
     for r in sums.collect():
         total[r["rep"], r["at"]] = r["value"]
+    return _resampled_fit(d, total, at)
+
+
+def _fixed_sums(d: Design, columns: list[Column], reps: int, seed: int, cluster: str | None) -> np.ndarray:
+    """Cross products of each replicate: rows or clusters are numbered, and their counts add up to their number."""
+    pairs = [(columns[i] * columns[j]).cast("double") for i in range(len(columns)) for j in range(i, len(columns))]
+    names = [f"c{i}" for i in range(len(pairs))]
+    if cluster:
+        units = d.rows.groupBy("g").agg(*[F.sum(p).alias(n) for p, n in zip(pairs, names, strict=True)]).withColumn("u", F.xxhash64("g"))
+        numbers = ranked(units, "u", "g")
+    else:
+        numbers = ranked(d.rows.select(F.col("row").alias("u"), *[p.alias(n) for p, n in zip(pairs, names, strict=True)]), "u", *names)
+    return drawn_sums(numbers, ROW, names, numbers.count(), reps, seed)
+
+
+def _resampled_fit(d: Design, total: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> Fit:
+    """The fit on all rows with the covariance of the fits on each replicate's cross products."""
+    reps, k = len(total), d.k
     draws = np.empty((reps, k))
     for i in range(reps):
-        m = np.zeros((size, size))
+        m = np.zeros((k + 1, k + 1))
         m[at] = total[i]
         m = m + np.triu(m, 1).T
         draws[i] = solved(m[:k, :k], d.names) @ m[:k, k]
     fit = fit_rows(d)
     fit.kind, fit.cov, fit.df = "bootstrap", np.atleast_2d(np.cov(draws.T, ddof=1)), None
     fit.info["percentiles"] = np.percentile(draws, [2.5, 97.5], axis=0)
+    if d.constant:
+        fit.info["drawn"] = total[:, 0]
     return fit
 
 
@@ -261,5 +285,29 @@ def bootstrap_fit(df: DataFrame, fit, reps: int = 50, seed: int = 1, cluster: st
     base = fit(df, cluster)
     draws = np.array([fit(resampled(df, seed, r, cluster), "__cluster" if cluster else None).beta for r in range(reps)])
     base.cov, base.df, base.kind = np.atleast_2d(np.cov(draws.T, ddof=1)), None, f"bootstrap {base.kind}"
-    base.info["percentiles"] = np.percentile(draws, [2.5, 97.5], axis=0)
+    base.info |= {"percentiles": np.percentile(draws, [2.5, 97.5], axis=0), "mean": draws.mean(axis=0), "bias": draws.mean(axis=0) - base.beta}
     return base
+
+
+def bootstrap_quantiles(df: DataFrame, y: str, *terms: str, quantiles: Sequence[float], contrast: str | None = None, reps: int = 50, seed: int = 1, cluster: str | None = None, predicate=None) -> Fit:
+    """Quantile regressions at several quantiles on the same samples, with the joint covariance of all their coefficients.
+
+    Coefficients are named q<quantile>:term, quantiles ascending. With two of them, ``contrast`` adds contrast:term, the
+    higher quantile's coefficient less the lower one's, with its covariance. Replicates run one after another, each on the whole cluster.
+    """
+    if contrast is not None and len(quantiles) != 2:
+        raise ValueError("a contrast needs two quantiles")
+    if len(set(quantiles)) != len(quantiles) or not quantiles:
+        raise ValueError("distinct quantiles are needed")
+    quantiles = sorted(quantiles)
+
+    def joint(rows: DataFrame, _: str | None) -> Fit:
+        fits = [qreg(rows, y, *terms, quantile=t, predicate=predicate) for t in quantiles]
+        names = [f"q{t:g}:{n}" for t, f in zip(quantiles, fits, strict=True) for n in f.names]
+        beta = np.concatenate([f.beta for f in fits])
+        if contrast is not None:
+            names.append(f"contrast:{contrast}")
+            beta = np.append(beta, fits[1][contrast] - fits[0][contrast])
+        return Fit("qreg", names, beta, np.zeros((len(beta), len(beta))), fits[0].n)
+
+    return bootstrap_fit(df, joint, reps, seed, cluster)

@@ -705,6 +705,12 @@ def bootstrap_quantile(spark, sf):
     return fit.table(spark)
 
 
+@query("SELECT rep, count(*) AS drawn FROM lineitem, (SELECT unnest(range(20)) AS rep) GROUP BY rep")
+def bootstrap_fixed(spark, sf):
+    fit = other.bootstrap(line(spark, sf), "y", "l_quantity", reps=20, seed=5, fixed=True)
+    return spark.createDataFrame([(i, int(n)) for i, n in enumerate(fit.info["drawn"])], "rep long, drawn long")
+
+
 # --- likelihoods with continuous regressors: the same estimates and standard errors by Newton steps in SQL ----------
 
 

@@ -76,5 +76,6 @@ def ranked(df: DataFrame, *order) -> DataFrame:
     placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranks")
     sizes = placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__least"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a range
     starts = sizes.select("__part", "__least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    return placed.join(starts, "__part").withColumn(ROW, F.col("__start") + F.col("__at") - F.col("__least")).drop("__part", "__at", "__least", "__start")
+    return placed.join(F.broadcast(starts), "__part").withColumn(ROW, F.col("__start") + F.col("__at") - F.col("__least")).drop("__part", "__at", "__least", "__start")
