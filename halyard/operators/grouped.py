@@ -8,16 +8,18 @@ before the exchange: a large group never meets one task as rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..functions.safe import number
 from ..plans.moments import Design, design, linear, partial_sums
 from .likelihood import _counts, poisson
 from .linear import Fit
+from .rows import q
 
 Effect = Callable[[np.ndarray, np.ndarray, float], np.ndarray]
 
@@ -166,34 +168,48 @@ def xtgee_poisson(df: DataFrame, y: str, *terms: str, group: str, predicate=None
         d.rows.unpersist()
 
 
-def nlogit(df: DataFrame, chosen: str, *terms: str, group: str, nest: str, predicate=None, max_steps: int = 60) -> Fit:
-    """Nested logit with one dissimilarity parameter for all nests (utilities divided by it); the last coefficient is its log.
+MAX_NESTS = 20
+
+
+def nlogit(df: DataFrame, chosen: str, *terms: str, group: str, nest: str, predicate=None, max_steps: int = 60, form: str = "common", nest_terms: Sequence[str] = (), test: bool = False) -> Fit:
+    """Nested logit in two forms; nest_terms are columns that are constant within each nest of a set.
+
+    "common": utilities are divided by one dissimilarity for all nests, whose log is the last coefficient.
+    "nonnormalized": utilities stay as they are and each nest's inclusive value has a coefficient iv_<nest> of its own
+    (at most MAX_NESTS nests). With ``test``, stats hold the likelihood ratio against inclusive values of one.
 
     Log likelihoods at all points of a difference stencil are columns of one two-level aggregation: by set and nest, then by set.
     """
-    d = design(df, chosen, terms, predicate, False, None, group, {"nest": F.xxhash64(F.col(nest)).cast("double")})
-    k = d.k
+    if form not in ("common", "nonnormalized"):
+        raise ValueError(f"no such form: {form}")
+    code = F.xxhash64(q(nest)).cast("double")
+    extra = {"nest": code, **{f"z{i}": number(q(z)) for i, z in enumerate(nest_terms)}}
+    d = design(df.where(q(nest).isNotNull()), chosen, terms, predicate, False, None, group, extra)
+    k, m = d.k, len(nest_terms)
     d.rows = d.rows.persist()
 
     def ll(points: list[np.ndarray]) -> np.ndarray:
-        first = []
+        first = [f(f"z{i}").alias(f"{n}{i}") for i in range(m) for f, n in ((F.min, "z"), (F.max, "o"))]
         for i, p in enumerate(points):
-            v = linear(d.x(), p[:k] / math.exp(p[k]))
+            v = linear(d.x(), p[:k] / scale(p))
             first += [F.sum(F.exp(v)).alias(f"a{i}"), F.sum(F.col("y") * v).alias(f"u{i}")]
         nests = d.rows.groupBy("g", "nest").agg(F.sum("y").alias("c"), *first)
+        uneven = F.max(sum((F.when(F.col(f"z{i}") != F.col(f"o{i}"), 1).otherwise(0) for i in range(m)), F.lit(0)))
         second = []
         for i, p in enumerate(points):
-            lam = math.exp(p[k])
-            second += [F.log(F.sum(F.pow(f"a{i}", F.lit(lam)))).alias(f"d{i}"), F.sum(F.col(f"u{i}") + F.col("c") * (lam - 1) * F.log(f"a{i}")).alias(f"n{i}")]
-        sets = nests.groupBy("g").agg(F.sum("c").alias("c"), *second)
-        row = sets.agg(F.count_if(F.col("c") != 1).alias("bad"), F.count("*").alias("sets"), *[F.sum(F.col(f"n{i}") - F.col(f"d{i}")).alias(f"l{i}") for i in range(len(points))]).first()
+            top = linear([F.col(f"z{j}") for j in range(m)], p[k : k + m]) + inclusive(p) * F.log(f"a{i}")
+            second += [F.log(F.sum(F.exp(top))).alias(f"d{i}"), F.sum(F.col(f"u{i}") + F.col("c") * (top - F.log(f"a{i}"))).alias(f"n{i}")]
+        sets = nests.groupBy("g").agg(F.sum("c").alias("c"), uneven.alias("uneven"), *second)
+        row = sets.agg(F.count_if(F.col("c") != 1).alias("bad"), F.max("uneven").alias("uneven"), F.count("*").alias("sets"), *[F.sum(F.col(f"n{i}") - F.col(f"d{i}")).alias(f"l{i}") for i in range(len(points))]).first()
         if row["bad"] or not row["sets"]:
             raise ValueError("each set needs one choice")
-        return np.array([row[f"l{i}"] for i in range(len(points))])
+        if row["uneven"]:
+            raise ValueError("nest terms must be constant within each nest of a set")
+        return np.array([row[f"l{i}"] for i in range(len(points))], float)
 
-    def stencil(b: np.ndarray):
-        h, n = 1e-4, k + 1
-        unit = np.eye(n) * h
+    def stencil(b: np.ndarray, n: int):
+        h = 1e-4
+        unit = np.eye(len(b)) * h
         points = [b] + [b + s * unit[i] for i in range(n) for s in (1, -1)]
         cross = [(i, j) for i in range(n) for j in range(i)]
         points += [b + s * unit[i] + t * unit[j] for i, j in cross for s in (1, -1) for t in (1, -1)]
@@ -201,16 +217,17 @@ def nlogit(df: DataFrame, chosen: str, *terms: str, group: str, nest: str, predi
         grad = (f[1 : 2 * n : 2] - f[2 : 2 * n + 1 : 2]) / (2 * h)
         hess = np.diag((f[1 : 2 * n : 2] - 2 * f[0] + f[2 : 2 * n + 1 : 2]) / h**2)
         for c, (i, j) in enumerate(cross):
-            q = f[2 * n + 1 + 4 * c : 2 * n + 5 + 4 * c]
-            hess[i, j] = hess[j, i] = (q[0] - q[1] - q[2] + q[3]) / (4 * h * h)
+            four = f[2 * n + 1 + 4 * c : 2 * n + 5 + 4 * c]
+            hess[i, j] = hess[j, i] = (four[0] - four[1] - four[2] + four[3]) / (4 * h * h)
         return f[0], grad, hess
 
-    try:
-        b = np.zeros(k + 1)
+    def climbed(b: np.ndarray, n: int):
+        """The maximum over the first n coefficients: it, its log likelihood and curvature."""
         for _ in range(max_steps):
-            value, grad, hess = stencil(b)
+            value, grad, hess = stencil(b, n)
             low = np.linalg.eigvalsh(-hess)[0]
-            step = np.linalg.solve(-hess + np.eye(k + 1) * max(0.0, 1e-3 - low), grad)
+            step = np.zeros(len(b))
+            step[:n] = np.linalg.solve(-hess + np.eye(n) * max(0.0, 1e-3 - low), grad)
             step *= min(1.0, 1.0 / np.abs(step).max()) if np.abs(step).max() > 0 else 1.0
             if np.abs(step).max() < 1e-6:
                 break
@@ -219,7 +236,50 @@ def nlogit(df: DataFrame, chosen: str, *terms: str, group: str, nest: str, predi
             if tries[best] <= value:
                 break
             b = b + step / 2**best
+        return b, float(value), hess
+
+    try:
+        if form == "common":
+            labels, codes, start = ["lntau"], [], np.zeros(k + m + 1)
+        else:
+            used = d.rows.select(F.col("nest").alias("__code")).distinct()
+            named = df.select(q(nest).cast("string").alias("label"), code.alias("__code")).distinct().join(F.broadcast(used.limit(MAX_NESTS + 1)), "__code").orderBy("label").limit(MAX_NESTS + 1).collect()
+            if len(named) > MAX_NESTS:
+                raise ValueError(f"more than {MAX_NESTS} nests")
+            labels, codes = [f"iv_{r['label']}" for r in named], [r["__code"] for r in named]
+            start = np.concatenate([np.zeros(k + m), np.ones(len(codes))])
+        scale, inclusive = _nest_scales(codes, k + m)
+        b, value, hess = climbed(start, len(start))
+        stats = {"ll": value} | ({"dissimilarity": math.exp(b[-1])} if form == "common" else {})
+        if test:
+            _, plain, _ = climbed(start, k + m)
+            stats |= {"ll_iv1": plain, "lr_iv1": 2 * (value - plain), "lr_df": len(start) - k - m}
+            stats["lr_p"] = dist.chi2_upper(max(0.0, stats["lr_iv1"]), stats["lr_df"])
         n = d.rows.count()
-        return Fit("nlogit", [*d.names, "lntau"], b, np.linalg.inv(-hess), n, None, {"ll": float(value), "dissimilarity": math.exp(b[k])}, d)
+        return Fit("nlogit", [*d.names, *nest_terms, *labels], b, np.linalg.inv(-hess), n, None, stats, d, {"codes": codes, "nest_terms": list(nest_terms)})
     finally:
         d.rows.unpersist()
+
+
+def _nest_scales(codes: list[float], before: int) -> tuple[Callable[[np.ndarray], float], Callable[[np.ndarray], Column]]:
+    """What divides utilities, and the coefficient of a nest's inclusive value, given all coefficients."""
+    if not codes:
+        return lambda p: math.exp(p[before]), lambda p: F.lit(math.exp(p[before]))
+    return lambda p: 1.0, lambda p: F.coalesce(*[F.when(F.col("nest") == c, F.lit(float(v))) for c, v in zip(codes, p[before:], strict=True)])
+
+
+def nested_probabilities(fit: Fit, df: DataFrame, group: str, nest: str, name: str) -> DataFrame:
+    """Adds a nested logit's probability within each set; a missing predictor, or a nest not in the fit, makes its whole set null."""
+    k, zs = fit.design.k, fit.info["nest_terms"]
+    scale, inclusive = _nest_scales(fit.info["codes"], k + len(zs))
+    v = linear([t.column() for t in fit.design.terms], fit.beta[:k] / scale(fit.beta))
+    z = linear([number(q(c)) for c in zs], fit.beta[k : k + len(zs)])
+    rows = df.withColumns({"__e": F.exp(v), "__z": z})
+    inside = rows.groupBy(q(group).alias("__set"), q(nest).alias("__nest")).agg(F.sum("__e").alias("__a"), F.max("__z").alias("__w"), F.count_if(F.col("__e").isNull() | F.col("__z").isNull()).alias("__gap"))
+    inside = inside.withColumn("nest", F.xxhash64("__nest").cast("double"))
+    inside = inside.withColumn("__top", F.exp(F.col("__w") + inclusive(fit.beta) * F.log("__a"))).drop("nest")
+    sets = inside.groupBy(F.col("__set").alias("__own")).agg(F.sum("__top").alias("__all"), F.sum(F.col("__gap") + F.when(F.col("__top").isNull(), 1).otherwise(0)).alias("__gaps"))
+    tops = inside.join(sets, F.col("__set").eqNullSafe(F.col("__own"))).select("__set", "__nest", "__a", "__top", "__all", "__gaps")
+    joined = rows.join(tops, q(group).eqNullSafe(F.col("__set")) & q(nest).eqNullSafe(F.col("__nest")), "left")
+    share = F.col("__e") / F.col("__a") * F.col("__top") / F.col("__all")
+    return joined.withColumn(name, F.when(F.col("__gaps") == 0, share)).drop("__e", "__z", "__set", "__nest", "__a", "__top", "__all", "__gaps")

@@ -689,6 +689,20 @@ def nested_choice(spark, sf):
     return grouped.nlogit(long, "chosen", "one", "price", group="s", nest="nest").table(spark)
 
 
+@query("""WITH long AS (SELECT o_orderkey AS s, a, ((o_custkey * (a + 3)) % 101) / 50.0 AS price FROM orders, (SELECT unnest(range(4)) AS a)),
+  best AS (SELECT s, CASE WHEN s % 10 < 7 THEN arg_min(a, price * 10 + a / 1000.0) ELSE (s // 10) % 4 END AS a FROM long GROUP BY s)
+  SELECT (a // 2)::BIGINT AS nest, round(count(*)::DOUBLE, 2) AS chosen FROM best GROUP BY 1""")
+def nested_choice_each(spark, sf):
+    """With a constant of its own, a nest's probabilities add up to its choices at the maximum."""
+    text = """WITH long AS (SELECT o_orderkey AS s, a, (o_custkey * (a + 3)) % 101 / 50D AS price FROM active LATERAL VIEW explode(array(0, 1, 2, 3)) AS a),
+      best AS (SELECT s AS s1, CASE WHEN s % 10 < 7 THEN min_by(a, price * 10 + a / 1000D) ELSE s DIV 10 % 4 END AS best FROM long GROUP BY s)
+      SELECT s, CAST(a DIV 2 AS BIGINT) AS nest, price, CAST(a DIV 2 = 1 AS DOUBLE) AS second, CAST(a = best AS DOUBLE) AS chosen FROM long JOIN best ON s = s1"""
+    long = tables.numbered(safe.sql(load(spark, sf, "orders"), text))
+    fit = grouped.nlogit(long, "chosen", "price", group="s", nest="nest", form="nonnormalized", nest_terms=["second"])
+    out = grouped.nested_probabilities(fit, long, "s", "nest", "pr")
+    return rounded(out.groupBy("nest").agg(F.sum("pr").alias("chosen")), 2)
+
+
 @query()
 def predicted_outcomes(spark, sf):
     df = load(spark, sf, "lineitem").selectExpr("greatest(l_quantity - 20 + l_discount * 50, 0.0) AS y", "l_discount * 100 AS x", "l_quantity AS t", "cast(l_linestatus = 'F' as double) AS d", "cast(l_linenumber as double) AS k", tables.ROW)

@@ -215,6 +215,41 @@ def test_nested_logit(spark):
     assert all(ll(fit["x"] + u, fit.stats["dissimilarity"] + v) <= best + 1e-6 for u in (-0.01, 0, 0.01) for v in (-0.01, 0, 0.01))
 
 
+def test_nested_logit_with_a_coefficient_for_each_nest(spark):
+    from halyard.operators import grouped
+
+    rng = np.random.default_rng(5)
+    sets, lam = 500, np.array([0.5, 0.8])
+    x, z = rng.normal(size=(sets, 4)), rng.normal(size=(sets, 2))
+
+    def shares(b, g, lam):
+        a = np.exp(x * b).reshape(sets, 2, 2)
+        top = np.exp(g * z + lam * np.log(a.sum(2)))
+        return (a / a.sum(2, keepdims=True) * (top / top.sum(1, keepdims=True))[:, :, None]).reshape(sets, 4)
+
+    pick = np.array([rng.choice(4, p=r) for r in shares(0.9, 0.4, lam)])
+    data = [(i, "ab"[j // 2], float(pick[i] == j), float(x[i, j]), float(z[i, j // 2])) for i in range(sets) for j in range(4)]
+    df = tables.numbered(spark.createDataFrame(data, "s int, side string, chosen double, x double, z double"))
+    fit = grouped.nlogit(df, "chosen", "x", group="s", nest="side", form="nonnormalized", nest_terms=["z"], test=True)
+    assert fit.names == ["x", "z", "iv_a", "iv_b"]
+
+    def ll(p):
+        return float(np.log(shares(p[0], p[1], p[2:])[np.arange(sets), pick]).sum())
+
+    best = ll(fit.beta)
+    assert fit.stats["ll"] == pytest.approx(best, abs=1e-6)
+    assert all(ll(fit.beta + s * u) <= best + 1e-6 for u in np.eye(4) for s in (-0.01, 0.01))
+    assert fit.stats["lr_df"] == 2 and fit.stats["lr_iv1"] >= 0
+    assert fit.stats["ll_iv1"] >= ll(np.array([0.9, 0.4, 1, 1]))
+    out = grouped.nested_probabilities(fit, df, "s", "side", "pr").orderBy(tables.ROW).toPandas()
+    assert np.allclose(out["pr"].to_numpy().reshape(sets, 4), shares(fit.beta[0], fit.beta[1], fit.beta[2:]))
+    gap = df.withColumn("x", F.when((F.col("s") == 3) & (F.col("side") == "a"), None).otherwise(F.col("x")))
+    assert grouped.nested_probabilities(fit, gap, "s", "side", "pr").where("pr is null").select("s").distinct().collect() == [(3,)]
+    uneven = df.withColumn("z", F.col("z") + F.col("x"))
+    with pytest.raises(ValueError, match="constant within"):
+        grouped.nlogit(uneven, "chosen", "x", group="s", nest="side", form="nonnormalized", nest_terms=["z"])
+
+
 def test_t_functions_of_arrays():
     rng = np.random.default_rng(8)
     t, df = rng.normal(size=300) * 10.0 ** rng.integers(-2, 3, 300), np.r_[rng.integers(1, 60, 250), rng.uniform(1, 1e5, 50)].astype(float)
