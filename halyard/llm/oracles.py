@@ -19,4 +19,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(8 + 8 + 8 + length(er) + length(et))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_hard_negatives": """
+WITH w AS (SELECT vec_id, label, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))), false)),
+v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM w),
+p AS (SELECT a.vec_id AS anchor_id, a.q, a.label, b.vec_id AS positive_id, list_dot_product(a.q, b.q)::BIGINT AS positive_score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY positive_score DESC, positive_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, b.vec_id AS negative_id, list_dot_product(t.q, b.q)::BIGINT AS negative_score FROM t JOIN v b ON b.label <> t.label)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id)::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM n WHERE 80 * positive_score <= 100 * negative_score AND negative_score <= positive_score
+QUALIFY rank <= 5""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_forest, licenses, line_join, mixing, pii, repetition, substring_rlz, token_store, warc
+from . import chat, decontaminate, hard_negatives, jaccard_forest, licenses, line_join, mixing, pii, repetition, substring_rlz, token_store, warc
 from ._store import text_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -74,12 +74,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.through_format(chat.threads(rows.unionByName(extra))).drop("branch")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.quantised(_table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pii_digests(pii.find_pii(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_decontamination, op4_line_dedup, op5_token_output, op6_jaccard_join, op7_license_scan, op8_mixing, op9_repetition, op10_chat_format, op13_pii)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_decontamination, op4_line_dedup, op5_token_output, op6_jaccard_join, op7_license_scan, op8_mixing, op9_repetition, op10_chat_format, op12_hard_negatives, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
