@@ -28,4 +28,18 @@ n AS (SELECT anchor_id, positive_id, positive_score, b.vec_id AS negative_id, li
 SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id)::INTEGER AS rank, negative_id, positive_score, negative_score
 FROM n WHERE 80 * positive_score <= 100 * negative_score AND negative_score <= positive_score
 QUALIFY rank <= 5""",
+    "op11_prefix_trie": """
+WITH u AS (SELECT conv_id AS c, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tid, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, tid) AS pos FROM u),
+s AS (SELECT c, list({'tid': tid, 'size': size} ORDER BY pos) AS ids,
+  xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda acc, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(acc, x)), 4294967295::BIGINT), 4294967295) % 9 AS h FROM t GROUP BY c),
+r AS (SELECT s.c, coalesce(b.ids[1:s.h], []) || s.ids[s.h + 1:] AS ids FROM s LEFT JOIN s b ON b.c = s.c - s.c % 5),
+n AS (SELECT ids[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN (count(*) - 1) * any_value(ids[d].size) ELSE 0 END AS gain, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ids) = d), '')) AS ends_sha256
+  FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM r) GROUP BY ids[1:d], d),
+e AS (SELECT n.*, p.conv_id AS parent_conv_id FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]),
+c AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT e.*, coalesce(n_children, 0) AS n_children FROM e LEFT JOIN c USING (k, d)),
+g AS (SELECT k[1:a] AS k, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(gain)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1, 2)
+SELECT conv_id, f.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM f JOIN g USING (k, d)""",
 }

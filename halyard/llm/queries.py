@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hard_negatives, jaccard_forest, licenses, line_join, mixing, pii, repetition, substring_rlz, token_store, warc
-from ._store import text_batches
+from . import burst_trie, chat, decontaminate, hard_negatives, jaccard_forest, licenses, line_join, mixing, pii, repetition, substring_rlz, token_store, warc
+from ._store import dropped, stored, text_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -74,6 +74,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.through_format(chat.threads(rows.unionByName(extra))).drop("branch")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(burst_trie.numbered_turns(_table(spark, sf_dir, "conversations")), "trie-turns")
+    nodes = burst_trie.prefix_trie(burst_trie.rebuilt(turns))
+    dropped(turns)
+    return nodes
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hard_negatives.quantised(_table(spark, sf_dir, "embeddings"))
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -85,7 +92,7 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(pii.find_pii(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_decontamination, op4_line_dedup, op5_token_output, op6_jaccard_join, op7_license_scan, op8_mixing, op9_repetition, op10_chat_format, op12_hard_negatives, op13_pii)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_decontamination, op4_line_dedup, op5_token_output, op6_jaccard_join, op7_license_scan, op8_mixing, op9_repetition, op10_chat_format, op11_prefix_trie, op12_hard_negatives, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
