@@ -28,6 +28,8 @@ TAIL = 96
 MAX_BROADCAST = 10_000
 #: Copies of one row that one task makes at most.
 BLOCK_COPIES = 1000
+#: Columns of replicate's own, in lower case; an input column of such a name is replaced.
+DEFINED = {"copy", "n_copies", "shuffle_key"}
 
 
 def uniform(*parts: Column) -> Column:

@@ -99,7 +99,9 @@ def _long(value: bytes | None) -> int | None:
 
 
 def _page(urn: bytes | None) -> int | None:
-    return _long(urn[10:-1]) if urn and urn.startswith(b"<urn:page:") else None
+    """The page id of a record's name, any 64-bit number."""
+    m = re.fullmatch(rb"<urn:page:(-?\d{1,19})>", urn or b"")
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
 
 
 def _parsed(fields: dict[bytes, bytes], block: bytes) -> dict:
