@@ -8,6 +8,7 @@ empty table passes all stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from halyard.llm import decontaminate, jaccard_forest, mixing, repetition, token_store
 from halyard.llm._store import new_path, text_batches
@@ -37,7 +38,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, each as often as its source's rate draws it, in a global random order."""
-    return mixing.replicate(docs, temper=TEMPER).select(*docs.columns)
+    # columns that replicate defines itself step aside, so that the caller's own keep their values
+    aside = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in mixing.DEFINED}
+    return mixing.replicate(docs.withColumnsRenamed(aside), temper=TEMPER).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
