@@ -914,3 +914,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.collapse(df, "mean", ["net", "l_quantity"], ["l_returnflag", "l_linestatus"]).drop(tables.ROW)
 
 
+from . import more_queries  # noqa: E402, F401  registers its queries here
