@@ -6,6 +6,8 @@ place by place, as joins, appended and reshaped tables have it.  So these need n
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +21,42 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+#: Rows of one file that the order has room for; files get the bits above.
+FILE_BITS = 40
+
+
+def _with_file_number(df: DataFrame) -> DataFrame:
+    """Adds __file: the number of the row's file in ascending order of paths, however Spark splits and packs the files."""
+    # local paths are told with one slash or three
+    paths = sorted(re.sub("^(\\w+):///", r"\1:/", p) for p in df.inputFiles())
+    named = df.withColumn("__named", F.regexp_replace("_metadata.file_path", "^(\\w+):///", "$1:/"))
+    if any("%" in p for p in paths):
+        # escaped names: take them as the rows tell them
+        paths = sorted(r[0] for r in named.select("__named").distinct().collect())
+    # a row a file, all of which the driver has listed
+    numbers = F.broadcast(df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "__path string, __file long"))
+    known = F.coalesce("__file", F.raise_error(F.concat(F.lit("a file that was not listed: "), "__named")).cast("long"))
+    return named.join(numbers, named["__named"] == numbers["__path"], "left").withColumn("__file", known).drop("__named", "__path")
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A file or folder; rows keep the order of their files and of the rows in them."""
+    """A file or folder; rows keep the order of their files, by path, and of the rows in them, whatever the splits."""
     df = spark.read.parquet(path)
-    several = len(df.inputFiles()) > 1
-    return numbered(df) if several else df.withColumn(ROW, F.col("_metadata.row_index"))
+    if len(df.inputFiles()) <= 1:
+        return df.withColumn(ROW, F.col("_metadata.row_index"))
+    placed = _with_file_number(df.withColumn("__at", F.col("_metadata.row_index")))
+    return placed.withColumn(ROW, F.shiftleft("__file", FILE_BITS) + F.col("__at")).drop("__file", "__at")
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True) -> DataFrame:
-    """Types are inferred, integers as bigint; empty fields are null."""
+    """Types are inferred, integers as bigint; empty fields are null. The order is file, block of the file, row."""
     df = spark.read.csv(path, sep=delimiter, header=header, inferSchema=True, enforceSchema=False)
     wide = {c: F.col(f"`{c}`").cast("bigint") for c, t in df.dtypes if t == "int"}
-    return numbered(df.withColumns(wide) if wide else df)
+    if len(df.inputFiles()) <= 1:
+        return numbered(df.withColumns(wide) if wide else df)
+    # ids ascend within a block, which one task reads; blocks and files have places of their own
+    placed = _with_file_number(df.withColumns({**wide, "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()}))
+    return placed.withColumn(ROW, F.array("__file", "__block", "__at")).drop("__file", "__block", "__at")
 
 
 def use(spark: SparkSession, path: str, **options) -> DataFrame:
