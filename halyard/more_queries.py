@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import penalised
+from .functions import safe
+from .operators import dynamic, penalised
 from .queries import coefficients, load, query, rounded
+from .sources import tables
 
 _MADE = "SELECT (3 + 2 * l_quantity + l_tax * 100 + (l_partkey % 7))::DOUBLE AS y, l_quantity::DOUBLE AS q, l_tax::DOUBLE * 100 AS t, (l_partkey % 7)::DOUBLE AS p, (l_orderkey % 4)::DOUBLE AS f FROM lineitem"
 
@@ -85,3 +87,26 @@ r AS (SELECT d.y - cy - sy * q AS u, d.t - ct - st * q AS v FROM d JOIN tr USING
 SELECT 't' AS term, round(any_value(theta), 6) AS estimate, round(sqrt(sum((v * (u - theta * v)) ** 2)) / any_value(vv), 6) AS se FROM r, s""")
 def dml_fit(spark, sf):
     return coefficients(spark, penalised.dml(_made(spark, sf), "y", "t", "q", fold="f", alpha=0.0).fit)
+
+
+# --- dynamic panels -----------------------------------------------------
+
+_QUARTERS = "SELECT l_suppkey AS u, (year(l_shipdate) - 1992) * 4 + quarter(l_shipdate) AS t, CAST(sum(l_quantity) AS DOUBLE) AS y, CAST(avg(l_tax) AS DOUBLE) * 1000 AS x FROM {0} GROUP BY 1, 2"
+
+
+def _quarters(spark, sf):
+    return tables.numbered(safe.sql(load(spark, sf, "lineitem"), _QUARTERS.format("active")))
+
+
+@query(f"""WITH p AS ({_QUARTERS.format("lineitem")}), e AS (SELECT a.u, a.y - b.y AS dy, b.y - c.y AS dl, c.y AS z FROM p a JOIN p b ON b.u = a.u AND b.t = a.t - 1 JOIN p c ON c.u = a.u AND c.t = a.t - 2),
+b AS (SELECT sum(z * dy) / sum(z * dl) AS rho, sum(z * dl) AS zx FROM e), g AS (SELECT u, sum(z * (dy - rho * dl)) AS s, any_value(rho) AS rho, any_value(zx) AS zx FROM e, b GROUP BY u)
+SELECT 'L1.y' AS term, round(any_value(rho), 5) AS estimate, round(sqrt(sum(s * s)) / abs(any_value(zx)), 5) AS se FROM g""")
+def xtabond_one_lag(spark, sf):
+    """One instrument, the level two periods before, for one lag."""
+    return coefficients(spark, dynamic.xtabond(_quarters(spark, sf), "y", unit="u", time="t", last=2, collapse=True), 5)
+
+
+@query()
+def xtabond_fit(spark, sf):
+    """All levels of two to four periods before, for each period apart, in two steps."""
+    return coefficients(spark, dynamic.xtabond(_quarters(spark, sf), "y", "x", unit="u", time="t", last=4, twostep=True), 5)
