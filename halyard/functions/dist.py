@@ -43,6 +43,11 @@ def lgamma(x):
     return _lgamma(np.asarray(x, float)).astype(float)
 
 
+def digamma_far(x):
+    """The digamma function's asymptotic series, for arguments of a thousand and more."""
+    return np.log(x) - 0.5 / x - 1 / (12 * x * x) + 1 / (120 * x**4)
+
+
 def normal_quantile(p: float) -> float:
     """By bisection and Newton steps on the CDF."""
     if not 0 < p < 1:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import dynamic, penalised
-from .queries import coefficients, load, query, rounded
+from .operators import dynamic, penalised, two_part
+from .queries import _newton, _rowwise, coefficients, load, query, rounded
 from .sources import tables
 
 _MADE = "SELECT (3 + 2 * l_quantity + l_tax * 100 + (l_partkey % 7))::DOUBLE AS y, l_quantity::DOUBLE AS q, l_tax::DOUBLE * 100 AS t, (l_partkey % 7)::DOUBLE AS p, (l_orderkey % 4)::DOUBLE AS f FROM lineitem"
@@ -110,3 +110,34 @@ def xtabond_one_lag(spark, sf):
 def xtabond_fit(spark, sf):
     """All levels of two to four periods before, for each period apart, in two steps."""
     return coefficients(spark, dynamic.xtabond(_quarters(spark, sf), "y", "x", unit="u", time="t", last=4, twostep=True), 5)
+
+
+# --- two equations ------------------------------------------------------
+
+_BACK = "SELECT l_orderkey AS k, CAST(sum(CASE WHEN l_returnflag <> 'N' AND l_orderkey % 5 < 3 THEN 1 ELSE 0 END) AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) / 4 AS x, CAST(max(l_quantity) AS DOUBLE) / 50 AS z FROM {0} GROUP BY 1"
+_OF_COUNT = "CASE WHEN y = 0 THEN (1 - p1) * exp(-mu) / (p1 + (1 - p1) * exp(-mu)) ELSE 1 END AS a"
+
+
+def _back(spark, sf):
+    return tables.numbered(safe.sql(load(spark, sf, "lineitem"), _BACK.format("active")))
+
+
+@query(_newton(_rowwise(f"SELECT y, x, count(*) AS w FROM ({_BACK.format('lineitem')}) GROUP BY 1, 2", ["y - a * mu", "(y - a * mu) * x", "1 - a - p1"],
+    {(0, 0): "a * mu - mu * mu * a * (1 - a)", (0, 1): "(a * mu - mu * mu * a * (1 - a)) * x", (1, 1): "(a * mu - mu * mu * a * (1 - a)) * x * x", (0, 2): "-mu * a * (1 - a)", (1, 2): "-mu * a * (1 - a) * x", (2, 2): "p1 * (1 - p1) - a * (1 - a)"},
+    "exp(b0 + b1 * x) AS mu, 1 / (1 + exp(-b2)) AS p1", _OF_COUNT), ["_cons", "x", "inflate:_cons"], [0.5, 0, 0], 20))
+def zip_fit(spark, sf):
+    return coefficients(spark, two_part.zip_(_back(spark, sf), "y", "x"), 4)
+
+
+@query()
+def zinb_inflate(spark, sf):
+    """NB2 with the odds of a certain zero by the order's largest quantity."""
+    lines = load(spark, sf, "lineitem").selectExpr("cast(l_linenumber - 1 + (l_partkey % 3) * (l_linenumber % 2) as double) * (l_returnflag <> 'N')::int AS y", "cast(l_quantity as double) / 50 AS x", "cast(l_tax as double) * 10 AS z", tables.ROW)
+    return coefficients(spark, two_part.zinb(lines, "y", "x", inflate=["z"]), 4)
+
+
+@query()
+def heckman_joint(spark, sf):
+    """Selection and outcome in one likelihood: the price of lines that came back."""
+    lines = load(spark, sf, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN cast(l_extendedprice as double) / 10000 + (l_partkey % 11) / 10.0 END AS y", "cast(l_quantity as double) / 10 AS x", "cast(l_discount as double) * 10 + (l_suppkey % 7) / 7.0 AS z", "(l_returnflag = 'R')::int AS s", tables.ROW)
+    return coefficients(spark, two_part.heckman_ml(lines, "y", "x", selected="s", select=["z", "x"]), 4)

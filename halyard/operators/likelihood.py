@@ -19,6 +19,7 @@ from .rows import need, q
 #: (parameters, X, y, extra) to log likelihoods and scores of the rows.
 RowModel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 MAX_STEPS, TOLERANCE = 100, 1e-9
+TABLED = 4096
 
 
 def logit_rows(b, x, y, extra):
@@ -42,9 +43,14 @@ def negative_binomial_rows(b, x, y, extra):
     """NB2; the last parameter is the log of alpha."""
     r = math.exp(-b[-1])
     mu = np.exp(x @ b[:-1])
-    steps = r + np.arange(int(y.max(initial=0)) + 1)
-    n = y.astype(int)
+    # sums of log(r + j) and of 1 / (r + j) below y: a table up to TABLED, differences of lgamma and digamma beyond
+    steps = r + np.arange(min(int(y.max(initial=0)), TABLED) + 1)
+    n = np.minimum(y, TABLED).astype(int)
     logs, inverse = np.r_[0.0, np.cumsum(np.log(steps))][n], np.r_[0.0, np.cumsum(1 / steps)][n]
+    far = y > TABLED
+    if far.any():
+        logs[far] += dist.lgamma(r + y[far]) - dist.lgamma(np.array([r + TABLED]))
+        inverse[far] += dist.digamma_far(r + y[far]) - dist.digamma_far(r + TABLED)
     ll = logs - dist.lgamma(y + 1) + r * np.log(r / (r + mu)) + y * np.log(mu / (r + mu))
     by_r = inverse + np.log(r / (r + mu)) + 1 - (r + y) / (r + mu)
     return ll, np.column_stack([((y - mu) * r / (r + mu))[:, None] * x, -r * by_r])
