@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import dynamic, penalised, two_part
+from .operators import dynamic, effects, penalised, two_part
 from .queries import _newton, _rowwise, coefficients, load, query, rounded
 from .sources import tables
 
@@ -91,7 +91,7 @@ def dml_fit(spark, sf):
 
 # --- dynamic panels -----------------------------------------------------
 
-_QUARTERS = "SELECT l_suppkey AS u, (year(l_shipdate) - 1992) * 4 + quarter(l_shipdate) AS t, CAST(sum(l_quantity) AS DOUBLE) AS y, CAST(avg(l_tax) AS DOUBLE) * 1000 AS x FROM {0} GROUP BY 1, 2"
+_QUARTERS = "SELECT l_suppkey AS u, (year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) AS t, CAST(sum(l_quantity) AS DOUBLE) AS y, CAST(avg(l_tax) AS DOUBLE) * 1000 AS x FROM {0} GROUP BY 1, 2"
 
 
 def _quarters(spark, sf):
@@ -141,3 +141,50 @@ def heckman_joint(spark, sf):
     """Selection and outcome in one likelihood: the price of lines that came back."""
     lines = load(spark, sf, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN cast(l_extendedprice as double) / 10000 + (l_partkey % 11) / 10.0 END AS y", "cast(l_quantity as double) / 10 AS x", "cast(l_discount as double) * 10 + (l_suppkey % 7) / 7.0 AS z", "(l_returnflag = 'R')::int AS s", tables.ROW)
     return coefficients(spark, two_part.heckman_ml(lines, "y", "x", selected="s", select=["z", "x"]), 4)
+
+
+# --- effects ------------------------------------------------------------
+
+_CELLS = "SELECT CAST(l_extendedprice AS DOUBLE) / 1000 + CASE WHEN l_suppkey % 2 = 1 AND year(l_shipdate) >= 1998 THEN 2 ELSE 0 END AS y, CAST(l_quantity AS DOUBLE) / 10 AS x, l_suppkey % 2 AS d, CASE WHEN year(l_shipdate) >= 1998 THEN 1 ELSE 0 END AS t, l_suppkey AS g FROM {0}"
+
+
+def _cells(spark, sf):
+    return tables.numbered(safe.sql(load(spark, sf, "lineitem"), _CELLS.format("active")))
+
+
+def _att(spark, fits: dict):
+    return rounded(spark.createDataFrame([(m, float(f.beta[0]), float(f.se[0])) for m, f in fits.items()], "method string, estimate double, se double"), 5)
+
+
+@query(f"""WITH c AS (SELECT d, t, avg(y) AS m, var_pop(y) / count(*) AS v FROM ({_CELLS.format("lineitem")}) GROUP BY d, t), e AS (SELECT sum(m * (2 * d - 1) * (2 * t - 1)) AS b, sqrt(sum(v)) AS se FROM c)
+SELECT unnest(['or', 'ipw', 'aipw']) AS method, round(b, 5) AS estimate, round(se, 5) AS se FROM e""")
+def drdid_cells(spark, sf):
+    """Without covariates all methods are differences of the four groups' means."""
+    return _att(spark, {m: effects.drdid(_cells(spark, sf), "y", treatment="d", post="t", method=m) for m in effects.METHODS})
+
+
+@query(f"""WITH s AS ({_CELLS.format("lineitem")}), b AS (SELECT t, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s WHERE d = 0 GROUP BY t),
+w AS (SELECT any_value(b) FILTER (t = 1) AS b1, any_value(a) FILTER (t = 1) AS a1, any_value(b) FILTER (t = 0) AS b0, any_value(a) FILTER (t = 0) AS a0 FROM b)
+SELECT 'or' AS method, round(avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0) - avg(a1 + b1 * x - a0 - b0 * x), 5) AS estimate FROM s, w WHERE d = 1""")
+def drdid_regression(spark, sf):
+    return _att(spark, {"or": effects.drdid(_cells(spark, sf), "y", "x", treatment="d", post="t", method="or", cluster="g")}).drop("se")
+
+
+@query(f"""WITH c AS (SELECT d, t, avg(y) AS m, var_pop(y) / count(*) AS v, count(*) AS n FROM ({_CELLS.format("lineitem")}) GROUP BY d, t)
+SELECT 'did' AS method, round(sum(m * (2 * d - 1) * (2 * t - 1)), 5) AS estimate, round(sqrt(sum(v) * sum(n) / (sum(n) - 4)), 5) AS se FROM c""")
+def did_cells(spark, sf):
+    fit = effects.did(_cells(spark, sf), "y", treatment="d", post="t")
+    at = fit.names.index("did")
+    return rounded(spark.createDataFrame([("did", float(fit.beta[at]), float(fit.se[at]))], "method string, estimate double, se double"), 5)
+
+
+_SETS = """(SELECT g, sx, list_sum(list_transform(range(n), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN xs[i + 1] ELSE 0 END)) AS v
+  FROM (SELECT *, unnest(range(0, 1 << n)) AS mask FROM (SELECT l_orderkey AS g, list(CAST(l_quantity AS DOUBLE) / 10) AS xs, sum((l_returnflag <> 'N')::INT) AS s, sum((l_returnflag <> 'N')::INT * CAST(l_quantity AS DOUBLE) / 10) AS sx, count(*) AS n FROM lineitem GROUP BY 1))
+  WHERE s > 0 AND s < n AND bit_count(mask) = s)"""
+
+
+@query(_newton(f"""SELECT step, b0, sum(sx - ev) AS g0, sum(vv - ev * ev) AS h00 FROM (SELECT step, b0, g, any_value(sx) AS sx, sum(exp(b0 * v) * v) / sum(exp(b0 * v)) AS ev, sum(exp(b0 * v) * v * v) / sum(exp(b0 * v)) AS vv FROM {{s}} AS p, {_SETS} AS m GROUP BY step, b0, g) GROUP BY step, b0""", ["x"], [0], 8, 5))
+def xtlogit_fe_fit(spark, sf):
+    """Every way to place the lines that came back within their order, told by masks in SQL."""
+    lines = load(spark, sf, "lineitem").selectExpr("(l_returnflag <> 'N')::int AS y", "cast(l_quantity as double) / 10 AS x", "l_orderkey AS g", tables.ROW)
+    return coefficients(spark, effects.xtlogit_fe(lines, "y", "x", group="g"), 5)
