@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import dynamic, effects, penalised, two_part
+from .operators import dynamic, effects, penalised, time_joins, two_part
 from .queries import _newton, _rowwise, coefficients, load, query, rounded
 from .sources import tables
 
@@ -188,3 +188,33 @@ def xtlogit_fe_fit(spark, sf):
     """Every way to place the lines that came back within their order, told by masks in SQL."""
     lines = load(spark, sf, "lineitem").selectExpr("(l_returnflag <> 'N')::int AS y", "cast(l_quantity as double) / 10 AS x", "l_orderkey AS g", tables.ROW)
     return coefficients(spark, effects.xtlogit_fe(lines, "y", "x", group="g"), 5)
+
+
+# --- joins by time ------------------------------------------------------
+
+@query("""WITH l AS (SELECT l_suppkey % 10 AS k, l_shipdate AS at, l_orderkey AS line, l_linenumber AS part, l_partkey AS item FROM lineitem),
+r AS (SELECT o_custkey % 10 AS k, o_orderdate AS at, max(o_orderkey) AS id FROM orders GROUP BY 1, 2)
+SELECT l.k, l.at, l.line, l.part, l.item, r.id, r.at AS at_right FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.at >= r.at""")
+def asof_backward(spark, sf):
+    """Each line with the last order of its group of customers on or before its day."""
+    lines = load(spark, sf, "lineitem").selectExpr("l_suppkey % 10 AS k", "l_shipdate AS at", "l_orderkey AS line", "l_linenumber AS part", "l_partkey AS item", tables.ROW)
+    orders = load(spark, sf, "orders").selectExpr("o_custkey % 10 AS k", "o_orderdate AS at", "o_orderkey AS id").groupBy("k", "at").agg(F.max("id").alias("id"))
+    return time_joins.asof_join(lines, orders, "at", by=["k"]).drop(tables.ROW)
+
+
+@query("""WITH l AS (SELECT event_id, user_id, ts, value FROM events), r AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type = 'error')
+SELECT l.event_id, l.user_id, l.ts, l.value, r.id, r.ts AS ts_right FROM l ASOF JOIN r ON l.user_id = r.user_id AND l.ts < r.ts""")
+def asof_next_error(spark, sf):
+    """Each event with its user's next error, if there is one."""
+    events = load(spark, sf, "events").select("event_id", "user_id", "ts", "value", tables.ROW)
+    errors = load(spark, sf, "events").where("event_type = 'error'").selectExpr("event_id AS id", "user_id", "ts", tables.ROW)
+    return time_joins.asof_join(events, errors, "ts", by=["user_id"], direction="forward", strict=True, how="inner").drop(tables.ROW)
+
+
+@query("""WITH p AS (SELECT event_id, user_id, ts FROM events), i AS (SELECT event_id AS id, user_id, ts AS start, ts + to_seconds(((event_id % 5) * (event_id % 5) * (event_id % 5) * 3600 + 60)::BIGINT) AS finish FROM events WHERE event_type = 'purchase')
+SELECT p.event_id, p.user_id, p.ts, i.id, i.start, i.finish FROM p JOIN i ON p.user_id = i.user_id AND p.ts >= i.start AND p.ts < i.finish""")
+def interval_sessions(spark, sf):
+    """Events within a minute to two and a half days after a purchase of their user."""
+    events = load(spark, sf, "events")
+    spans = events.where("event_type = 'purchase'").selectExpr("event_id AS id", "user_id", "ts AS start", "ts + make_interval(0, 0, 0, 0, 0, 0, (event_id % 5) * (event_id % 5) * (event_id % 5) * 3600 + 60) AS finish")
+    return time_joins.interval_join(events.select("event_id", "user_id", "ts"), spans, "ts", "start", "finish", by=["user_id"])
