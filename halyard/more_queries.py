@@ -138,9 +138,11 @@ def zinb_inflate(spark, sf):
 
 @query()
 def heckman_joint(spark, sf):
-    """Selection and outcome in one likelihood: the price of lines that came back."""
-    lines = load(spark, sf, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN cast(l_extendedprice as double) / 10000 + (l_partkey % 11) / 10.0 END AS y", "cast(l_quantity as double) / 10 AS x", "cast(l_discount as double) * 10 + (l_suppkey % 7) / 7.0 AS z", "(l_returnflag = 'R')::int AS s", tables.ROW)
-    return coefficients(spark, two_part.heckman_ml(lines, "y", "x", selected="s", select=["z", "x"]), 4)
+    """Selection and outcome in one likelihood: a price that is seen where the discount and an unseen part of it are high."""
+    seen = "l_discount * 10 + (l_partkey % 101) / 50.0 > 1.3"
+    price = "cast(l_extendedprice as double) / 20000 + (l_partkey % 101) / 50.0"
+    lines = load(spark, sf, "lineitem").selectExpr(f"CASE WHEN {seen} THEN {price} END AS y", "cast(l_quantity as double) / 10 AS x", "cast(l_discount as double) * 10 AS z", f"({seen})::int AS s", tables.ROW)
+    return coefficients(spark, two_part.heckman_ml(lines, "y", "x", selected="s", select=["z"]), 4)
 
 
 # --- effects ------------------------------------------------------------

@@ -23,6 +23,8 @@ from .rows import names_of, q
 
 #: Rows of a group whose successes are placed in all ways; more are an error.
 MAX_GROUP = 10_000
+#: Numbers of one array while groups are worked on together.
+TOGETHER = 200_000
 METHODS = ("or", "ipw", "aipw")
 
 
@@ -115,31 +117,47 @@ def drdid(df: DataFrame, y: str, *covariates: str, treatment: str, post: str, me
         d.rows.unpersist()
 
 
-def placed(w: np.ndarray, x: np.ndarray, s: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Of all choices of s rows, each weighing the product of its w: log of the total weight, mean and second moment of the chosen rows' sum of x.
+def placed(w: np.ndarray, x: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For groups of equally many rows (groups by rows, by columns for x): of all choices of s rows, each weighing the product of
+    its w, the log of the total weight, and mean and second moment of the chosen rows' sum of x.
 
     Weights are scaled so that choices of s rows weigh most, and the sums once more where they grow.
     """
-    n, k = x.shape
-    low, high = -60.0, 60.0
+    count, n, k = x.shape
     logs = np.log(w)
-    for _ in range(80):
+    low, high = np.full(count, -60.0), np.full(count, 60.0)
+    for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if (1 / (1 + np.exp(-np.clip(logs + middle, -500, 500)))).sum() < s else (low, middle)
+        few = (1 / (1 + np.exp(-np.clip(logs + middle[:, None], -500, 500)))).sum(1) < s
+        low, high = np.where(few, middle, low), np.where(few, high, middle)
     shift = (low + high) / 2
-    w = np.exp(logs + shift)
-    total, first, second, scale = np.zeros(s + 1), np.zeros((s + 1, k)), np.zeros((s + 1, k, k)), 0.0
-    total[0] = 1.0
+    w = np.exp(logs + shift[:, None])
+    total, first, second, scale = np.zeros((count, s + 1)), np.zeros((count, s + 1, k)), np.zeros((count, s + 1, k, k)), np.zeros(count)
+    total[:, 0] = 1.0
     for i in range(n):
-        a, outer = x[i], np.outer(x[i], x[i])
-        cross = a[None, :, None] * first[:-1, None, :]
-        second[1:] += w[i] * (second[:-1] + cross + cross.transpose(0, 2, 1) + outer * total[:-1, None, None])
-        first[1:] += w[i] * (first[:-1] + a * total[:-1, None])
-        total[1:] += w[i] * total[:-1]
-        top = total.max()
-        if top > 1e100:
-            total, first, second, scale = total / top, first / top, second / top, scale + math.log(top)
-    return math.log(total[s]) + scale - s * shift, first[s] / total[s], second[s] / total[s]
+        a, wi = x[:, i], w[:, i]
+        outer = a[:, :, None] * a[:, None, :]
+        cross = a[:, None, :, None] * first[:, :-1, None, :]
+        second[:, 1:] += wi[:, None, None, None] * (second[:, :-1] + cross + cross.swapaxes(2, 3) + outer[:, None] * total[:, :-1, None, None])
+        first[:, 1:] += wi[:, None, None] * (first[:, :-1] + a[:, None] * total[:, :-1, None])
+        total[:, 1:] += wi[:, None] * total[:, :-1]
+        top = total.max(1)
+        if (top > 1e100).any():
+            total, first, second, scale = total / top[:, None], first / top[:, None, None], second / top[:, None, None, None], scale + np.log(top)
+    return np.log(total[:, s]) + scale - s * shift, first[:, s] / total[:, s, None], second[:, s] / total[:, s, None, None]
+
+
+def _alike(x: np.ndarray, chosen: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums over groups of equally many rows and successes."""
+    s, n = int(chosen[0].sum()), chosen.shape[1]
+    # the rarer outcome is placed
+    sign, s, picked = (1.0, s, chosen) if 2 * s <= n else (-1.0, n - s, ~chosen)
+    eta = x @ b
+    middle = eta.mean(1)
+    size, first, second = placed(np.exp(sign * (eta - middle[:, None])), sign * x, s)
+    sums = sign * (x * picked[:, :, None]).sum(1)
+    ll = sums @ b - (size + s * sign * middle)
+    return np.concatenate([[ll.sum()], (sums - first).sum(0), (second - first[:, :, None] * first[:, None, :]).sum(0).ravel()])
 
 
 def _conditional(groups: DataFrame, b: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -153,19 +171,15 @@ def _conditional(groups: DataFrame, b: np.ndarray, mean: np.ndarray) -> np.ndarr
             edge, rows = np.asarray(lists.offsets), lists.values
             y = np.asarray(rows.field(0), float)
             x = np.column_stack([np.asarray(rows.field(i + 1), float) for i in range(k)]) - mean
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                own, chosen = x[lo:hi], y[lo:hi] == 1
-                s, n = int(chosen.sum()), hi - lo
-                eta = own @ b
-                # the rarer outcome is placed
-                sign = 1.0 if 2 * s <= n else -1.0
-                at = s if sign > 0 else n - s
-                size, first, second = placed(np.exp(sign * (eta - eta.mean())), sign * own, at)
-                picked = own[chosen if sign > 0 else ~chosen].sum(0) * sign
-                score = picked - first
-                total[0] += picked @ b - (size + at * sign * eta.mean())
-                total[1 : 1 + k] += score
-                total[1 + k :] += (second - np.outer(first, first)).ravel()
+            sizes = np.diff(edge)
+            successes = np.diff(np.concatenate([[0.0], np.cumsum(y)])[edge - edge[0]]).astype(int)
+            # groups of equally many rows and successes go together, a bounded number at a time
+            for n, s in sorted(set(zip(sizes.tolist(), successes.tolist(), strict=True))):
+                alike = np.flatnonzero((sizes == n) & (successes == s))
+                step = max(1, TOGETHER // (n * k * k))
+                for at in range(0, len(alike), step):
+                    rows_at = edge[alike[at : at + step]][:, None] + np.arange(n)
+                    total += _alike(x[rows_at], y[rows_at] == 1, b)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "value"])
 
     out = groups.select("rows").mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()

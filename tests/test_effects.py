@@ -69,11 +69,11 @@ def test_placing():
         sets = list(itertools.combinations(range(9), s))
         weight = np.array([np.prod(w[list(c)]) for c in sets])
         sums = np.array([x[list(c)].sum(0) for c in sets])
-        size, first, second = effects.placed(w, x, s)
+        size, first, second = (v[1] for v in effects.placed(np.stack([w[::-1], w]), np.stack([x, x]), s))
         assert np.isclose(size, np.log(weight.sum())) and np.allclose(first, weight @ sums / weight.sum())
         assert np.allclose(second, np.einsum("c,ci,cj->ij", weight, sums, sums) / weight.sum())
     # thousands of rows neither overflow nor vanish
-    size, first, second = effects.placed(np.ones(3000), np.ones((3000, 1)), 1500)
+    size, first, second = (v[0] for v in effects.placed(np.ones((1, 3000)), np.ones((1, 3000, 1)), 1500))
     from math import lgamma
 
     assert np.isclose(size, lgamma(3001) - 2 * lgamma(1501)) and np.isclose(first[0], 1500) and np.isclose(second[0, 0], 1500.0**2)
