@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import dynamic, effects, penalised, time_joins, two_part
+from .operators import dynamic, effects, iv, penalised, rows, summaries, time_joins, two_part
 from .queries import _newton, _rowwise, coefficients, load, query, rounded
 from .sources import tables
 
@@ -220,3 +220,39 @@ def interval_sessions(spark, sf):
     events = load(spark, sf, "events")
     spans = events.where("event_type = 'purchase'").selectExpr("event_id AS id", "user_id", "ts AS start", "ts + make_interval(0, 0, 0, 0, 0, 0, (event_id % 5) * (event_id % 5) * (event_id % 5) * 3600 + 60) AS finish")
     return time_joins.interval_join(events.select("event_id", "user_id", "ts"), spans, "ts", "start", "finish", by=["user_id"])
+
+
+# --- labels and instruments ---------------------------------------------
+
+
+@query("""SELECT l_linenumber, l_returnflag, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_linenumber), 6) AS row_percent,
+  round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS column_percent, CASE l_linenumber WHEN 1 THEN 'first' WHEN 2 THEN 'second' WHEN 7 THEN 'last' ELSE l_linenumber::VARCHAR END AS l_linenumber_label, l_returnflag AS l_returnflag_label FROM lineitem GROUP BY 1, 2""")
+def tabulate_labels(spark, sf):
+    """Codes with their labels, and as they are where they have none."""
+    lines = rows.label_values(load(spark, sf, "lineitem"), "l_linenumber", {1: "first", 2: "second", 7: "last"})
+    return rounded(summaries.tabulate(lines, "l_linenumber", "l_returnflag", labels=True))
+
+
+def _two_on(y: str, a: str, b: str) -> tuple[str, str]:
+    """Least squares slopes of y on two columns, by moments."""
+    det = f"(var_pop({a}) * var_pop({b}) - covar_pop({a}, {b}) * covar_pop({a}, {b}))"
+    return f"(covar_pop({y}, {a}) * var_pop({b}) - covar_pop({y}, {b}) * covar_pop({a}, {b})) / {det}", f"(covar_pop({y}, {b}) * var_pop({a}) - covar_pop({y}, {a}) * covar_pop({a}, {b})) / {det}"
+
+
+_INSTRUMENTS = "SELECT (5 + 2 * (l_quantity + l_tax * 50) + 30 * l_discount + (l_partkey % 11))::DOUBLE AS y, (l_quantity + l_tax * 50 + 20 * l_discount)::DOUBLE AS x, l_quantity::DOUBLE AS z, l_tax::DOUBLE AS z2 FROM lineitem"
+_P, _E, _U = _two_on("x", "z", "z2"), _two_on("e", "z", "z2"), _two_on("y", "x", "v")
+
+
+@query(f"""WITH d AS ({_INSTRUMENTS}), f AS (SELECT {_P[0]} AS p1, {_P[1]} AS p2 FROM d), h AS (SELECT d.*, p1 * z + p2 * z2 AS w FROM d, f),
+b AS (SELECT covar_pop(w, y) / covar_pop(w, x) AS b, avg(y) AS my, avg(x) AS mx, var_pop(w) AS vw, count(*) AS n FROM h),
+r AS (SELECT h.*, x - w AS v, y - my - b * (x - mx) AS e, b, my, mx, vw, n FROM h, b),
+g AS (SELECT any_value(b) AS b, any_value(my) AS my, any_value(mx) AS mx, any_value(vw) AS vw, any_value(n) AS n, sum(e * e) / (any_value(n) - 2) AS s2, any_value(n) * (({_E[0]}) * covar_pop(e, z) + ({_E[1]}) * covar_pop(e, z2)) / (sum(e * e) / any_value(n)) AS sargan,
+  var_pop(y) - covar_pop(y, x) * covar_pop(y, x) / var_pop(x) AS short, var_pop(y) - ({_U[0]}) * covar_pop(y, x) - ({_U[1]}) * covar_pop(y, v) AS long FROM r)
+SELECT '_cons' AS term, round(my - b * mx, 5) AS estimate, round(sqrt(s2 * (1.0 / n + mx * mx / (n * vw))), 5) AS se FROM g UNION ALL SELECT 'x', round(b, 5), round(sqrt(s2 / (n * vw)), 5) FROM g
+UNION ALL SELECT 'sargan', round(sargan, 4), NULL FROM g UNION ALL SELECT 'wu_hausman', round((short - long) / (long / (n - 3)), 2), NULL FROM g""")
+def iv_two_instruments(spark, sf):
+    """Estimates, standard errors, the test of the surplus instrument and that of exogeneity."""
+    df = load(spark, sf, "lineitem").selectExpr("cast(5 + 2 * (l_quantity + l_tax * 50) + 30 * l_discount + (l_partkey % 11) AS double) AS y", "cast(l_quantity + l_tax * 50 + 20 * l_discount AS double) AS x", "l_quantity AS z", "l_tax AS z2", tables.ROW)
+    fit = iv.ivregress(df, "y", endog=["x"], iv=["z", "z2"])
+    more = [("sargan", round(float(iv.overid(fit)["chi2"]), 4), None), ("wu_hausman", round(float(iv.endogeneity(fit)["f"]), 2), None)]
+    return coefficients(spark, fit, 5).union(spark.createDataFrame(more, "term string, estimate double, se double"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.safe import finite, finite_or_null, is_numeric, number, truth
 from ..plans.ranks import quantiles
 from ..sources.tables import ROW
-from .rows import names_of, need, q
+from .rows import labelled, names_of, need, q
 
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -101,8 +101,11 @@ def assert_rows(df: DataFrame, predicate: str | Column) -> DataFrame:
     return df.agg(F.count("*").alias("checked"), F.count_if(~truth(predicate)).alias("failed"))
 
 
-def tabulate(df: DataFrame, row: str, column: str | None = None, predicate: str | Column | None = None, missing: bool = False) -> DataFrame:
-    """Counts and percentages of the sample; two-way also by row and by column. Pre-aggregated before any window."""
+def tabulate(df: DataFrame, row: str, column: str | None = None, predicate: str | Column | None = None, missing: bool = False, labels: bool = False) -> DataFrame:
+    """Counts and percentages of the sample; two-way also by row and by column. Pre-aggregated before any window.
+
+    With ``labels`` each variable has a text column beside it: the value's label, or the value as text where it has none.
+    """
     names = [row] + ([column] if column else [])
     need(df, *names)
     sample = _where(df, predicate)
@@ -112,7 +115,11 @@ def tabulate(df: DataFrame, row: str, column: str | None = None, predicate: str
     counts = sample.groupBy(*map(q, names)).agg(F.count("*").alias("n"))
     share = lambda *by: 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*map(q, by)))
     out = counts.withColumn("percent", share())
-    return out.withColumn("row_percent", share(row)).withColumn("column_percent", share(column)) if column else out
+    out = out.withColumn("row_percent", share(row)).withColumn("column_percent", share(column)) if column else out
+    for n in names if labels else []:
+        out = labelled(out, n, f"{n}_label")
+        out = out.withColumn(f"{n}_label", F.coalesce(q(f"{n}_label"), q(n).cast("string")))
+    return out
 
 
 def by_count(df: DataFrame, *by: str) -> DataFrame:
