@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import dynamic, effects, iv, penalised, rows, summaries, time_joins, two_part
-from .queries import _newton, _rowwise, coefficients, load, query, rounded
+from .operators import dynamic, effects, iv, likelihood, other, penalised, rows, summaries, time_joins, two_part
+from .queries import _MILLS, _STATUS, _newton, _rowwise, _slopes, _status, coefficients, load, query, rounded
 from .sources import tables
 
 _MADE = "SELECT (3 + 2 * l_quantity + l_tax * 100 + (l_partkey % 7))::DOUBLE AS y, l_quantity::DOUBLE AS q, l_tax::DOUBLE * 100 AS t, (l_partkey % 7)::DOUBLE AS p, (l_orderkey % 4)::DOUBLE AS f FROM lineitem"
@@ -136,12 +136,18 @@ def zinb_inflate(spark, sf):
     return coefficients(spark, two_part.zinb(lines, "y", "x", inflate=["z"]), 4)
 
 
+_SEEN = "l_discount * 10 + (l_partkey % 101) / 50.0 > 1.3"
+_PRICE = "CAST(l_extendedprice AS DOUBLE) / 20000 + (l_partkey % 101) / 50.0"
+
+
+def _seen_prices(spark, sf):
+    return load(spark, sf, "lineitem").selectExpr(f"CASE WHEN {_SEEN} THEN {_PRICE} END AS y", "cast(l_quantity as double) / 10 AS x", "cast(l_discount as double) * 10 AS z", f"({_SEEN})::int AS s", tables.ROW)
+
+
 @query()
 def heckman_joint(spark, sf):
     """Selection and outcome in one likelihood: a price that is seen where the discount and an unseen part of it are high."""
-    seen = "l_discount * 10 + (l_partkey % 101) / 50.0 > 1.3"
-    price = "cast(l_extendedprice as double) / 20000 + (l_partkey % 101) / 50.0"
-    lines = load(spark, sf, "lineitem").selectExpr(f"CASE WHEN {seen} THEN {price} END AS y", "cast(l_quantity as double) / 10 AS x", "cast(l_discount as double) * 10 AS z", f"({seen})::int AS s", tables.ROW)
+    lines = _seen_prices(spark, sf)
     return coefficients(spark, two_part.heckman_ml(lines, "y", "x", selected="s", select=["z"]), 4)
 
 
@@ -256,3 +262,34 @@ def iv_two_instruments(spark, sf):
     fit = iv.ivregress(df, "y", endog=["x"], iv=["z", "z2"])
     more = [("sargan", round(float(iv.overid(fit)["chi2"]), 4), None), ("wu_hausman", round(float(iv.endogeneity(fit)["f"]), 2), None)]
     return coefficients(spark, fit, 5).union(spark.createDataFrame(more, "term string, estimate double, se double"))
+
+
+def _solved(sql: str) -> str:
+    """The part of a Newton query that holds its last parameters (z) and its sums there (e)."""
+    return sql[: sql.index("SELECT '_cons' AS term")]
+
+
+_LOGIT = _solved(_newton(_rowwise(_STATUS, ["y - p1", "(y - p1) * x"], _slopes("p1 * (1 - p1)"), "1 / (1 + exp(-(b0 + b1 * x))) AS p1"), ["_cons", "x"], [0, 0]))
+
+
+@query(_LOGIT + f""", a AS (SELECT sum(w * p1 * (1 - p1)) / sum(w) AS f, sum(w * p1 * (1 - p1) * (1 - 2 * p1)) / sum(w) AS d0, sum(w * p1 * (1 - p1) * (1 - 2 * p1) * x) / sum(w) AS d1 FROM (SELECT w, x, 1 / (1 + exp(-(b0 + b1 * x))) AS p1 FROM z, ({_STATUS}) AS d)),
+g AS (SELECT e.*, f, b1 * d0 AS k0, f + b1 * d1 AS k1, h00 * h11 - h01 * h01 AS det FROM a, e)
+SELECT 'x' AS term, round(b1 * f, 6) AS effect, round(sqrt((k0 * k0 * h11 - 2 * k0 * k1 * h01 + k1 * k1 * h00) / det), 6) AS se FROM g""")
+def logit_margins(spark, sf):
+    """Mean marginal effect with its delta-method standard error."""
+    found = likelihood.margins(likelihood.logit(_status(spark, sf), "y", "x"))
+    return rounded(spark.createDataFrame([(n, *map(float, v)) for n, v in found.items()], "term string, effect double, se double"))
+
+
+_PROBIT = _solved(_newton(_rowwise(f"SELECT ({_SEEN})::INT::DOUBLE AS y, CAST(l_discount AS DOUBLE) * 10 AS x, count(*) AS w FROM lineitem GROUP BY 1, 2", ["q * m", "q * m * x"], _slopes("m * (m + v)"), "2 * y - 1 AS q, (2 * y - 1) * (b0 + b1 * x) AS v", _MILLS), ["_cons", "x"], [0, 0], 12))
+_RATIO = _two_on("y", "x", "m")
+
+
+@query(_PROBIT + f""", r AS (SELECT y, x, {_MILLS} FROM (SELECT {_PRICE} AS y, CAST(l_quantity AS DOUBLE) / 10 AS x, b0 + b1 * CAST(l_discount AS DOUBLE) * 10 AS v FROM lineitem, z WHERE {_SEEN})),
+t AS (SELECT {_RATIO[0]} AS bx, {_RATIO[1]} AS bm, avg(y) AS my, avg(x) AS mx, avg(m) AS mm FROM r)
+SELECT '_cons' AS term, round(my - bx * mx - bm * mm, 3) AS estimate FROM t UNION ALL SELECT 'x', round(bx, 4) FROM t UNION ALL SELECT 'lambda', round(bm, 3) FROM t""")
+def heckman_two_steps(spark, sf):
+    """Probit for selection, then least squares with the inverse Mills ratio."""
+    fit = other.heckman(_seen_prices(spark, sf), "y", "x", selected="s", select=["z"])
+    digits = {"x": 4}
+    return spark.createDataFrame([(n, round(float(b), digits.get(n, 3))) for n, b in zip(fit.names, fit.beta, strict=True)], "term string, estimate double")
