@@ -1,4 +1,4 @@
-"""Selection, quantile and nonlinear regression, local smoothing, and the bootstrap."""
+"""Selection, quantile and nonlinear regression, and the bootstrap."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.safe import all_finite, finite_or_null, number, truth
+from ..functions.safe import all_finite, number, truth
 from ..plans.draws import drawn_sums
 from ..plans.moments import Design, cross_products, design, linear, meat, solved
 from ..plans.ranks import quantiles
@@ -149,46 +149,6 @@ def nl(df: DataFrame, y: str, formula: str, start: dict[str, float], variables:
         rows.unpersist()
 
 
-def lowess(df: DataFrame, y: str, x: str, into: str, by: str | None = None, bandwidth: float = 2 / 3, most: int = 10_000) -> DataFrame:
-    """Locally linear tricube smooth over centred ranks, per group of ``by``; a group of over ``most`` rows to smooth is an error.
-
-    Every point uses the given share of its group, so work grows with the square of a group; rows that aren't finite get null.
-    """
-    need(df, y, x, *([by] if by else []))
-    rows = df.withColumns({"__x": finite_or_null(q(x)), "__y": finite_or_null(q(y)), "__g": q(by) if by else F.lit(0)})
-    if rows.where("__x is not null and __y is not null").groupBy("__g").count().where(f"count > {most}").limit(1).count():
-        raise ValueError(f"a group has more than {most} rows")
-    names = [*df.columns, into]
-
-    def smooth(table: pa.Table) -> pa.Table:
-        x_all, y_all = table["__x"].to_pylist(), table["__y"].to_pylist()
-        order = [i for i in range(len(x_all)) if x_all[i] is not None and y_all[i] is not None]
-        row = table[ROW].to_pylist()
-        order.sort(key=lambda i: (x_all[i], row[i]))
-        xs, ys = np.array([x_all[i] for i in order]), np.array([y_all[i] for i in order])
-        n = len(order)
-        k = int((n * bandwidth - 0.5) // 2)
-        out = ys.copy()
-        for i in range(n) if k > 0 else ():
-            a, b = max(0, i - k), min(n, i + k + 1)
-            u, v = xs[a:b] - xs[i], ys[a:b]
-            radius = max(abs(u[0]), abs(u[-1]))
-            if radius == 0:
-                out[i] = v.mean()
-                continue
-            w = (1 - np.minimum(np.abs(u) / (1.0001 * radius), 1) ** 3) ** 3
-            s, su, sv, suu, suv = w.sum(), w @ u, w @ v, w @ (u * u), w @ (u * v)
-            det = s * suu - su * su
-            out[i] = (suu * sv - su * suv) / det if det > 1e-12 * s * suu else sv / s
-        fitted: list[float | None] = [None] * len(x_all)
-        for i, value in zip(order, out.tolist(), strict=True):
-            fitted[i] = value
-        return table.append_column(into, pa.array(fitted, pa.float64())).select(names)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return rows.groupBy("__g").applyInArrow(smooth, f"{kinds}, `{into}` double")
-
-
 def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1, cluster: str | None = None, predicate=None, constant: bool = True, fixed: bool = False) -> Fit:
     """Pairs or whole-cluster bootstrap of least squares, all replicates in one pass over the rows.
 

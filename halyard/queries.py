@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import grouped, iv, likelihood, linear, other, panel, predictions, rows, summaries, survival
+from .operators import grouped, iv, likelihood, linear, other, panel, predictions, rows, smoothing, summaries, survival
 from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -631,7 +631,7 @@ def nl_linear(spark, sf):
 @query()
 def smooth_and_resample(spark, sf):
     df = load(spark, sf, "events")
-    smooth = other.lowess(df, "value", "event_id", "smooth", by="user_id").groupBy("user_id").agg(F.avg("smooth").alias("smooth"))
+    smooth = smoothing.lowess(df, "value", "event_id", "smooth", by="user_id").groupBy("user_id").agg(F.avg("smooth").alias("smooth"))
     fit = other.bootstrap(line(spark, sf), "y", "l_quantity", reps=100, seed=7, cluster="l_suppkey")
     return smooth.select(F.concat(F.lit("smooth:"), F.col("user_id").cast("string")).alias("what"), F.col("smooth").alias("value")).union(fit.table(spark).select(F.concat(F.lit("se:"), "term"), "se"))
 

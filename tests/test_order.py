@@ -5,7 +5,7 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
-from halyard.operators import other, rows, summaries
+from halyard.operators import rows, smoothing, summaries
 from halyard.sources import tables
 
 SF = "/root/testdata/sf0.1"
@@ -95,7 +95,7 @@ def test_signature_depends_on_rows_alone(spark):
 
 def test_lowess_after_a_sort(spark):
     events = tables.use(spark, "/root/testdata/sf0.01/events.parquet").withColumn("value", F.when(F.col("event_id") % 50 != 3, F.col("value")))
-    plain = other.lowess(events, "value", "event_id", "s", by="user_id").select("event_id", F.round("s", 9).alias("s"))
-    turned = other.lowess(rows.sort(events, "value"), "value", "event_id", "s", by="user_id").select("event_id", F.round("s", 9).alias("s"))
+    plain = smoothing.lowess(events, "value", "event_id", "s", by="user_id").select("event_id", F.round("s", 9).alias("s"))
+    turned = smoothing.lowess(rows.sort(events, "value"), "value", "event_id", "s", by="user_id").select("event_id", F.round("s", 9).alias("s"))
     assert plain.count() == events.count() and plain.exceptAll(turned).count() == 0
     assert plain.where("s is null").count() == events.where("value is null").count()
