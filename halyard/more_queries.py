@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import dynamic, effects, iv, likelihood, other, penalised, rows, summaries, time_joins, two_part
+from .operators import dynamic, effects, iv, likelihood, other, penalised, rows, smoothing, spatial, summaries, time_joins, two_part
 from .queries import _MILLS, _STATUS, _newton, _rowwise, _slopes, _status, coefficients, load, query, rounded
 from .sources import tables
 
@@ -293,3 +293,53 @@ def heckman_two_steps(spark, sf):
     fit = other.heckman(_seen_prices(spark, sf), "y", "x", selected="s", select=["z"])
     digits = {"x": 4}
     return spark.createDataFrame([(n, round(float(b), digits.get(n, 3))) for n, b in zip(fit.names, fit.beta, strict=True)], "term string, estimate double")
+
+
+# --- smoothing ----------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT o_orderkey AS k, o_totalprice + o_orderkey / 1048576 AS x, (o_custkey % 97)::DOUBLE AS y FROM orders), n AS (SELECT count(*) AS n, floor((count(*) * 0.3 - 0.5) / 2)::BIGINT AS h FROM d),
+r AS (SELECT k, x, y, row_number() OVER (ORDER BY x) AS i FROM d), e AS (SELECT r.*, greatest(1, i - h) AS a, least(n, i + h) AS b FROM r, n),
+m AS (SELECT e.k, e.x, e.a, e.b, 1.0001 * greatest(e.x - f.x, l.x - e.x) AS radius FROM e JOIN r AS f ON f.i = e.a JOIN r AS l ON l.i = e.b),
+w AS (SELECT m.k, r.x - m.x AS u, r.y AS v, (1 - (abs(r.x - m.x) / radius) ** 3) ** 3 AS w FROM (SELECT *, unnest(range(a, b + 1)) AS j FROM m) AS m JOIN r ON r.i = j),
+s AS (SELECT k, sum(w) AS s, sum(w * u) AS su, sum(w * u * u) AS suu, sum(w * v) AS sv, sum(w * u * v) AS suv FROM w GROUP BY k)
+SELECT k, round((suu * sv - su * suv) / (s * suu - su * su), 4) AS smooth FROM s""")
+def lowess_orders(spark, sf):
+    """One group of all orders."""
+    df = load(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_totalprice + o_orderkey / 1048576 AS x", "cast(o_custkey % 97 AS double) AS y", tables.ROW)
+    return rounded(smoothing.lowess(df, "y", "x", "smooth", bandwidth=0.3).select("k", "smooth"), 4)
+
+
+# --- space --------------------------------------------------------------
+
+_CELLS = "SELECT c_custkey AS u, c_custkey // 50 AS r, c_custkey % 50 AS c, c_nationkey::DOUBLE AS x, c_acctbal / 1000 AS e FROM customer"
+
+
+@query(f"""WITH d AS ({_CELLS}), s AS (SELECT a.u, b.u AS v FROM d a JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS m(p, q) ON true JOIN d b ON b.r = a.r + p AND b.c = a.c + q),
+l AS (SELECT s.u, avg(d.x) AS w FROM s JOIN d ON d.u = s.v GROUP BY s.u), f AS (SELECT d.*, 2 * x + 1.5 * coalesce(w, 0) + e AS y, coalesce(w, 0) AS wx FROM d LEFT JOIN l ON l.u = d.u),
+g AS (SELECT s.u, avg(f.y) AS wy, avg(f.wx) AS wwx FROM s JOIN f ON f.u = s.v GROUP BY s.u), h AS (SELECT f.u, f.x, f.y, f.wx, coalesce(wy, 0) AS wy, coalesce(wwx, 0) AS wwx FROM f LEFT JOIN g ON g.u = f.u),
+p AS (SELECT {", ".join(f"regr_slope({c}, x) AS s_{c}, regr_intercept({c}, x) AS a_{c}" for c in ("y", "wy", "wx", "wwx"))}, avg(x) AS mx, var_pop(x) AS vx, count(*) AS n FROM h),
+o AS (SELECT {", ".join(f"h.{c} - a_{c} - s_{c} * x AS {c}" for c in ("y", "wy", "wx", "wwx"))} FROM h, p),
+k AS (SELECT {_two_on("wy", "wx", "wwx")[0]} AS k1, {_two_on("wy", "wx", "wwx")[1]} AS k2 FROM o),
+b AS (SELECT sum((k1 * wx + k2 * wwx) * y) / sum((k1 * wx + k2 * wwx) * wy) AS a, sum((k1 * wx + k2 * wwx) * wy) AS q FROM o, k),
+z AS (SELECT a, sqrt(sum((y - a * wy) ** 2) / (count(*) - 3) / any_value(q)) AS se FROM o, b GROUP BY a)
+SELECT 'W.y' AS term, round(a, 5) AS estimate, round(se, 5) AS se FROM z UNION ALL SELECT 'x', round(s_y - a * s_wy, 5), NULL FROM z, p UNION ALL SELECT '_cons', round(a_y - a * a_wy, 4), NULL FROM z, p""")
+def spatial_lag(spark, sf):
+    """Customers as cells of a grid 50 wide, whose outcome spills over from their neighbours."""
+    df, edges = _grid(spark, sf)
+    fit = spatial.spregress(df, "y", "x", unit="u", edges=edges)
+    return spark.createDataFrame([(n, round(float(b), 4 if n == "_cons" else 5), round(float(s), 5) if n == "W.y" else None) for n, b, s in zip(fit.names, fit.beta, fit.se, strict=True)], "term string, estimate double, se double")
+
+
+@query()
+def spatial_sarar(spark, sf):
+    """The same cells with a lag and errors that spill over."""
+    df, edges = _grid(spark, sf)
+    fit = spatial.spregress(df, "y", "x", unit="u", edges=edges, model="sarar")
+    return coefficients(spark, fit, 5)
+
+
+def _grid(spark, sf):
+    cells = load(spark, sf, "customer").selectExpr("c_custkey AS u", "c_custkey div 50 AS r", "c_custkey % 50 AS c", "cast(c_nationkey AS double) AS x", "c_acctbal / 1000 AS e", tables.ROW)
+    edges = spatial.contiguous(cells, "u", "r", "c", "rook")
+    return spatial.lagged(cells, spatial.standardised(edges), "u", {"x": "wx"}).withColumn("y", F.expr("2 * x + 1.5 * wx + e")), edges
