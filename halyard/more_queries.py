@@ -343,3 +343,16 @@ def _grid(spark, sf):
     cells = load(spark, sf, "customer").selectExpr("c_custkey AS u", "c_custkey div 50 AS r", "c_custkey % 50 AS c", "cast(c_nationkey AS double) AS x", "c_acctbal / 1000 AS e", tables.ROW)
     edges = spatial.contiguous(cells, "u", "r", "c", "rook")
     return spatial.lagged(cells, spatial.standardised(edges), "u", {"x": "wx"}).withColumn("y", F.expr("2 * x + 1.5 * wx + e")), edges
+
+
+# --- seeded resampling --------------------------------------------------
+
+
+@query()
+def bootstrap_replay(spark, sf):
+    """All lines, and suppliers as clusters, on the draws of one seeded sequence."""
+    df = _made(spark, sf)
+    alone = other.bootstrap(df, "y", "q", reps=40, seed=20240101, replay=True)
+    groups = other.bootstrap(df, "y", "q", reps=40, seed=20240101, cluster="l_suppkey", replay=True)
+    out = [(kind, n, float(b), float(s), *map(float, p)) for kind, fit in (("lines", alone), ("suppliers", groups)) for n, b, s, p in zip(fit.names, fit.beta, fit.se, fit.info["percentiles"].T, strict=True)]
+    return rounded(spark.createDataFrame(out, "kind string, term string, estimate double, se double, low double, high double"), 8)

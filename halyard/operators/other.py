@@ -15,6 +15,7 @@ from ..functions.safe import all_finite, number, truth
 from ..plans.draws import drawn_sums
 from ..plans.moments import Design, cross_products, design, linear, meat, solved
 from ..plans.ranks import quantiles
+from ..plans.sequence import replayed_sums
 from ..sources.tables import ROW, ranked
 from .likelihood import probit
 from .linear import Fit, fit_rows
@@ -149,22 +150,26 @@ def nl(df: DataFrame, y: str, formula: str, start: dict[str, float], variables:
         rows.unpersist()
 
 
-def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1, cluster: str | None = None, predicate=None, constant: bool = True, fixed: bool = False) -> Fit:
+def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1, cluster: str | None = None, predicate=None, constant: bool = True, fixed: bool = False, replay: bool = False) -> Fit:
     """Pairs or whole-cluster bootstrap of least squares, all replicates in one pass over the rows.
 
     Each row or cluster has an independent Poisson(1) count in each replicate, drawn from a hash of the seed and of the
     cluster or the row's values and number, so results don't depend on the partitioning; replicates add up
     their own cross products. With ``fixed`` each replicate draws exactly as many rows or clusters as there are, at the
     price of numbering them: one range shuffle. info["drawn"] holds each replicate's rows.
+    With ``replay`` the draws are those of one sequence of numbers from the seed, replicate after replicate, over the rows in
+    their order or the clusters in the order of their first rows: the same samples as a program that draws one by one.
     """
-    d = design(df, y, terms, predicate, constant, None, cluster, {"row": F.xxhash64(ROW)})
+    if replay and not dict(df.dtypes)[ROW] == "bigint":
+        df = ranked(df.withColumnRenamed(ROW, "__was"), "__was").drop("__was")
+    d = design(df, y, terms, predicate, constant, None, cluster, {"row": F.col(ROW) if replay else F.xxhash64(ROW)})
     k = d.k
-    unit = F.xxhash64(F.lit(seed), F.col("g") if cluster else F.col("row"))
     columns = [*d.x(), F.col("y")]
     size = k + 1
     at = np.triu_indices(size)
-    if fixed:
-        return _resampled_fit(d, _fixed_sums(d, columns, reps, seed, cluster), at)
+    if fixed or replay:
+        return _resampled_fit(d, _fixed_sums(d, columns, reps, seed, cluster, replay), at)
+    unit = F.xxhash64(F.lit(seed), F.col("g") if cluster else F.col("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((reps, len(at[0])))
@@ -193,16 +198,17 @@ def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1
     return _resampled_fit(d, total, at)
 
 
-def _fixed_sums(d: Design, columns: list[Column], reps: int, seed: int, cluster: str | None) -> np.ndarray:
+def _fixed_sums(d: Design, columns: list[Column], reps: int, seed: int, cluster: str | None, replay: bool = False) -> np.ndarray:
     """Cross products of each replicate: rows or clusters are numbered, and their counts add up to their number."""
     pairs = [(columns[i] * columns[j]).cast("double") for i in range(len(columns)) for j in range(i, len(columns))]
     names = [f"c{i}" for i in range(len(pairs))]
     if cluster:
-        units = d.rows.groupBy("g").agg(*[F.sum(p).alias(n) for p, n in zip(pairs, names, strict=True)]).withColumn("u", F.xxhash64("g"))
+        first = F.min("row") if replay else F.xxhash64("g")
+        units = d.rows.groupBy("g").agg(first.alias("u"), *[F.sum(p).alias(n) for p, n in zip(pairs, names, strict=True)])
         numbers = ranked(units, "u", "g")
     else:
         numbers = ranked(d.rows.select(F.col("row").alias("u"), *[p.alias(n) for p, n in zip(pairs, names, strict=True)]), "u", *names)
-    return drawn_sums(numbers, ROW, names, numbers.count(), reps, seed)
+    return (replayed_sums if replay else drawn_sums)(numbers, ROW, names, numbers.count(), reps, seed)
 
 
 def _resampled_fit(d: Design, total: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> Fit:
