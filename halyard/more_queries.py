@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import safe
 from .operators import dynamic, effects, iv, likelihood, other, penalised, rows, smoothing, spatial, summaries, time_joins, two_part
+from .plans import sequence
 from .queries import _MILLS, _STATUS, _newton, _rowwise, _slopes, _status, coefficients, load, query, rounded
 from .sources import tables
 
@@ -356,3 +357,26 @@ def bootstrap_replay(spark, sf):
     groups = other.bootstrap(df, "y", "q", reps=40, seed=20240101, cluster="l_suppkey", replay=True)
     out = [(kind, n, float(b), float(s), *map(float, p)) for kind, fit in (("lines", alone), ("suppliers", groups)) for n, b, s, p in zip(fit.names, fit.beta, fit.se, fit.info["percentiles"].T, strict=True)]
     return rounded(spark.createDataFrame(out, "kind string, term string, estimate double, se double, low double, high double"), 8)
+
+
+def _replay(reps: int, seed: int) -> str:
+    """Least squares on resampled clusters, the sequence stepped one number at a time."""
+    a, b, c, d = (f"{int(w)}::UHUGEINT" for w in sequence.seeded(seed))
+    whole = "18446744073709551616::UHUGEINT"
+    turned = lambda x, k: f"(({x}) * {2**k}::UHUGEINT % {whole} + ({x}) // {2 ** (64 - k)}::UHUGEINT)"
+    return f"""WITH RECURSIVE v AS ({_MADE.replace("SELECT (", "SELECT l_suppkey AS k, (", 1)}), u AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, count(*) AS n, sum(q) AS sx, sum(q * q) AS sxx, sum(y) AS sy, sum(q * y) AS sxy FROM v GROUP BY k),
+g AS (SELECT count(*) AS g FROM u), s AS (SELECT 0 AS j, {a} AS a, {b} AS b, {c} AS c, {d} AS d
+UNION ALL SELECT j + 1, xor(a, xor(d, b)), xor(b, xor(c, a)), xor(xor(c, a), b * 131072 % {whole}), {turned("xor(d, b)", 45)} FROM s, g WHERE j + 1 < {reps} * g),
+p AS (SELECT j // g AS rep, (({turned(f"(a + d) % {whole}", 23)} + a) % {whole} % g::UHUGEINT)::BIGINT AS i FROM s, g),
+t AS (SELECT rep, sum(n) AS n, sum(sx) AS sx, sum(sxx) AS sxx, sum(sy) AS sy, sum(sxy) AS sxy FROM p JOIN u USING (i) GROUP BY rep),
+e AS (SELECT (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS b0 FROM t)
+SELECT '_cons' AS term, round(stddev_samp(b0), 8) AS se, round(quantile_cont(b0, 0.025), 8) AS low, round(quantile_cont(b0, 0.975), 8) AS high FROM e UNION ALL SELECT 'q', round(stddev_samp(b1), 8), round(quantile_cont(b1, 0.025), 8), round(quantile_cont(b1, 0.975), 8) FROM e"""
+
+
+@query(_replay(40, 2024))
+def bootstrap_replay_clusters(spark, sf):
+    """Suppliers in ascending order as clusters."""
+    df = rows.sort(_made(spark, sf), "l_suppkey")
+    fit = other.bootstrap(df, "y", "q", reps=40, seed=2024, cluster="l_suppkey", replay=True)
+    out = [(n, float(s), *map(float, p)) for n, s, p in zip(fit.names, fit.se, fit.info["percentiles"].T, strict=True)]
+    return rounded(spark.createDataFrame(out, "term string, se double, low double, high double"), 8)
