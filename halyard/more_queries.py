@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import dynamic, effects, iv, likelihood, other, penalised, rows, smoothing, spatial, summaries, time_joins, two_part
+from .operators import dynamic, effects, iv, likelihood, other, penalised, resampling, rows, smoothing, spatial, summaries, time_joins, two_part
 from .plans import sequence
 from .queries import _MILLS, _STATUS, _newton, _rowwise, _slopes, _status, coefficients, load, query, rounded
 from .sources import tables
@@ -380,3 +380,12 @@ def bootstrap_replay_clusters(spark, sf):
     fit = other.bootstrap(df, "y", "q", reps=40, seed=2024, cluster="l_suppkey", replay=True)
     out = [(n, float(s), *map(float, p)) for n, s, p in zip(fit.names, fit.se, fit.info["percentiles"].T, strict=True)]
     return rounded(spark.createDataFrame(out, "term string, se double, low double, high double"), 8)
+
+
+@query()
+def bootstrap_counts(spark, sf):
+    """A Poisson model with suppliers as clusters and a logit of lines, each replicate's steps in shared passes."""
+    df = _made(spark, sf).withColumns({"back": F.expr("l_linenumber + cast(l_returnflag = 'R' AS int)"), "late": F.expr("cast(l_linestatus = 'O' AS int)")})
+    fits = {"poisson": resampling.bootstrap_poisson(df, "back", "q", "t", reps=40, seed=5, cluster="l_suppkey"), "logit": resampling.bootstrap_logit(df, "late", "q", reps=40, seed=5)}
+    out = [(kind, n, float(b), float(s)) for kind, fit in fits.items() for n, b, s in zip(fit.names, fit.beta, fit.se, strict=True)]
+    return rounded(spark.createDataFrame(out, "kind string, term string, estimate double, se double"), 5)

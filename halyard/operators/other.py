@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.safe import all_finite, number, truth
-from ..plans.draws import drawn_sums
+from ..plans.draws import drawn_sums, hashed_counts
 from ..plans.moments import Design, cross_products, design, linear, meat, solved
 from ..plans.ranks import quantiles
 from ..plans.sequence import replayed_sums
@@ -160,7 +160,8 @@ def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1
     With ``replay`` the draws are those of one sequence of numbers from the seed, replicate after replicate, over the rows in
     their order or the clusters in the order of their first rows: the same samples as a program that draws one by one.
     """
-    if replay and not dict(df.dtypes)[ROW] == "bigint":
+    # a design's columns are doubles, so places beyond their whole numbers are numbered anew, as lists of places are
+    if replay and (dict(df.dtypes)[ROW] != "bigint" or (df.agg(F.max(ROW)).first()[0] or 0) >= 1 << 53):
         df = ranked(df.withColumnRenamed(ROW, "__was"), "__was").drop("__was")
     d = design(df, y, terms, predicate, constant, None, cluster, {"row": F.col(ROW) if replay else F.xxhash64(ROW)})
     k = d.k
@@ -173,20 +174,13 @@ def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((reps, len(at[0])))
-        edges = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
         for batch in batches:
             ids = batch.column(0).to_numpy().view(np.uint64)
             v = np.column_stack([c.to_numpy() for c in batch.columns[1:]])
             for lo in range(0, len(ids), 4096):
                 part, own = v[lo : lo + 4096], ids[lo : lo + 4096]
                 products = part[:, at[0]] * part[:, at[1]]
-                h = own[None, :] + (np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-                h ^= h >> np.uint64(30)
-                h *= np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(27)
-                h *= np.uint64(0x94D049BB133111EB)
-                h ^= h >> np.uint64(31)
-                counts = np.searchsorted(edges, (h >> np.uint64(11)) / float(1 << 53), "right")
+                counts = hashed_counts(own, np.arange(reps))
                 total += counts @ products
         rep, place = np.divmod(np.arange(total.size), total.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(place), pa.array(total.ravel())], ["rep", "at", "value"])

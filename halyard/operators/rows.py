@@ -11,6 +11,10 @@ from ..functions.safe import guarded, is_numeric, truth
 from ..sources.tables import ROW, arranged, place, ranked
 
 
+#: Most columns that one variable is spread over.
+MAX_COLUMNS = 5_000
+
+
 def names_of(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW]
 
@@ -183,9 +187,11 @@ def reshape_long(df: DataFrame, stubs: Sequence[str], i: Sequence[str], j: str)
 
 
 def reshape_wide(df: DataFrame, values: Sequence[str], i: Sequence[str], j: str) -> DataFrame:
-    """Values of j become columns value_j, sorted; groups in order of their first row."""
+    """Values of j become columns value_j, sorted; groups in order of their first row. More than MAX_COLUMNS values are an error."""
     need(df, *values, *i, j)
-    levels = [r[0] for r in df.select(q(j).cast("string").alias("j")).where("j is not null").distinct().orderBy("j").collect()]
+    levels = sorted(r[0] for r in df.select(q(j).cast("string").alias("j")).where("j is not null").distinct().limit(MAX_COLUMNS + 1).collect())
+    if len(levels) > MAX_COLUMNS:
+        raise ValueError(f"{j} has more than {MAX_COLUMNS} values")
     if not levels:
         raise ValueError("no values of j")
     cells = [F.max(F.when(q(j).cast("string") == level, q(v))).alias(f"{v}_{level}") for v in values for level in levels]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,18 @@ def _generator(seed: int, node: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=np.array([seed, node], np.uint64)))
 
 
+def hashed_counts(ids: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """(replicates, ids): a Poisson(1) count for each 64-bit id in each replicate, mixed from both numbers."""
+    edges = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
+    h = ids[None, :] + ((reps + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return np.searchsorted(edges, (h >> np.uint64(11)) / float(1 << 53), "right")
+
+
 def drawn_sums(rows: DataFrame, number: str, columns: list[str], total: int, reps: int, seed: int) -> np.ndarray:
     """(replicates, columns): sums of the columns over the rows drawn in each replicate. ``number`` runs from 0 to total - 1."""
     width = max(1, min(WIDTH, COUNTS // reps))

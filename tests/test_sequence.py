@@ -76,7 +76,7 @@ def test_bootstraps(spark):
 
     seed = 2**63 + 5
     cov, edges = spread(drawn(seed, len(used), 60))
-    for way in (df, df.repartition(6), rows.gsort(df.withColumn("at", -df[tables.ROW]), "-at")):
+    for way in (df, df.repartition(6), rows.gsort(df.withColumn("at", -df[tables.ROW]), "-at"), df.withColumn(tables.ROW, df[tables.ROW] + (1 << 60))):
         fit = other.bootstrap(way, "y", "x", reps=60, seed=seed, replay=True)
         assert np.allclose(fit.cov, cov, rtol=1e-8) and np.allclose(fit.info["percentiles"], edges)
     order = list(dict.fromkeys(g for g, _, _ in used))
