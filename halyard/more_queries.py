@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import safe
-from .operators import dynamic, effects, iv, likelihood, other, penalised, resampling, rows, smoothing, spatial, summaries, time_joins, two_part
+from .operators import dynamic, effects, iv, likelihood, other, panel, penalised, resampling, rows, smoothing, spatial, summaries, time_joins, two_part
 from .plans import sequence
-from .queries import _MILLS, _STATUS, _newton, _rowwise, _slopes, _status, coefficients, load, query, rounded
+from .queries import _FIRST, _MILLS, _STATUS, _newton, _panel, _rowwise, _slopes, _status, coefficients, load, query, rounded
 from .sources import tables
 
 _MADE = "SELECT (3 + 2 * l_quantity + l_tax * 100 + (l_partkey % 7))::DOUBLE AS y, l_quantity::DOUBLE AS q, l_tax::DOUBLE * 100 AS t, (l_partkey % 7)::DOUBLE AS p, (l_orderkey % 4)::DOUBLE AS f FROM lineitem"
@@ -389,3 +389,45 @@ def bootstrap_counts(spark, sf):
     fits = {"poisson": resampling.bootstrap_poisson(df, "back", "q", "t", reps=40, seed=5, cluster="l_suppkey"), "logit": resampling.bootstrap_logit(df, "late", "q", reps=40, seed=5)}
     out = [(kind, n, float(b), float(s)) for kind, fit in fits.items() for n, b, s in zip(fit.names, fit.beta, fit.se, strict=True)]
     return rounded(spark.createDataFrame(out, "kind string, term string, estimate double, se double"), 5)
+
+
+# --- random effects and moments -----------------------------------------
+
+
+def _gls(sums: str) -> str:
+    """Least squares of y on c and x without a constant, from rows of ``sums``."""
+    return f"(SELECT *, (scy * sxx - sxy * scx) / (scc * sxx - scx * scx) AS b0, (sxy * scc - scy * scx) / (scc * sxx - scx * scx) AS b1 FROM (SELECT count(*) AS n, sum(c * c) AS scc, sum(c * x) AS scx, sum(x * x) AS sxx, sum(c * y) AS scy, sum(x * y) AS sxy, sum(y * y) AS syy FROM {sums}))"
+
+
+@query(f"""WITH f AS {_FIRST}, m AS (SELECT u, count(*) AS t, avg(x) AS mx, avg(y) AS my FROM f GROUP BY u),
+w AS (SELECT (sum(yy) - sum(xy) * sum(xy) / sum(xx)) / (sum(t) - count(*) - 1) AS se2, sum(t) AS n, count(*) AS g FROM (SELECT u, count(*) AS t, regr_syy(y, x) AS yy, regr_sxy(y, x) AS xy, regr_sxx(y, x) AS xx FROM f GROUP BY u)),
+b AS (SELECT sum(t) AS a0, sum(t * mx) AS a1, sum(t * mx * mx) AS a2, sum(t * t) AS q0, sum(t * t * mx) AS q1, sum(t * t * mx * mx) AS q2, sum(t * my) AS c0, sum(t * mx * my) AS c1, sum(t * my * my) AS c2 FROM m),
+v AS (SELECT se2, n, greatest(0, (c2 - (c0 * c0 * a2 - 2 * c0 * c1 * a1 + c1 * c1 * a0) / (a0 * a2 - a1 * a1) - (g - 2) * se2) / (n - (a2 * q0 - 2 * a1 * q1 + a0 * q2) / (a0 * a2 - a1 * a1))) AS su2 FROM w, b),
+h AS (SELECT u, mx, my, 1 - sqrt(se2 / (se2 + t * su2)) AS th FROM m, v), r AS (SELECT 1 - th AS c, x - th * mx AS x, y - th * my AS y FROM f JOIN h USING (u)),
+z AS (SELECT *, (syy - b0 * scy - b1 * sxy) / (n - 2) AS s2, scc * sxx - scx * scx AS det FROM {_gls("r")})
+SELECT '_cons' AS term, round(b0, 5) AS estimate, round(sqrt(s2 * sxx / det), 6) AS se FROM z UNION ALL SELECT 'x', round(b1, 5), round(sqrt(s2 * scc / det), 6) FROM z""")
+def panel_re_unbalanced(spark, sf):
+    """Every event of every user, with standard errors."""
+    return rounded(panel.xtreg_re(_panel(spark, sf, False), "y", "x", unit="u").table(spark).select("term", "estimate", "se"), 5, se=6)
+
+
+_MOMENTS = "SELECT l_suppkey AS g, (5 * (l_quantity + l_tax * 50) + (l_partkey % 11) - 5)::DOUBLE AS y, (l_quantity + l_tax * 50 + 20 * l_discount)::DOUBLE AS x, l_quantity::DOUBLE AS z, l_tax::DOUBLE * 100 AS w FROM lineitem"
+
+
+def _spread(beta: str, out: str) -> str:
+    """Clustered moments at an estimate, and their inverse's parts."""
+    return f"SELECT sum(p * p) AS {out}11, sum(p * q) AS {out}12, sum(q * q) AS {out}22 FROM (SELECT g, sum(z * (y - b * x)) AS p, sum(w * (y - b * x)) AS q FROM d, (SELECT {beta} AS b FROM last) GROUP BY g)"
+
+
+@query(f"""WITH d AS ({_MOMENTS}), a AS (SELECT sum(z * x) AS a1, sum(w * x) AS a2, sum(z * y) AS c1, sum(w * y) AS c2, sum(z * z) AS m11, sum(z * w) AS m12, sum(w * w) AS m22 FROM d),
+one AS (SELECT ((m22 * a1 - m12 * a2) * c1 + (m11 * a2 - m12 * a1) * c2) / ((m22 * a1 - m12 * a2) * a1 + (m11 * a2 - m12 * a1) * a2) AS b1 FROM a),
+s AS ({_spread("b1", "s").replace("FROM last", "FROM one")}),
+k AS (SELECT *, (s22 * a1 - s12 * a2) / (s11 * s22 - s12 * s12) AS h1, (s11 * a2 - s12 * a1) / (s11 * s22 - s12 * s12) AS h2 FROM a, s),
+two AS (SELECT *, (h1 * c1 + h2 * c2) / (h1 * a1 + h2 * a2) AS b2 FROM k), t AS ({_spread("b2", "t").replace("FROM last", "FROM two")}),
+r AS (SELECT *, sqrt(h1 * h1 * t11 + 2 * h1 * h2 * t12 + h2 * h2 * t22) / abs(h1 * a1 + h2 * a2) AS se, c1 - a1 * b2 AS e1, c2 - a2 * b2 AS e2 FROM two, t)
+SELECT 'x' AS term, round(b2, 6) AS estimate, round(se, 6) AS se FROM r UNION ALL SELECT 'j', round((s22 * e1 * e1 - 2 * s12 * e1 * e2 + s11 * e2 * e2) / (s11 * s22 - s12 * s12), 4), NULL FROM r""")
+def gmm_two_steps(spark, sf):
+    """Clustered two-step moments with a surplus instrument, and the test of it."""
+    df = load(spark, sf, "lineitem").selectExpr("l_suppkey AS g", "cast(5 * (l_quantity + l_tax * 50) + (l_partkey % 11) - 5 AS double) AS y", "cast(l_quantity + l_tax * 50 + 20 * l_discount AS double) AS x", "cast(l_quantity AS double) AS z", "cast(l_tax AS double) * 100 AS w", tables.ROW)
+    fit = iv.gmm(df, "y", ["x"], ["z", "w"], "g")
+    return spark.createDataFrame([("x", round(float(fit.beta[0]), 6), round(float(fit.se[0]), 6)), ("j", round(float(fit.stats["j"]), 4), None)], "term string, estimate double, se double")
