@@ -313,10 +313,10 @@ def lowess_orders(spark, sf):
 
 # --- space --------------------------------------------------------------
 
-_CELLS = "SELECT c_custkey AS u, c_custkey // 50 AS r, c_custkey % 50 AS c, c_nationkey::DOUBLE AS x, c_acctbal / 1000 AS e FROM customer"
+_PLACES = "SELECT c_custkey AS u, c_custkey // 50 AS r, c_custkey % 50 AS c, c_nationkey::DOUBLE AS x, c_acctbal / 1000 AS e FROM customer"
 
 
-@query(f"""WITH d AS ({_CELLS}), s AS (SELECT a.u, b.u AS v FROM d a JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS m(p, q) ON true JOIN d b ON b.r = a.r + p AND b.c = a.c + q),
+@query(f"""WITH d AS ({_PLACES}), s AS (SELECT a.u, b.u AS v FROM d a JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS m(p, q) ON true JOIN d b ON b.r = a.r + p AND b.c = a.c + q),
 l AS (SELECT s.u, avg(d.x) AS w FROM s JOIN d ON d.u = s.v GROUP BY s.u), f AS (SELECT d.*, 2 * x + 1.5 * coalesce(w, 0) + e AS y, coalesce(w, 0) AS wx FROM d LEFT JOIN l ON l.u = d.u),
 g AS (SELECT s.u, avg(f.y) AS wy, avg(f.wx) AS wwx FROM s JOIN f ON f.u = s.v GROUP BY s.u), h AS (SELECT f.u, f.x, f.y, f.wx, coalesce(wy, 0) AS wy, coalesce(wwx, 0) AS wwx FROM f LEFT JOIN g ON g.u = f.u),
 p AS (SELECT {", ".join(f"regr_slope({c}, x) AS s_{c}, regr_intercept({c}, x) AS a_{c}" for c in ("y", "wy", "wx", "wwx"))}, avg(x) AS mx, var_pop(x) AS vx, count(*) AS n FROM h),
