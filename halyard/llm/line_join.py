@@ -13,13 +13,15 @@ corpus, in order of id, content and line number, has a Jaccard similarity of
    the places of the word (positional filter) and parity bitmaps of their words
    allow the similarity; these filters are conditions of the join itself.  The first
    pass compares every set with the earliest one of each word only, so a word shared
-   by many near copies costs one row per copy; it takes the rarer half of the prefix and
-   a word more, as it only spares the second pass work.  The second pass compares the sets
-   that are left with all earlier ones.
-4. Candidates are verified on all their words.
+   by many near copies costs one row per copy; it takes the ``FIRST`` rarest words of the
+   prefix, as it only spares the second pass work.  Its pairs are verified on all words.
+4. The second pass compares the sets that are left with all earlier ones, by semi joins, which
+   stop at the first match and list no pairs: which words of which sets have a candidate, which
+   earlier sets are one of theirs, and, of these two alone and with all their words, which sets
+   have an earlier one as similar as asked.
 
 Words are found, hashed and ranked in numpy, for a slice of texts at once: the same
-in DataFrame functions takes 1,059 CPU seconds a GB where 400 are allowed.  Everything
+in DataFrame functions takes more CPU time, and more disk than allowed (README).  Everything
 between, the joins and aggregations, is DataFrame operations.
 
 Defined cases: null texts are empty; lines without words are kept; rows that repeat id and
@@ -43,6 +45,8 @@ from ._text import PLAIN_WORD, Slice, find_words, mix, slices, word_hashes
 SIMILARITY = 0.8
 BUCKETS, SHELF = 1 << 20, 1 << 10
 ROUNDS = 2
+FIRST = 3
+BITS = ("bits", "bits1", "bits2", "bits3")
 _BUCKET = np.uint64(BUCKETS - 1)
 _SALTS = np.random.default_rng(11).integers(1, 1 << 63, 2, dtype=np.uint64)
 
@@ -170,70 +174,91 @@ def _met(a: str, b: str, similarity: float) -> Column:
     return _alike(n, m, p, q, [(F.col(f"{a}.{w}"), F.col(f"{b}.{w}")) for w in ("bits", "bits1")], similarity)
 
 
-def _tokens(sets: DataFrame, key: str, turn: int) -> DataFrame:
-    """A row per prefix word of this round: token, key, shape, bits, bits1."""
-    rows = sets.select(key, "n", "bits", "bits1", F.posexplode("prefix").alias("place", "token"))
-    return rows.where(F.pmod(F.xxhash64("token"), F.lit(ROUNDS)) == turn).select("token", key, _shape(F.col("n"), F.col("place")), "bits", "bits1")
+def _tokens(sets: DataFrame, key: str) -> DataFrame:
+    """A row per prefix word: token, key, shape, bits, bits1."""
+    return sets.select(key, "n", "bits", "bits1", F.posexplode("prefix").alias("place", "token")).select("token", key, _shape(F.col("n"), F.col("place")), "bits", "bits1")
 
 
-def _verified(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of candidate pairs (node, other): the nodes with a pair as similar as asked, by all bits and then by all words."""
-    every = ["bits", "bits1", "bits2", "bits3"]
-    own = sets.select("node", F.struct("n", *every).alias("a"))
-    pairs = stored(pairs.join(own, "node").join(own.toDF("other", "b"), "other").where(_parity(F.col("a.n"), F.col("b.n"), [(F.col(f"a.{w}"), F.col(f"b.{w}")) for w in every], similarity)).select("node", "other"), "line-pairs")
-    nodes = pairs.select("node").union(pairs.select("other")).distinct()
+def _words(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All words of the nodes: node, w."""
     place = sets.select("node", "id", "content", "line").join(nodes, "node")
     wanted = place.groupBy("id", "content").agg(F.collect_list(F.struct("line", "node")).alias("at"))
     texts = _texts(docs, id_col, text_col, "i", "c", "text")
     found = texts.join(wanted.hint("shuffle_hash"), texts["i"].eqNullSafe(wanted["id"]) & (texts["c"] == wanted["content"])).select("text", "at.line", "at.node")
     # stored, so that the joins with it are plain exchanges, which adaptive execution splits where one set has many pairs
-    words = stored(found.mapInArrow(_wanted_words, "node bigint, w array<bigint>").dropDuplicates(["node"]), "line-words")
-    common = F.size(F.array_intersect("w1", "w2"))
-    same = stored(pairs.join(words.toDF("node", "w1"), "node").join(words.toDF("other", "w2"), "other").where(common >= similarity * (F.size("w1") + F.size("w2") - common) - 1e-9).select("node").distinct(), "line-gone")
+    return stored(found.mapInArrow(_wanted_words, "node bigint, w array<bigint>").dropDuplicates(["node"]), "line-words")
+
+
+def _same(v: Column, w: Column, similarity: float) -> Column:
+    """The similarity itself."""
+    common = F.size(F.array_intersect(v, w))
+    return common >= similarity * (F.size(v) + F.size(w) - common) - 1e-9
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of candidate pairs (node, other): the nodes with a pair as similar as asked, by all bits and then by all words."""
+    own = sets.select("node", F.struct("n", *BITS).alias("a"))
+    pairs = stored(pairs.join(own, "node").join(own.toDF("other", "b"), "other").where(_parity(F.col("a.n"), F.col("b.n"), [(F.col(f"a.{w}"), F.col(f"b.{w}")) for w in BITS], similarity)).select("node", "other"), "line-pairs")
+    words = _words(docs, id_col, text_col, sets, pairs.select("node").union(pairs.select("other")).distinct())
+    same = stored(pairs.join(words.toDF("node", "w1"), "node").join(words.toDF("other", "w2"), "other").where(_same(F.col("w1"), F.col("w2"), similarity)).select("node").distinct(), "line-gone")
     dropped(words, pairs)
     return same
 
 
+def _first_pass(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, similarity: float) -> DataFrame:
+    """The nodes as similar as asked to the earliest set of one of their rarest words."""
+    own = _tokens(sets.withColumn("prefix", F.slice("prefix", 1, FIRST)), "node")
+    # the words in two sets or more, with the earliest of each
+    heads = own.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
+    place = F.array_position("prefix", F.col("token")) - 1
+    first = sets.select(F.col("node").alias("head"), "n", "bits", "bits1", "prefix")
+    # stored, so that the join with it is of plain exchanges, which adaptive execution splits where a word is hot
+    first = stored(heads.join(first, "head").select("token", "head", _shape(F.col("n"), place), "bits", "bits1"), "line-heads")
+    met = own.alias("a").join(first.alias("b"), "token").where((F.col("a.node") > F.col("b.head")) & _met("a", "b", similarity))
+    pairs = stored(met.select("a.node", F.col("b.head").alias("other")).distinct(), "line-pairs")
+    gone = _verified(docs, id_col, text_col, sets, pairs, similarity)
+    dropped(first, pairs)
+    return gone
+
+
+def _second_pass(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, gone: DataFrame, similarity: float) -> DataFrame:
+    """The other nodes that are as similar as asked to any earlier set."""
+    # a set that is gone asks no more: its key is negative; both sides of the join are one and the same exchange
+    marked = sets.join(gone.withColumn("gone", F.lit(True)), "node", "left")
+    asked = stored(marked.select(F.when(F.col("gone"), F.bitwise_not("node")).otherwise(F.col("node")).alias("key"), "n", "bits", "bits1", "prefix"), "line-asked")
+    earlier = F.when(F.col("b.key") < 0, F.bitwise_not("b.key")).otherwise(F.col("b.key"))
+    met = (F.col("a.token") == F.col("b.token")) & (F.col("a.key") > earlier) & _met("a", "b", similarity)
+    asking, there = [], []
+    # words are dealt in rounds, so that what is on disk at a time is a part of their rows
+    for turn in range(ROUNDS):
+        own = _tokens(asked, "key").where(F.pmod(F.xxhash64("token"), F.lit(ROUNDS)) == turn)
+        asking.append(stored(own.alias("a").join(own.alias("b"), met, "left_semi"), "line-asking"))
+        there.append(stored(own.alias("b").join(asking[-1].alias("a"), met, "left_semi").select("token", earlier.alias("node")), "line-there"))
+    dropped(asked)
+    asks, others = reduce(DataFrame.union, asking).select("token", F.col("key").alias("node")), reduce(DataFrame.union, there)
+    words = _words(docs, id_col, text_col, sets, asks.select("node").union(others.select("node")).distinct())
+    whole = stored(words.join(sets.select("node", "n", *BITS), "node"), "line-whole")
+    dropped(words)
+    alike = _parity(F.col("a.n"), F.col("b.n"), [(F.col(f"a.{w}"), F.col(f"b.{w}")) for w in BITS], similarity) & _same(F.col("a.w"), F.col("b.w"), similarity)
+    pair = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & alike
+    also = stored(asks.join(whole, "node").alias("a").join(others.join(whole, "node").alias("b"), pair, "left_semi").select("node").distinct(), "line-also")
+    dropped(*asking, *there, whole)
+    return also
+
+
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every line of every distinct document: id, content, line, removed."""
     sent = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col))
     texts = _texts(docs, id_col, text_col, "id", "content", "text")
     kind = texts.schema["id"].dataType.simpleString()
     every = stored(texts.mapInArrow(_set_rows(sent, similarity), f"id {kind}, content bigint, line int, n int, k1 bigint, k2 bigint, bits bigint, bits1 bigint, bits2 bigint, bits3 bigint, prefix array<int>"), "lines")
-    more = ["bits", "bits1", "bits2", "bits3", "prefix"]
+    more = [*BITS, "prefix"]
     distinct = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "content", "line")).alias("place"), F.first(F.struct(*more)).alias("own"))
     ordered = distinct.select("k1", "k2", "n", "place.*", "own.*").repartitionByRange("id", "content", "line").sortWithinPartitions("id", "content", "line")
     sets = stored(ordered.withColumn("node", F.monotonically_increasing_id()), "line-sets")
 
-    # words are dealt in rounds, so that what is on disk at a time is a part of their rows
-    pairs = []
-    for turn in range(ROUNDS):
-        own = _tokens(sets.withColumn("prefix", F.slice("prefix", 1, F.ceil(F.size("prefix") / 2).cast("int") + 1)), "node", turn)
-        # the words in two prefixes or more, with the earliest set of each
-        heads = own.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
-        place = F.array_position("prefix", F.col("token")) - 1
-        first = sets.select(F.col("node").alias("head"), "n", "bits", "bits1", "prefix")
-        # stored, so that the join with it is of plain exchanges, which adaptive execution splits where a word is hot
-        first = stored(heads.join(first, "head").select("token", "head", _shape(F.col("n"), place), "bits", "bits1"), "line-heads")
-        met = own.alias("a").join(first.alias("b"), "token").where((F.col("a.node") > F.col("b.head")) & _met("a", "b", similarity))
-        pairs.append(stored(met.select("a.node", F.col("b.head").alias("other")).distinct(), "line-pairs"))
-        dropped(first)
-    gone = _verified(docs, id_col, text_col, sets, reduce(DataFrame.union, pairs).distinct(), similarity)
-    dropped(*pairs)
-
-    # a set that is gone asks no more: its key is negative; both sides of the join are one and the same exchange
-    marked = sets.join(gone.withColumn("gone", F.lit(True)), "node", "left")
-    asked = stored(marked.select(F.when(F.col("gone"), F.bitwise_not("node")).otherwise(F.col("node")).alias("key"), "n", "bits", "bits1", "prefix"), "line-asked")
-    earlier = F.when(F.col("b.key") < 0, F.bitwise_not("b.key")).otherwise(F.col("b.key"))
-    later = []
-    for turn in range(ROUNDS):
-        own = _tokens(asked, "key", turn)
-        met = own.alias("a").join(own.alias("b"), "token").where((F.col("a.key") > earlier) & _met("a", "b", similarity))
-        later.append(stored(met.select(F.col("a.key").alias("node"), earlier.alias("other")).distinct(), "line-pairs"))
-    dropped(asked)
-    also = _verified(docs, id_col, text_col, sets, reduce(DataFrame.union, later).distinct(), similarity)
-    dropped(*later)
-
+    gone = _first_pass(docs, id_col, text_col, sets, similarity)
+    also = _second_pass(docs, id_col, text_col, sets, gone, similarity)
     removed = gone.union(also).withColumn("match", F.lit(True))
     marks = sets.select("k1", "k2", "n", F.struct("id", "content", "line").alias("first"), "node").join(removed, "node", "left").select("k1", "k2", "n", "first", F.coalesce("match", F.lit(False)).alias("match"))
     joined = every.select("id", "content", "line", "n", "k1", "k2").join(marks, ["k1", "k2", "n"], "left")

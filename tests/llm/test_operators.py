@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halyard.llm import chat, decontaminate, jaccard_forest, licenses, line_join, mixing, queries, repetition, substring_rlz, token_store, warc
-from halyard.llm._store import new_path
+from halyard.llm._store import new_path, stored
 
 SF = "/root/testdata/sf0.001"
 rng = random.Random(3)
@@ -125,6 +125,30 @@ def test_lines_of_odd_texts(docs):
     assert rows(got.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256))) == sorted(brute.lines(DOCS))
 
 
+def test_lines_of_many_near_copies(spark, monkeypatch):
+    """Near copies of one another, none of the earliest line that has their words: work tables hold rows by word, not by pair."""
+    base = [f"b{i}" for i in range(40)]
+    # the first line has the rarer words of all, but not enough; the others come often, so they are in no prefix
+    texts = [" ".join(base[:31])] + [" ".join(f"u{n}x{i}" if i in (n % 40, (n * 7 + 1) % 40) else w for i, w in enumerate(base)) for n in range(150)] + [" ".join(base[31:])] * 300
+    pairs, held = list(enumerate(texts)), []
+
+    def counted(df, name):
+        out = stored(df, name)
+        held.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(line_join, "stored", counted)
+    got = line_join.dedup_lines(spark.createDataFrame(pairs, "doc_id long, text string"))
+    assert rows(got.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256))) == sorted(brute.lines(pairs))
+    # 11,175 pairs; a prefix has 9 words, 12 at most
+    assert held and max(n for n, name in held if name != "lines") <= 152 * 12
+
+
+def test_lines_parted_by_any_space(spark):
+    got = line_join.dedup_lines(spark.createDataFrame([(1, "a b\tc\vd\fe\r\na b c d e\n\n"), (2, "a b c d e f")], "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 4, 1, "a b\tc\vd\fe\r\n\n"), (2, 1, 1, "")]
+
+
 def test_lines_with_repeated_and_null_ids(spark):
     data = [(2, "a b c d e\nx y"), (2, "a b c d e\nx y"), (None, "x y\nq"), (2, "q\nz"), (1, "z w\na b c d e f")]
     got = line_join.dedup_lines(spark.createDataFrame(data, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("Node", F.lit("n")))
