@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import guarded, is_numeric, truth
+from ..sources.shared import dropped, stored
 from ..sources.tables import ROW, arranged, place, ranked
 
 
 #: Most columns that one variable is spread over.
 MAX_COLUMNS = 5_000
+#: Right rows of a key from which its pairs are counted, pairs from which a key is split over tasks, and about the most shares of all split keys.
+OFTEN, PAIRS, SHARES = 100, 1 << 22, 400
 
 
 def names_of(df: DataFrame) -> list[str]:
@@ -142,7 +145,11 @@ def tail(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def join_tables(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", suffix: str = "_right") -> DataFrame:
-    """Null keys never match; output by left row, then right row; names that clash get the suffix."""
+    """Null keys never match; output by left row, then right row; names that clash get the suffix.
+
+    The right keys are counted first. A key with many pairs is split: its left rows are dealt into shares, each of which gets
+    all its right rows, so that more machines make the pairs of one key faster.
+    """
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
     need(left, *on)
@@ -159,10 +166,38 @@ def join_tables(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
         renamed.append(q(c).alias(new))
     keys = [q(k).alias(f"__k{i}") for i, k in enumerate(on)]
     other = right.select(*keys, *renamed, place(right).alias("__right"))
-    joined = left.withColumn(ROW, place(left)).join(other, [q(k) == F.col(f"__k{i}") for i, k in enumerate(on)], how).drop(*[f"__k{i}" for i in range(len(on))])
+    mine, match, extra = left.withColumn(ROW, place(left)), [q(k) == F.col(f"__k{i}") for i, k in enumerate(on)], [f"__k{i}" for i in range(len(on))]
+    if (split := _shares(left, right, on)) is not None:
+        shares, n = split
+        named, parts = [F.col(f"__s{i}") for i in range(len(on))], F.coalesce("__parts", F.lit(1))
+        mine = mine.join(F.broadcast(shares), [q(k) == s for k, s in zip(on, named, strict=True)], "left").withColumn("__share", F.pmod(F.xxhash64(ROW), parts).cast("int")).drop("__parts", *[f"__s{i}" for i in range(len(on))])
+        other = other.join(F.broadcast(shares), [F.col(k) == s for k, s in zip(extra, named, strict=True)], "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts", *[f"__s{i}" for i in range(len(on))])
+        # numbers of partitions that are asked for stay: few bytes make many pairs
+        mine, other = mine.repartition(n, *map(q, on), "__share"), other.repartition(n, *extra, "__copy")
+        match, extra = [*match, F.col("__share") == F.col("__copy")], [*extra, "__share", "__copy"]
+    joined = mine.join(other, match, how).drop(*extra)
     return joined.withColumn(ROW, F.concat(ROW, F.coalesce("__right", F.array().cast("array<bigint>")))).drop("__right")
 
 
+def _shares(left: DataFrame, right: DataFrame, on: Sequence[str]) -> tuple[DataFrame, int] | None:
+    """(key columns __s0.., __parts) of the keys to split, SHARES of them at most, and a number of partitions; None without such keys."""
+    kinds = dict(left.dtypes), dict(right.dtypes)
+    if not on or any(kinds[0][k] != kinds[1][k] for k in on):
+        return None
+    names = [f"__s{i}" for i in range(len(on))]
+    keyed = [df.select(*[q(k).alias(n) for k, n in zip(on, names, strict=True)]).dropna(how="any").groupBy(*names) for df in (left, right)]
+    often = stored(keyed[1].agg(F.count("*").alias("__r")).where(F.col("__r") >= OFTEN), "often")
+    if often.isEmpty():
+        dropped(often)
+        return None
+    pairs = stored(keyed[0].agg(F.count("*").alias("__l")).join(often, names).select(*names, (F.col("__l") * F.col("__r").cast("double")).alias("__pairs")), "pairs")
+    dropped(often)
+    most = max(PAIRS, (pairs.agg(F.sum("__pairs")).first()[0] or 0) / SHARES)
+    shares = pairs.where(F.col("__pairs") > most).select(*names, F.ceil(F.col("__pairs") / most).cast("int").alias("__parts"))
+    parts = shares.agg(F.sum("__parts")).first()[0]
+    return (shares, max(2 * parts, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if parts else None
+
+
 def append(top: DataFrame, bottom: DataFrame) -> DataFrame:
     """The rows of both, by name; the same columns and types are required."""
     if dict(top.drop(ROW).dtypes) != dict(bottom.drop(ROW).dtypes):

@@ -55,6 +55,25 @@ def test_join_order_is_left_then_right(spark):
     assert [(r["l"], r["r"]) for r in out] == [("a", "x"), ("a", "y"), ("b", "z"), ("a", "x"), ("a", "y"), ("c", None)]
 
 
+def test_pairs_of_one_key_are_split(spark):
+    """A key with millions of pairs goes to several tasks; rare, missing and unmatched keys keep their rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = tables.numbered(spark.range(20_000).selectExpr("CASE WHEN id % 1000 = 1 THEN NULL WHEN id % 1000 = 2 THEN 7 WHEN id % 1000 = 3 THEN 9 ELSE 5 END AS k", "id AS l"))
+        right = tables.numbered(spark.range(803).selectExpr("CASE WHEN id < 800 THEN 5 WHEN id < 802 THEN 7 END AS k", "id AS r"))
+        for how, more in (("inner", 0), ("left", 40)):
+            joined = rows.join_tables(left, right, ["k"], how)
+            tasks = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert sum(tasks) == 19_940 * 800 + 40 + more
+            assert len(tasks) > 1 and max(tasks) < 0.9 * sum(tasks)
+            assert joined.where("k = 5").select("l", "r").distinct().count() == 19_940 * 800
+            assert joined.where("k IS NULL OR k = 9").where("r IS NULL").count() == more
+            first = rows.head(joined, 1601).select("l", "r").collect()
+            assert [r["r"] for r in first[:800]] == list(range(800)) and first[0]["l"] == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_append_and_reshape(spark):
     orders = rows.keep(load(spark, "orders", 5), "o_orderkey", "o_totalprice")
     part = rows.keep_if(orders, "o_orderkey % 3 = 0")
