@@ -194,15 +194,19 @@ def bootstrap(df: DataFrame, y: str, *terms: str, reps: int = 200, seed: int = 1
 
 def _fixed_sums(d: Design, columns: list[Column], reps: int, seed: int, cluster: str | None, replay: bool = False) -> np.ndarray:
     """Cross products of each replicate: rows or clusters are numbered, and their counts add up to their number."""
+    if replay and not cluster:
+        return replayed_sums(d.rows.select(F.col("row").alias("u"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), "u", [f"c{i}" for i in range(len(columns))], reps, seed, products=True)
     pairs = [(columns[i] * columns[j]).cast("double") for i in range(len(columns)) for j in range(i, len(columns))]
     names = [f"c{i}" for i in range(len(pairs))]
     if cluster:
         first = F.min("row") if replay else F.xxhash64("g")
         units = d.rows.groupBy("g").agg(first.alias("u"), *[F.sum(p).alias(n) for p, n in zip(pairs, names, strict=True)])
+        if replay:
+            return replayed_sums(units, "u", names, reps, seed)
         numbers = ranked(units, "u", "g")
     else:
         numbers = ranked(d.rows.select(F.col("row").alias("u"), *[p.alias(n) for p, n in zip(pairs, names, strict=True)]), "u", *names)
-    return (replayed_sums if replay else drawn_sums)(numbers, ROW, names, numbers.count(), reps, seed)
+    return drawn_sums(numbers, ROW, names, numbers.count(), reps, seed)
 
 
 def _resampled_fit(d: Design, total: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> Fit:

@@ -3,6 +3,9 @@
 The generator, xoshiro256++ with a splitmix64 seed (Blackman and Vigna), is linear over bits: a jump ahead is a product
 with a power of its 256 x 256 bit matrix.  So each task starts in mid-sequence, at its own chunk.  Numbers that a draw
 must reject (on average one in 2**64 / total) are found first, since each moves all later draws by one place.
+
+A task sorts the draws of several chunks and sends each range of rows the gaps between its own, compressed: under a byte
+a draw while a task's draws are a thirtieth of the rows or more.  Replicates go in rounds whose shuffles are deleted.
 """
 
 from __future__ import annotations
@@ -16,11 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .draws import COUNTS, WIDTH
+from ..sources.shared import dropped, shuffles_freed, stored
+from ..sources.tables import ROW, ranked
 
 #: Sequences that run side by side in a chunk, and numbers of each.
 LANES, STEPS = 1024, 256
 CHUNK = LANES * STEPS
+#: Chunks that a task sorts together, replicates of a round at most, and rows of a range.
+RUN, ROUND, WIDE = 32, 25, 1 << 18
+#: Places of rows that are counted together, and most such blocks that the driver takes.
+BLOCK, MAX_BLOCKS = 4096, 1 << 20
 _U = np.uint64
 
 
@@ -106,54 +114,157 @@ def _rejected(spark, seed: int, total: int, draws: int) -> list[int]:
     return found
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Values of one width, first bytes first, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=n * width, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
+
+
+def _dealt(spark, seed: int, starts: np.ndarray, total: int, reps: range, lost: np.ndarray) -> DataFrame:
+    """(range, rep, n, gaps): the draws of these replicates that fall into each range of rows, ascending, as the packed
+    gaps between them. ``starts`` has the first number of each range."""
+    before = lost - np.arange(len(lost))
+    first, last = (d + int(np.searchsorted(before, d, "right")) for d in (reps.start * total, reps.stop * total - 1))
+    low, high = first // CHUNK, last // CHUNK + 1
+
+    def sent(rep: int, rows: np.ndarray) -> pa.RecordBatch:
+        rows = np.sort(rows)
+        bounds = np.append(np.searchsorted(rows, starts), len(rows))
+        ranges = np.flatnonzero(np.diff(bounds))
+        gaps = np.diff(rows, prepend=0)
+        gaps[bounds[ranges]] = rows[bounds[ranges]] - starts[ranges]
+        gaps = gaps.astype("<u4")
+        data = [_packed(gaps[bounds[r] : bounds[r + 1]]) for r in ranges]
+        return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(np.full(len(ranges), rep)), pa.array(np.diff(bounds)[ranges]), pa.array(data, pa.binary())], ["range", "rep", "n", "gaps"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                rows = np.concatenate([(chunk(seed, i) % _U(total)).astype(np.int64) for i in range(c, min(c + RUN, high))])
+                begin, end = max(first, c * CHUNK), min(last + 1, c * CHUNK + len(rows))
+                rows = np.delete(rows[begin - c * CHUNK : end - c * CHUNK], lost[(lost >= begin) & (lost < end)] - begin)
+                nth = begin - int(np.searchsorted(lost, begin))
+                while len(rows):
+                    rep, n = nth // total, min(len(rows), total - nth % total)
+                    yield sent(rep, rows[:n])
+                    rows, nth = rows[n:], nth + n
+
+    runs = -(-(high - low) // RUN)
+    return spark.range(low, high, RUN, min(runs, 10_000)).mapInArrow(deal, "range bigint, rep bigint, n bigint, gaps binary")
+
+
 def replayed_draws(spark, seed: int, total: int, reps: int, width: int) -> DataFrame:
     """(block, rep, at): draws of each replicate in each block of ``width`` rows, as places in the block.
 
     Replicate after replicate draws ``total`` of ``total`` rows; nothing but the seed decides them.
     """
-    draws = total * reps
-    lost = np.array(_rejected(spark, seed, total, draws), np.int64)
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in batch["id"]:
-                place = np.arange(CHUNK) + int(c) * CHUNK
-                kept = ~np.isin(place, lost)
-                nth = place - np.searchsorted(lost, place)
-                kept &= nth < draws
-                rep, row = nth[kept] // total, (chunk(seed, int(c))[kept] % _U(total)).astype(np.int64)
-                block = row // width
-                order = np.lexsort((rep, block))
-                rep, block, at = rep[order], block[order], (row % width)[order].astype(np.int32)
-                if not len(at):
-                    continue
-                first = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(rep) != 0)])
-                yield pd.DataFrame({"block": block[first], "rep": rep[first], "at": np.split(at, first[1:])})
-
-    chunks = -(-(draws + len(lost)) // CHUNK)
-    return spark.range(chunks).repartition(min(chunks, 10_000), "id").mapInPandas(deal, "block long, rep long, at array<int>")
-
-
-def replayed_sums(rows: DataFrame, number: str, columns: list[str], total: int, reps: int, seed: int) -> np.ndarray:
-    """(replicates, columns): sums of the columns over the rows drawn in each replicate. ``number`` runs from 0 to total - 1."""
-    width = max(1, min(WIDTH, COUNTS // reps))
-    place = F.col(number).cast("long")
-    named = rows.select(F.expr(f"cast({number} as long) div {width}").alias("block"), (place % width).cast("int").alias("at"), *[F.col(c).cast("double") for c in columns])
+            at = [np.cumsum(_unpacked(data, n, "<u4"), dtype=np.int32) for n, data in zip(batch["n"].to_pylist(), batch["gaps"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["range"], batch["rep"], pa.array(at, pa.list_(pa.int32()))], ["block", "rep", "at"])
+
+    lost = np.array(_rejected(spark, seed, total, total * reps), np.int64)
+    return _dealt(spark, seed, np.arange(0, total, width), total, range(reps), lost).mapInArrow(plain, "block bigint, rep bigint, at array<int>")
+
+
+def _ranges(placed: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The first block and the rows of ranges of about WIDE rows, fewer in a small table; None beyond MAX_BLOCKS blocks."""
+    with shuffles_freed(placed.sparkSession):
+        found = placed.groupBy(F.shiftright("place", BLOCK.bit_length() - 1).alias("block")).agg(F.count("*").alias("n")).limit(MAX_BLOCKS + 1).toArrow()
+    if len(found) > MAX_BLOCKS:
+        return None
+    if not len(found):
+        raise ValueError("no observations")
+    blocks, sizes = found["block"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(blocks)
+    blocks, sizes = blocks[order], sizes[order]
+    goal = min(WIDE, max(BLOCK, int(sizes.sum()) // 64))
+    first = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // goal, prepend=-1))
+    return blocks[first], np.add.reduceat(sizes, first)
+
+
+def _sent_rows(placed: DataFrame, columns: list[str], blocks: np.ndarray) -> DataFrame:
+    """(range, n, places, data): the rows of each range, many to a record."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= WIDE:
+                yield packed(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        place, values = table["place"].to_numpy(), np.stack([table[c].to_numpy() for c in columns])
+        order = np.argsort(place, kind="stable")
+        place, values = place[order], values[:, order]
+        bounds = np.append(np.searchsorted(place, blocks * BLOCK), len(place))
+        ranges = np.flatnonzero(np.diff(bounds))
+        cuts = [slice(bounds[r], bounds[r + 1]) for r in ranges]
+        data = [[_packed(place[c].astype("<i8")) for c in cuts], [_packed(values[:, c].ravel().astype("<f8")) for c in cuts]]
+        return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(np.diff(bounds)[ranges]), *[pa.array(d, pa.binary()) for d in data]], ["range", "n", "places", "data"])
+
+    return placed.mapInArrow(send, "range bigint, n bigint, places binary, data binary")
+
+
+def replayed_sums(rows: DataFrame, place: str, columns: list[str], reps: int, seed: int, products: bool = False) -> np.ndarray:
+    """(replicates, columns): sums of the columns over the rows drawn in each replicate. Rows are numbered by ``place``, a bigint.
+
+    With ``products`` the sums are of the products of all pairs of columns, (0, 0), (0, 1), ..., (1, 1), ...
+    """
+    spark = rows.sparkSession
+    with shuffles_freed(spark):
+        # one evaluation, so that places and their counts agree
+        placed = stored(rows.select(F.col(place).cast("long").alias("place"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "replayed")
+    names = [f"v{i}" for i in range(len(columns))]
+    if (found := _ranges(placed)) is None:
+        sparse, placed = placed, stored(ranked(placed, "place", *names).select(F.col(ROW).alias("place"), *names), "replayed")
+        dropped(sparse)
+        found = _ranges(placed)
+    blocks, sizes = found
+    starts, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+    pairs = np.triu_indices(len(columns)) if products else None
+    width = len(pairs[0]) if products else len(columns)
+    parts = min(len(sizes), 10_000)
 
     def add(mine: pa.Table, drawn: pa.Table) -> pa.Table:
-        values = np.column_stack([mine[c].to_numpy() for c in columns]) if len(mine) else np.zeros((0, len(columns)))
-        where = np.zeros(width, np.int64)
-        where[mine["at"].to_numpy()] = np.arange(len(mine))
-        lists = drawn["at"].combine_chunks()
-        rep = np.repeat(drawn["rep"].to_numpy(), lists.value_lengths().to_numpy())
-        counts = np.bincount(rep * len(mine) + where[lists.flatten().to_numpy()], minlength=reps * len(mine)).reshape(reps, -1)
-        sums = counts @ values
-        r, at = np.divmod(np.arange(sums.size), len(columns))
-        return pa.table({"rep": r, "at": at, "value": sums.ravel()})
-
-    draws = replayed_draws(rows.sparkSession, seed, total, reps, width)
-    out = named.groupBy("block").cogroup(draws.groupBy("block")).applyInArrow(add, "rep bigint, at bigint, value double")
-    sums = np.zeros((reps, len(columns)))
-    for r in out.groupBy("rep", "at").agg(F.sum("value").alias("value")).collect():
-        sums[r["rep"], r["at"]] = r["value"]
+        if not len(drawn):
+            return pa.table({"rep": pa.array([], pa.int64()), "at": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        many = mine["n"].to_pylist()
+        n = int(sizes[drawn["range"][0].as_py()])
+        if sum(many) != n:
+            raise ValueError("rows changed while they were read")
+        at = np.concatenate([_unpacked(d, m, "<i8") for m, d in zip(many, mine["places"].to_pylist(), strict=True)])
+        values = np.concatenate([_unpacked(d, m * len(columns), "<f8").reshape(-1, m) for m, d in zip(many, mine["data"].to_pylist(), strict=True)], axis=1)
+        # rows of one place by their values
+        values = values[:, np.lexsort((*values[::-1], at))]
+        values = values[pairs[0]] * values[pairs[1]] if products else values
+        drawn = drawn.sort_by("rep")
+        reps, lengths, gaps = drawn["rep"].to_numpy(), drawn["n"].to_pylist(), drawn["gaps"]
+        own, first = np.unique(reps, return_index=True)
+        sums = np.empty((len(own), width))
+        for i, (low, high) in enumerate(zip(first, [*first[1:], len(reps)], strict=True)):
+            rows = np.concatenate([np.cumsum(_unpacked(gaps[j].as_py(), lengths[j], "<u4"), dtype=np.int64) for j in range(low, high)])
+            sums[i] = values @ np.bincount(rows, minlength=n).astype(float)
+        return pa.table({"rep": np.repeat(own, width), "at": np.tile(np.arange(width), len(own)), "value": sums.ravel()})
+
+    lost = np.array(_rejected(spark, seed, total, total * reps), np.int64)
+    sums, rounds = np.zeros((reps, width)), -(-reps // ROUND)
+    for i in range(rounds):
+        with shuffles_freed(spark):
+            mine = _sent_rows(placed, names, blocks).repartition(parts, "range")
+            drawn = _dealt(spark, seed, starts, total, range(reps * i // rounds, reps * (i + 1) // rounds), lost).repartition(parts, "range")
+            out = mine.groupBy("range").cogroup(drawn.groupBy("range")).applyInArrow(add, "rep bigint, at bigint, value double")
+            for r in out.groupBy("rep", "at").agg(F.sum("value").alias("value")).collect():
+                sums[r["rep"], r["at"]] = r["value"]
+    dropped(placed)
     return sums

@@ -84,3 +84,32 @@ def test_bootstraps(spark):
     cov, edges = spread([[i for u in d for i in members[order[u]]] for d in drawn(9, len(order), 50)])
     fit = other.bootstrap(df, "y", "x", reps=50, seed=9, cluster="g", replay=True)
     assert np.allclose(fit.cov, cov, rtol=1e-8) and np.allclose(fit.info["percentiles"], edges)
+
+
+def test_replay_shuffles_little(spark):
+    """A draw takes under two bytes of shuffles, rows included; it took 4.3 here when each was a number in a list for its block."""
+    df = spark.range(200_000).selectExpr(f"id AS {tables.ROW}", "cast(id % 50 AS double) AS x", "cast(id % 50 * 2 + id % 7 AS double) AS y")
+    empty, jvm = spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm
+    stages = lambda: jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, empty, jvm.java.util.ArrayList()))
+    seen = {s.stageId() for s in stages()}
+    other.bootstrap(df, "y", "x", reps=40, seed=3, replay=True)
+    assert 0 < sum(s.shuffleWriteBytes() for s in stages() if s.stageId() not in seen) < 2 * 40 * 200_000
+
+
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_sums_in_rounds(spark, monkeypatch, most):
+    """Several ranges and rounds, rejected numbers, and places with gaps, numbered anew where they lie in too many blocks."""
+    n, reps, seed = 9000, 7, 21
+    lost = [3, 4, 8999, 9002, 40_000, n * reps]
+    monkeypatch.setattr(sequence, "_rejected", lambda *a: lost)
+    monkeypatch.setattr(sequence, "ROUND", 3)
+    monkeypatch.setattr(sequence, "MAX_BLOCKS", most)
+    rng = np.random.default_rng(4)
+    place, values = np.sort(rng.choice(1 << 16, n, replace=False)) + (1 << 40), rng.normal(size=(n, 2))
+    order = rng.permutation(n)
+    df = spark.createDataFrame([(int(place[i]), *map(float, values[i])) for i in order], "u long, a double, b double").repartition(3)
+    numbers = [v for i, v in zip(range(n * reps + len(lost)), stepped(seed), strict=False) if i not in set(lost)]
+    rows = np.array([v % n for v in numbers[: n * reps]]).reshape(reps, n)
+    a, b = values.T
+    assert np.allclose(sequence.replayed_sums(df, "u", ["a", "b"], reps, seed), np.stack([[a[r].sum(), b[r].sum()] for r in rows]))
+    assert np.allclose(sequence.replayed_sums(df, "u", ["a", "b"], reps, seed, products=True), np.stack([[(a * a)[r].sum(), (a * b)[r].sum(), (b * b)[r].sum()] for r in rows]))
