@@ -80,16 +80,35 @@ def jumped(s: np.ndarray, steps: int) -> np.ndarray:
     return _words(bits)
 
 
+def _stretch(seed: int, first: int, steps: int) -> np.ndarray:
+    """LANES * ``steps`` numbers of the sequence from the place ``first`` on, as (steps, LANES): lane after lane."""
+    lanes = jumped(seeded(seed)[None], first)
+    while len(lanes) < LANES:
+        lanes = np.concatenate([lanes, jumped(lanes, len(lanes) * steps)])
+    a, b, c, d = (lanes[:, i].copy() for i in range(4))
+    out, t = np.empty((steps, LANES), _U), np.empty(LANES, _U)
+    for now in out:
+        np.add(a, d, out=t)
+        np.left_shift(t, _U(23), out=now)
+        t >>= _U(41)
+        now |= t
+        now += a
+        # as in following(), in place
+        np.left_shift(b, _U(17), out=t)
+        c ^= a
+        d ^= b
+        b ^= c
+        a ^= d
+        c ^= t
+        np.left_shift(d, _U(45), out=t)
+        d >>= _U(19)
+        d |= t
+    return out
+
+
 def chunk(seed: int, number: int) -> np.ndarray:
     """The CHUNK numbers of the sequence from ``number`` * CHUNK on."""
-    lanes = jumped(seeded(seed)[None], number * CHUNK)
-    while len(lanes) < LANES:
-        lanes = np.concatenate([lanes, jumped(lanes, len(lanes) * STEPS)])
-    out = np.empty((LANES, STEPS), _U)
-    for i in range(STEPS):
-        out[:, i] = _turned(lanes[:, 0] + lanes[:, 3], 23) + lanes[:, 0]
-        lanes = following(lanes)
-    return out.ravel()
+    return _stretch(seed, number * CHUNK, STEPS).T.ravel()
 
 
 def _limit(total: int) -> int:
@@ -102,13 +121,16 @@ def _rejected(spark, seed: int, total: int, draws: int) -> list[int]:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for c in batch["id"]:
-                yield pd.DataFrame({"place": np.flatnonzero(chunk(seed, int(c)) >= _U(_limit(total))) + int(c) * CHUNK})
+            for c in batch["id"].tolist():
+                steps = STEPS * min(RUN, wanted - c)
+                step, lane = np.nonzero(_stretch(seed, c * CHUNK, steps) >= _U(_limit(total)))
+                yield pd.DataFrame({"place": lane * steps + step + c * CHUNK})
 
     found: list[int] = []
     done, wanted = 0, -(-draws // CHUNK)
     while done < wanted:
-        found += sorted(r[0] for r in spark.range(done, wanted).mapInPandas(find, "place long").collect())
+        runs = -(-(wanted - done) // RUN)
+        found += sorted(r[0] for r in spark.range(done, wanted, RUN, min(runs, 10_000)).mapInPandas(find, "place long").collect())
         # rejected numbers are made up for at the end
         done, wanted = wanted, -(-(draws + len(found)) // CHUNK)
     return found
@@ -125,27 +147,40 @@ def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
 
 
+def _summed(data: bytes, n: int) -> np.ndarray:
+    """Places from packed gaps."""
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    gaps = planes[0].astype(np.int64)
+    for i in range(1, 4):
+        if planes[i].any():
+            gaps += planes[i].astype(np.int64) << 8 * i
+    return np.cumsum(gaps, out=gaps)
+
+
 def _dealt(spark, seed: int, starts: np.ndarray, total: int, reps: range, lost: np.ndarray) -> DataFrame:
     """(range, rep, n, gaps): the draws of these replicates that fall into each range of rows, ascending, as the packed
     gaps between them. ``starts`` has the first number of each range."""
     before = lost - np.arange(len(lost))
     first, last = (d + int(np.searchsorted(before, d, "right")) for d in (reps.start * total, reps.stop * total - 1))
     low, high = first // CHUNK, last // CHUNK + 1
+    kind = np.uint32 if total <= 1 << 32 else np.int64
 
     def sent(rep: int, rows: np.ndarray) -> pa.RecordBatch:
         rows = np.sort(rows)
-        bounds = np.append(np.searchsorted(rows, starts), len(rows))
+        bounds = np.append(np.searchsorted(rows, starts.astype(kind)), len(rows))
         ranges = np.flatnonzero(np.diff(bounds))
-        gaps = np.diff(rows, prepend=0)
-        gaps[bounds[ranges]] = rows[bounds[ranges]] - starts[ranges]
-        gaps = gaps.astype("<u4")
+        gaps = np.empty(len(rows), "<u4")
+        np.subtract(rows[1:], rows[:-1], out=gaps[1:], casting="unsafe")
+        gaps[bounds[ranges]] = rows[bounds[ranges]] - starts[ranges].astype(kind)
         data = [_packed(gaps[bounds[r] : bounds[r + 1]]) for r in ranges]
         return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(np.full(len(ranges), rep)), pa.array(np.diff(bounds)[ranges]), pa.array(data, pa.binary())], ["range", "rep", "n", "gaps"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in batch.column(0).to_pylist():
-                rows = np.concatenate([(chunk(seed, i) % _U(total)).astype(np.int64) for i in range(c, min(c + RUN, high))])
+                drawn = _stretch(seed, c * CHUNK, STEPS * min(RUN, high - c))
+                drawn %= _U(total)
+                rows = drawn.astype(kind).T.ravel()
                 begin, end = max(first, c * CHUNK), min(last + 1, c * CHUNK + len(rows))
                 rows = np.delete(rows[begin - c * CHUNK : end - c * CHUNK], lost[(lost >= begin) & (lost < end)] - begin)
                 nth = begin - int(np.searchsorted(lost, begin))
@@ -166,7 +201,7 @@ def replayed_draws(spark, seed: int, total: int, reps: int, width: int) -> DataF
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [np.cumsum(_unpacked(data, n, "<u4"), dtype=np.int32) for n, data in zip(batch["n"].to_pylist(), batch["gaps"].to_pylist(), strict=True)]
+            at = [_summed(data, n).astype(np.int32) for n, data in zip(batch["n"].to_pylist(), batch["gaps"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["range"], batch["rep"], pa.array(at, pa.list_(pa.int32()))], ["block", "rep", "at"])
 
     lost = np.array(_rejected(spark, seed, total, total * reps), np.int64)
@@ -253,7 +288,7 @@ def replayed_sums(rows: DataFrame, place: str, columns: list[str], reps: int, se
         own, first = np.unique(reps, return_index=True)
         sums = np.empty((len(own), width))
         for i, (low, high) in enumerate(zip(first, [*first[1:], len(reps)], strict=True)):
-            rows = np.concatenate([np.cumsum(_unpacked(gaps[j].as_py(), lengths[j], "<u4"), dtype=np.int64) for j in range(low, high)])
+            rows = np.concatenate([_summed(gaps[j].as_py(), lengths[j]) for j in range(low, high)])
             sums[i] = values @ np.bincount(rows, minlength=n).astype(float)
         return pa.table({"rep": np.repeat(own, width), "at": np.tile(np.arange(width), len(own)), "value": sums.ravel()})
 
